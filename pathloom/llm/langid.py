@@ -136,31 +136,24 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return Model(tuple(languages), code, (augmented.T @ dual).astype(np.float32))
 
 
-def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """(id, held_out, lang_pred, score, ambiguous) for every row; with ``keep``, those columns and the last three.
-
-    lang_pred is a learned language, or 'und' with score 0 where the text is null or has no letter (and everywhere,
-    if there was nothing to learn from). score is the decoded language's share among exp(-loss), from 1/languages
-    to 1. A null id isn't held out unless crc32 of the empty text says so. Repeated rows are judged alike; an empty
-    table gives an empty result.
-    """
-    chosen = keep if keep is not None else [id_col]
-    names = [f"c{k}" for k in range(len(chosen))]
+def _identified(docs: DataFrame, model: Model | None, text_col: str, columns: list[str]) -> DataFrame:
+    """These columns under the names c0, c1, ... and lang_pred, score, ambiguous of the text."""
+    names = [f"c{k}" for k in range(len(columns))]
     lettered = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    source = docs.select(*(F.col(c).alias(n) for c, n in zip(chosen, names, strict=True)), lettered.alias("_lettered"), F.col(text_col).alias("_text"))
+    source = docs.select(*(F.col(c).alias(n) for c, n in zip(columns, names, strict=True)), lettered.alias("lettered"), F.col(text_col).alias("text"))
     schema = ", ".join(f"{n} {source.schema[n].dataType.simpleString()}" for n in names) + ", lang_pred string, score double, ambiguous boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = textkit.utf8(batch.column(len(names) + 1))
-            lettered = batch.column(len(names)).to_numpy(zero_copy_only=False)
+            lettered = batch.column(len(names)).to_numpy(zero_copy_only=False).astype(bool)
             for row, end, part, part_offs in textkit.pieces(data, offs):
                 for a in range(row, end, 2000):
                     b = min(end, a + 2000)
                     own = part_offs[a - row : b - row + 1]
                     if model is None:
-                        known, score, ambiguous = np.zeros(b - a, bool), np.zeros(b - a), np.ones(b - a, bool)
-                        best = np.zeros(b - a, int)
+                        best, score, ambiguous = np.zeros(b - a, int), np.zeros(b - a), np.ones(b - a, bool)
+                        known = np.zeros(b - a, bool)
                     else:
                         best, score, ambiguous = model.decode(_features(part[own[0] : own[-1]], own - own[0]))
                         known = lettered[a:b]
@@ -168,7 +161,27 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
                     columns = batch.slice(a, b - a).columns[: len(names)]
                     yield pa.RecordBatch.from_arrays([*columns, pa.array(languages, pa.string()), pa.array(np.where(known, score, 0.0).astype(np.float64)), pa.array(ambiguous | ~known)], names=[*names, "lang_pred", "score", "ambiguous"])
 
-    judged = source.mapInArrow(run, schema).select(*(F.col(n).alias(c) for n, c in zip(names, chosen, strict=True)), "lang_pred", "score", "ambiguous")
-    if keep is not None:
-        return judged
+    return source.mapInArrow(run, schema)
+
+
+def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, held_out, lang_pred, score, ambiguous) for every row.
+
+    lang_pred is a learned language, or 'und' with score 0 where the text is null or has no letter (and everywhere,
+    if there was nothing to learn from). score is the decoded language's share among exp(-loss), from 1/languages
+    to 1. A null id isn't held out. Repeated rows are judged alike; an empty table gives an empty result; other
+    columns are not read.
+    """
+    judged = _identified(docs, model, text_col, [id_col]).withColumnRenamed("c0", id_col)
     return judged.select(id_col, (~_usable(id_col)).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def with_language(docs: DataFrame, model: Model | None, least: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, in a language: not 'und', and not ambiguous with a score under ``least``.
+
+    Without a model nothing is known against a text with letters, and those stay.
+    """
+    if model is None:
+        return docs.where(F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    kept = _identified(docs, model, text_col, docs.columns).where(f"lang_pred <> 'und' and (not ambiguous or score >= {least})")
+    return kept.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)))

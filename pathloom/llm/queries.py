@@ -6,13 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathloom.llm import decontaminate, langid, neardup, sharding, topk, toxicity, urlfilter
+from pathloom.llm import bpe, decontaminate, langid, neardup, sharding, tokenstore, topk, toxicity, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenstore.store_path(spark)
+    tokenstore.write_store(_table(spark, sf_dir, "documents"), path, tokenizer_path())
+    return tokenstore.read_digests(spark, path)
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), 0.8)
 
@@ -25,6 +37,10 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trips(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return topk.exact_top_k(vectors, vectors.where("vec_id % 20 = 0"), k=20, factor=64.0)
@@ -48,8 +64,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_store": op1_token_store,
     "op2_decontaminate": op2_decontaminate,
     "op3_shards": op3_shards,
+    "op4_bpe": op4_bpe,
     "op5_top_k": op5_top_k,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_toxicity": op7_toxicity,

@@ -181,15 +181,10 @@ def _middle(points: list[tuple[float, int]]) -> float:
     return max(cut, 0.05)
 
 
-def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """(id, held_out, score, predicted) for every row; with ``keep``, those columns first and score, predicted last.
-
-    score is between 0 and 1, predicted is 1 from 0.5 on. A null or empty text scores as one without matches. A null
-    id counts as held out. Repeated rows score alike; an empty table gives an empty result.
-    """
-    chosen = keep if keep is not None else [id_col]
-    names = [f"c{k}" for k in range(len(chosen))]
-    source = docs.select(*(F.col(c).alias(n) for c, n in zip(chosen, names, strict=True)), F.col(text_col).alias("_text"))
+def _scored(docs: DataFrame, model: Model, text_col: str, columns: list[str]) -> DataFrame:
+    """These columns under the names c0, c1, ... and the score of the text."""
+    names = [f"c{k}" for k in range(len(columns))]
+    source = docs.select(*(F.col(c).alias(n) for c, n in zip(columns, names, strict=True)), F.col(text_col).alias("text"))
     schema = ", ".join(f"{n} {source.schema[n].dataType.simpleString()}" for n in names) + ", score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +196,21 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
                 part = batch.slice(at, len(texts))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(score)], names=[*names, "score"])
 
-    scored = source.mapInArrow(run, schema).select(*(F.col(n).alias(c) for n, c in zip(names, chosen, strict=True)), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
-    if keep is not None:
-        return scored
-    return scored.select(id_col, _held_out(id_col).alias("held_out"), "score", "predicted")
+    return source.mapInArrow(run, schema)
+
+
+def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, held_out, score, predicted) for every row.
+
+    score is between 0 and 1, predicted is 1 from 0.5 on. A null or empty text scores as one without matches. A null
+    id counts as held out. Repeated rows score alike; an empty table gives an empty result; other columns are not
+    read.
+    """
+    scored = _scored(docs, model, text_col, [id_col]).withColumnRenamed("c0", id_col)
+    return scored.select(id_col, _held_out(id_col).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that score under 0.5."""
+    kept = _scored(docs, model, text_col, docs.columns).where("score < 0.5")
+    return kept.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)))
