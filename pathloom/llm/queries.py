@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathloom.llm import bpe, decontaminate, langid, neardup, sharding, tokenstore, topk, toxicity, urlfilter
+from pathloom.llm import bpe, classlm, decontaminate, langid, neardup, sharding, tokenstore, topk, toxicity, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
 
 
+def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return classlm.score_texts(docs, classlm.train(docs))
+
+
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_top_k": op5_top_k,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_toxicity": op7_toxicity,
+    "op8_class_lm": op8_class_lm,
     "op9_url_filter": op9_url_filter,
     "op10_language": op10_language,
 }
