@@ -185,6 +185,7 @@ class Model:
     counts: np.ndarray
     tokens: int
     types: int
+    least: int  #: the least count of a lexicon word
     path: str  #: the table (h, bucket, c) of all training words
 
 
@@ -203,6 +204,17 @@ def _share(counts: np.ndarray) -> np.ndarray:
     return mixed(counts, bigram[None, :, :])
 
 
+def _least_count(words: DataFrame) -> int:
+    """The least count of a lexicon word: at most LEXICON words have it or a greater one."""
+    held = 0
+    frequent = words.groupBy("c").count().orderBy(F.desc("c")).toArrow()  # one row per distinct count
+    for c, n in zip(frequent.column("c").to_pylist(), frequent.column("count").to_pylist(), strict=True):
+        if held + n > LEXICON:
+            return c + 1
+        held += n
+    return 1
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", usable: Column | None = None) -> Model:
     """Counts of all words of the usable rows' whole texts, classes and class n-grams; null texts are empty.
 
@@ -213,19 +225,22 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", usabl
     counted = texts.mapInArrow(_counted, "h long, bucket int, c long").groupBy("h").agg(F.min("bucket").alias("bucket"), F.sum("c").alias("c"))
     words = saved(counted, "words", path)
     tokens, types = (int(x or 0) for x in words.agg(F.sum("c"), F.count("*")).first())
-    top = words.orderBy(F.desc("c"), "h").limit(LEXICON).toPandas()
-    keys, c = top["h"].to_numpy().astype(np.int64).view(np.uint64), top["c"].to_numpy().astype(np.int64)
+    least = _least_count(words)
+    top = words.where(F.col("c") >= least).select("h", "c").toArrow()  # at most LEXICON
+    keys, c = (top.column(k).to_numpy().astype(np.int64) for k in (0, 1))
+    order = np.lexsort((keys, -c))
+    keys, c = keys[order].view(np.uint64), c[order]
     clustered = keys[keys != np.uint64(END_KEY)][:CLUSTERED]
     symbols = Symbols(clustered)
-    bigrams = texts.mapInArrow(_codes(symbols, 2), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()  # at most (CLUSTERED + BUCKETS + 1)**2
+    bigrams = texts.mapInArrow(_codes(symbols, 2), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # at most (CLUSTERED + BUCKETS + 1)**2
     size = symbols.end + 1
     matrix = np.zeros(size * size)
-    matrix[bigrams["code"].to_numpy().astype(np.int64)] = bigrams["n"].to_numpy()
+    matrix[bigrams.column("code").to_numpy().astype(np.int64)] = bigrams.column("n").to_numpy()
     classes = exchange(matrix.reshape(size, size))
     width = int(classes.max()) + 1
-    trigrams = texts.mapInArrow(_codes(symbols, 3, classes), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()  # at most (CLASSES + 1)**3
+    trigrams = texts.mapInArrow(_codes(symbols, 3, classes), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # at most (CLASSES + 1)**3
     cube = np.zeros(width**3)
-    cube[trigrams["code"].to_numpy().astype(np.int64)] = trigrams["n"].to_numpy()
+    cube[trigrams.column("code").to_numpy().astype(np.int64)] = trigrams.column("n").to_numpy()
     cube = cube.reshape(width, width, width)
     held = np.zeros(width)
     held += cube.sum(axis=(0, 1))
@@ -244,7 +259,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", usabl
     log_unknown = np.log10(share[bucket_class] * (once + ADD) / by_class[bucket_class])
     log_known = np.log10((1 - share) / np.maximum(held, 1))
     order = np.argsort(keys)
-    return Model(symbols, classes, np.log10(_share(cube)), log_known, log_unknown, keys[order], c[order], tokens, types, path)
+    return Model(symbols, classes, np.log10(_share(cube)), log_known, log_unknown, keys[order], c[order], tokens, types, least, path)
 
 
 _SCORED = "row long, doc_id {kind}, n_tokens long, n_known long, base double, score double, h long, bucket int, times long"
@@ -316,8 +331,7 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     rows = saved(source.mapInArrow(_scored(model), _SCORED.format(kind=kind)), "scored")
     words = docs.sparkSession.read.schema("h long, bucket int, c long").parquet(model.path)
     # the tail of the vocabulary: no word in it is frequent
-    least = int(model.counts.min()) if len(model.counts) else 0
-    tail = rows.where("h is not null").select("row", "h", "bucket", "times").join(words.where(F.col("c") <= least).select("h", "c"), "h", "left")
+    tail = rows.where("h is not null").select("row", "h", "bucket", "times").join(words.where(F.col("c") < model.least).select("h", "c"), "h", "left")
     unknown = F.element_at(F.array(*(F.lit(float(x)) for x in model.log_unknown)), F.col("bucket") + 1)
     first = len(model.symbols.place)
     log_known = F.element_at(F.array(*(F.lit(float(model.log_known[model.classes[first + k]])) for k in range(BUCKETS))), F.col("bucket") + 1)
