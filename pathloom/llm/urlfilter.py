@@ -101,7 +101,8 @@ def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url
     every = Window.partitionBy()
     # a cut at this bin loses the accepted below it and lets the rejected from it on through
     error = F.coalesce(F.sum("a").over(upto), F.lit(0)) / F.sum("a").over(every) + 1 - F.coalesce(F.sum("r").over(upto), F.lit(0)) / F.sum("r").over(every)
-    best = bins.where(f"bin between {-20 * STEPS} and {20 * STEPS}").withColumn("error", error).where("error is not null").orderBy("error", "bin").first()
-    cut = None if best is None else (best["bin"] - 0.5) / STEPS
+    best = bins.where(f"bin between {-20 * STEPS} and {20 * STEPS}").withColumns({"error": error, "before": F.lag("bin").over(Window.orderBy("bin"))}).where("error is not null").orderBy("error", "bin").first()
+    # in the middle of the gap below the best bin
+    cut = None if best is None else ((best["bin"] - 1 if best["before"] is None else best["before"]) + best["bin"]) / 2 / STEPS
     known = F.lit("allow") if cut is None else F.when(F.col("score") >= cut, F.lit("allow")).otherwise(F.lit("block"))
     return scored.select(F.col("page_id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", known).alias("verdict"), "score")
