@@ -19,9 +19,9 @@ from pathloom.registry import query
 _MODELS = ["auto", "bus", "taxi", "truck", "motorcycle", "motor_scooter", "bicycle", "pedestrian", "transit", "none"]
 for _model in _MODELS:
     _cost, _secs = costing.edge_cost(_model)
-    portable(f"c_{_model}_edge_cost", fx.edges, "edges", {"edge_id": "edge_id", "cost": f"round({_cost}, 7)", "secs": f"round({_secs}, 7)"})
+    portable(f"c_{_model}_edge_cost", fx.edges, "edges", {"edge_id": "edge_id", "cost": f"round({_cost}, 9)", "secs": f"round({_secs}, 9)"})
 _odd = Options({"use_highways": 0.1, "use_tolls": 0.9, "use_distance": 0.5, "top_speed": 70.0, "toll_booth_cost": -5.0})
-portable("c13_c14_options_and_ranges", fx.edges, "edges", {"edge_id": "edge_id", "cost": f"round({costing.edge_cost('auto', _odd)[0]}, 3)", "shortest": f"round({costing.edge_cost('auto', Options(shortest=True))[0]}, 3)", "booth": f"{_odd.get('toll_booth_cost')!r}e0"})
+portable("c13_c14_options_and_ranges", fx.edges, "edges", {"edge_id": "edge_id", "cost": f"round({costing.edge_cost('auto', _odd)[0]}, 9)", "shortest": f"round({costing.edge_cost('auto', Options(shortest=True))[0]}, 9)", "booth": f"{_odd.get('toll_booth_cost')!r}e0"})
 
 
 def _pairs(spark, sf_dir):
@@ -31,15 +31,15 @@ def _pairs(spark, sf_dir):
 
 _PAIRS = "edges p JOIN edges e ON p.dst = e.src"
 _tcost, _tsecs = costing.transition_cost()
-portable("c11_c12_c17_h14_transitions", _pairs, _PAIRS, {"from_edge": "p.edge_id", "to_edge": "e.edge_id", "cost": f"round({_tcost}, 3)", "secs": f"round({_tsecs}, 3)"})
+portable("c11_c12_c17_h14_transitions", _pairs, _PAIRS, {"from_edge": "p.edge_id", "to_edge": "e.edge_id", "cost": f"round({_tcost}, 9)", "secs": f"round({_tsecs}, 9)"})
 _acost = costing.edge_cost("auto")[0]
-portable("f16_user_cost_factors", fx.edges, "edges", {"edge_id": "edge_id", "cost": f"round({_acost} * (CASE WHEN way_id % 9 = 0 THEN 2.5e0 ELSE 1e0 END), 3)"})
+portable("f16_user_cost_factors", fx.edges, "edges", {"edge_id": "edge_id", "cost": f"round({_acost} * (CASE WHEN way_id % 9 = 0 THEN 2.5e0 ELSE 1e0 END), 9)"})
 
 
-@query("c15_recost_fixed_paths", f"{WITH} SELECT rw1 AS path, round(sum({_acost}), 2) AS auto, round(sum({costing.edge_cost('truck')[0]}), 2) AS truck, round(sum({costing.edge_cost('bicycle')[0]}), 2) AS bicycle FROM edges WHERE kind = 0 AND edge_id % 2 = 0 GROUP BY rw1")
+@query("c15_recost_fixed_paths", f"{WITH} SELECT rw1 AS path, round(sum({_acost}), 8) AS auto, round(sum({costing.edge_cost('truck')[0]}), 8) AS truck, round(sum({costing.edge_cost('bicycle')[0]}), 8) AS bicycle FROM edges WHERE kind = 0 AND edge_id % 2 = 0 GROUP BY rw1")
 def recost(spark, sf_dir):
     path = fx.edges(spark, sf_dir).where("kind = 0 AND edge_id % 2 = 0")
-    return path.groupBy(F.col("rw1").alias("path")).agg(*(F.round(F.sum(F.expr(costing.edge_cost(m)[0])), 2).alias(m) for m in ("auto", "truck", "bicycle")))
+    return path.groupBy(F.col("rw1").alias("path")).agg(*(F.round(F.sum(F.expr(costing.edge_cost(m)[0])), 8).alias(m) for m in ("auto", "truck", "bicycle")))
 
 
 # --- search -------------------------------------------------------------------------------------------------
@@ -76,20 +76,20 @@ def _node_arcs(spark, sf_dir):
     return paths.node_arcs(fx.edges(spark, sf_dir))
 
 
-@query("p1_a5_single_source_frontier", f"{WITH}, {_ARCS}, {_reach('SELECT 0::BIGINT AS source, 0::BIGINT AS node, 0e0 AS cost', '500e0')} SELECT node, round(cost, 3) AS cost FROM r")
+@query("p1_a5_single_source_frontier", f"{WITH}, {_ARCS}, {_reach('SELECT 0::BIGINT AS source, 0::BIGINT AS node, 0e0 AS cost', '500e0')} SELECT node, round(cost, 9) AS cost FROM r")
 def single_source(spark, sf_dir):
     seeds = spark.range(1).selectExpr("id AS source", "id AS node")
-    return paths.reach_within(_node_arcs(spark, sf_dir), seeds, 500.0).selectExpr("node", "round(cost, 3) AS cost")
+    return paths.reach_within(_node_arcs(spark, sf_dir), seeds, 500.0).selectExpr("node", "round(cost, 9) AS cost")
 
 
-@query("p1_dijkstra_one_to_all", f"{WITH}, {_ARCS}, {_reach('SELECT 0::BIGINT AS source, 0::BIGINT AS node, 0e0 AS cost')} SELECT node, round(cost, 3) AS cost FROM r")
+@query("p1_dijkstra_one_to_all", f"{WITH}, {_ARCS}, {_reach('SELECT 0::BIGINT AS source, 0::BIGINT AS node, 0e0 AS cost')} SELECT node, round(cost, 9) AS cost FROM r")
 def one_to_all(spark, sf_dir):
-    return paths.paths_from(_node_arcs(spark, sf_dir), spark.range(1).selectExpr("id AS source", "id AS node")).selectExpr("node", "round(cost, 3) AS cost")
+    return paths.paths_from(_node_arcs(spark, sf_dir), spark.range(1).selectExpr("id AS source", "id AS node")).selectExpr("node", "round(cost, 9) AS cost")
 
 
-@query("p11_p12_p14_j30_matrix", f"{WITH}, {_ARCS}, {_TARGETS.format(n=8)}, {_reach(_SEEDS.format(n=5))} SELECT r.source, g.target, round(r.cost, 3) AS cost FROM r JOIN goals g ON g.node = r.node")
+@query("p11_p12_p14_j30_matrix", f"{WITH}, {_ARCS}, {_TARGETS.format(n=8)}, {_reach(_SEEDS.format(n=5))} SELECT r.source, g.target, round(r.cost, 9) AS cost FROM r JOIN goals g ON g.node = r.node")
 def matrix(spark, sf_dir):
-    return paths.matrix(_node_arcs(spark, sf_dir), _seeds(spark, sf_dir, 5), _targets(spark, sf_dir, 8)).selectExpr("source", "target", "round(cost, 3) AS cost")
+    return paths.matrix(_node_arcs(spark, sf_dir), _seeds(spark, sf_dir, 5), _targets(spark, sf_dir, 8)).selectExpr("source", "target", "round(cost, 9) AS cost")
 
 
 @query("o4_k_closest_targets", f"{WITH}, {_ARCS}, {_TARGETS.format(n=20)}, {_reach(_SEEDS.format(n=4))} SELECT source, target, rank FROM (SELECT r.source, g.target, CAST(row_number() OVER (PARTITION BY r.source ORDER BY round(r.cost, 6), g.target) AS INT) AS rank FROM r JOIN goals g ON g.node = r.node) WHERE rank <= 3")
@@ -102,10 +102,10 @@ _OPEN = Options({"country_crossing_cost": 0.0})
 _EARCS = f"turns AS (SELECT p.edge_id AS src, e.edge_id AS dst, {costing.transition_cost(_OPEN)[0]} + {_acost.replace('length', 'e.length').replace('speed', 'e.speed').replace('road_class', 'e.road_class').replace('surface', 'e.surface').replace('density', 'e.density').replace('toll', 'e.toll').replace('use ', 'e.use ')} AS cost, e.edge_id AS arc FROM {_PAIRS} WHERE {fl.allowed(1)})"
 
 
-@query("p3_edge_based_search", f"{WITH}, {_EARCS}, {_reach('SELECT 0::BIGINT AS source, 0::BIGINT AS node, 0e0 AS cost', '600e0', 'turns')} SELECT node AS edge_id, round(cost, 2) AS cost FROM r")
+@query("p3_edge_based_search", f"{WITH}, {_EARCS}, {_reach('SELECT 0::BIGINT AS source, 0::BIGINT AS node, 0e0 AS cost', '600e0', 'turns')} SELECT node AS edge_id, round(cost, 9) AS cost FROM r")
 def edge_based(spark, sf_dir):
     arcs = paths.edge_arcs(fx.edges(spark, sf_dir), options=_OPEN)
-    return paths.paths_from(arcs, spark.range(1).selectExpr("id AS source", "id AS node"), 600.0).selectExpr("node AS edge_id", "round(cost, 2) AS cost")
+    return paths.paths_from(arcs, spark.range(1).selectExpr("id AS source", "id AS node"), 600.0).selectExpr("node AS edge_id", "round(cost, 9) AS cost")
 
 
 @query("f9_via_restrictions")
@@ -117,60 +117,60 @@ def via_restrictions(spark, sf_dir):
     return found.selectExpr(f"{paths.uncopied('node')} AS edge_id", "cost").groupBy("edge_id").agg(F.round(F.min("cost"), 3).alias("cost"))
 
 
-@query("p4_j25_a6_bidirectional_meet", f"{WITH}, {_ARCS}, {_TARGETS.format(n=3)}, {_reach(_SEEDS.format(n=3))} SELECT r.source, g.target, round(r.cost, 3) AS cost FROM r JOIN goals g ON g.node = r.node")
+@query("p4_j25_a6_bidirectional_meet", f"{WITH}, {_ARCS}, {_TARGETS.format(n=3)}, {_reach(_SEEDS.format(n=3))} SELECT r.source, g.target, round(r.cost, 9) AS cost FROM r JOIN goals g ON g.node = r.node")
 def bidirectional(spark, sf_dir):
     arcs = _node_arcs(spark, sf_dir)
     forward = paths.paths_from(arcs, _seeds(spark, sf_dir, 3))
     backward = paths.paths_from(paths.reversed_arcs(arcs), _targets(spark, sf_dir, 3).withColumnRenamed("target", "source"))
-    return paths.meet(forward, backward).selectExpr("source", "target", "round(cost, 3) AS cost")
+    return paths.meet(forward, backward).selectExpr("source", "target", "round(cost, 9) AS cost")
 
 
-@query("p5_o5_alternates", f"{WITH}, {_ARCS}, rev AS (SELECT dst AS src, src AS dst, cost, arc FROM arcs), {_reach('SELECT 0::BIGINT AS source, 0::BIGINT AS node, 0e0 AS cost')}, {_reach('SELECT 0::BIGINT AS source, 700::BIGINT AS node, 0e0 AS cost', None, 'rev', 'b')}, v AS (SELECT r.node, r.cost + b.cost AS total, min(r.cost + b.cost) OVER () AS best FROM r JOIN b ON b.node = r.node) SELECT node, round(total, 2) AS total FROM v WHERE total > best * 1.0001e0 AND total <= best * 1.02e0")
+@query("p5_o5_alternates", f"{WITH}, {_ARCS}, rev AS (SELECT dst AS src, src AS dst, cost, arc FROM arcs), {_reach('SELECT 0::BIGINT AS source, 0::BIGINT AS node, 0e0 AS cost')}, {_reach('SELECT 0::BIGINT AS source, 700::BIGINT AS node, 0e0 AS cost', None, 'rev', 'b')}, v AS (SELECT r.node, r.cost + b.cost AS total, min(r.cost + b.cost) OVER () AS best FROM r JOIN b ON b.node = r.node) SELECT node, round(total, 9) AS total FROM v WHERE total > best * 1.0001e0 AND total <= best * 1.02e0")
 def alternates(spark, sf_dir):
     arcs = _node_arcs(spark, sf_dir)
     a = paths.paths_from(arcs, spark.range(1).selectExpr("id AS source", "id AS node")).select("node", F.col("cost").alias("a"))
     b = paths.paths_from(paths.reversed_arcs(arcs), spark.range(1).selectExpr("id AS source", "700L AS node")).select("node", F.col("cost").alias("b"))
     via = a.join(b, "node").selectExpr("node", "a + b AS total")
     best = via.agg(F.min("total")).first()[0] or 0.0  # one number
-    return via.where((F.col("total") > best * 1.0001) & (F.col("total") <= best * 1.02)).select("node", F.round("total", 2).alias("total"))
+    return via.where((F.col("total") > best * 1.0001) & (F.col("total") <= best * 1.02)).select("node", F.round("total", 9).alias("total"))
 
 
 _MODE_ARCS = f"steps AS (SELECT src * 2 AS src, dst * 2 AS dst, {costing.edge_cost('pedestrian')[0]} AS cost, edge_id AS arc FROM edges WHERE src < 400 AND dst < 400 UNION ALL SELECT src * 2 + 1, dst * 2 + 1, {costing.edge_cost('bicycle')[0]}, edge_id FROM edges WHERE src < 400 AND dst < 400 UNION ALL SELECT node_id * 2, node_id * 2 + 1, 120e0, -1 FROM nodes WHERE node_id % 17 = 0 AND node_id < 400 UNION ALL SELECT node_id * 2 + 1, node_id * 2, 120e0, -1 FROM nodes WHERE node_id % 17 = 0 AND node_id < 400)"
 
 
-@query("p9_p13_multimodal_product", f"{WITH}, {_MODE_ARCS}, {_reach('SELECT 0::BIGINT AS source, 2::BIGINT AS node, 0e0 AS cost', None, 'steps')} SELECT CAST(floor(node / 2e0) AS BIGINT) AS node, CAST(node % 2 AS BIGINT) AS mode, round(cost, 2) AS cost FROM r")
+@query("p9_p13_multimodal_product", f"{WITH}, {_MODE_ARCS}, {_reach('SELECT 0::BIGINT AS source, 2::BIGINT AS node, 0e0 AS cost', None, 'steps')} SELECT CAST(floor(node / 2e0) AS BIGINT) AS node, CAST(node % 2 AS BIGINT) AS mode, round(cost, 9) AS cost FROM r")
 def multimodal(spark, sf_dir):
     e, n = fx.edges(spark, sf_dir).where("src < 400 AND dst < 400"), fx.nodes(spark, sf_dir).where("node_id % 17 = 0 AND node_id < 400")
     walk = e.selectExpr("src * 2 AS src", "dst * 2 AS dst", f"{costing.edge_cost('pedestrian')[0]} AS cost", "edge_id AS arc")
     ride = e.selectExpr("src * 2 + 1 AS src", "dst * 2 + 1 AS dst", f"{costing.edge_cost('bicycle')[0]} AS cost", "edge_id AS arc")
     change = n.selectExpr("explode(array(struct(node_id * 2 AS src, node_id * 2 + 1 AS dst), struct(node_id * 2 + 1 AS src, node_id * 2 AS dst))) AS s").selectExpr("s.src", "s.dst", "120e0 AS cost", "-1L AS arc")
     found = paths.paths_from(walk.unionByName(ride).unionByName(change), spark.range(1).selectExpr("id AS source", "2L AS node"))
-    return found.selectExpr("CAST(floor(node / 2e0) AS BIGINT) AS node", "node % 2 AS mode", "round(cost, 2) AS cost")
+    return found.selectExpr("CAST(floor(node / 2e0) AS BIGINT) AS node", "node % 2 AS mode", "round(cost, 9) AS cost")
 
 
 _TWO = f"{WITH}, {_ARCS}, free AS (SELECT a.* FROM arcs a JOIN edges e ON e.edge_id = a.arc WHERE NOT e.toll), {_TARGETS.format(n=30)}, {_reach('SELECT 0::BIGINT AS source, 1::BIGINT AS node, 0e0 AS cost', '1500e0', 'free', 'f')}, {_reach('SELECT 0::BIGINT AS source, 1::BIGINT AS node, 0e0 AS cost')}"
 
 
-@query("p7_p15_two_pass", f"{_TWO} SELECT g.target, round(coalesce(f.cost, r.cost), 3) AS cost, f.cost IS NULL AS second FROM goals g JOIN r ON r.node = g.node LEFT JOIN f ON f.node = g.node")
+@query("p7_p15_two_pass", f"{_TWO} SELECT g.target, round(coalesce(f.cost, r.cost), 9) AS cost, f.cost IS NULL AS second FROM goals g JOIN r ON r.node = g.node LEFT JOIN f ON f.node = g.node")
 def two_pass(spark, sf_dir):
     e = fx.edges(spark, sf_dir)
     goals, seed = _targets(spark, sf_dir, 30), spark.range(1).selectExpr("id AS source", "1L AS node")
-    first = goals.join(paths.paths_from(paths.node_arcs(e.where("NOT toll")), seed, 1500.0).select("node", "cost"), "node").selectExpr("target", "round(cost, 3) AS cost", "false AS second")
+    first = goals.join(paths.paths_from(paths.node_arcs(e.where("NOT toll")), seed, 1500.0).select("node", "cost"), "node").selectExpr("target", "round(cost, 9) AS cost", "false AS second")
     left = goals.join(first.select("target"), "target", "left_anti")
-    again = left.join(paths.paths_from(paths.node_arcs(e), seed).select("node", "cost"), "node").selectExpr("target", "round(cost, 3) AS cost", "true AS second")
+    again = left.join(paths.paths_from(paths.node_arcs(e), seed).select("node", "cost"), "node").selectExpr("target", "round(cost, 9) AS cost", "true AS second")
     return first.unionByName(again)
 
 
 _LEGS = "legs AS (SELECT s_suppkey AS source, s_suppkey * 53 % (SELECT count(*) FROM customer) AS a, (s_suppkey + 1) * 53 % (SELECT count(*) FROM customer) AS b FROM supplier WHERE s_suppkey < 4)"
 
 
-@query("p8_multi_leg", f"{WITH}, {_ARCS}, {_LEGS}, {_reach('SELECT source, a AS node, 0e0 AS cost FROM legs')} SELECT l.source AS leg, round(r.cost, 3) AS cost, round(sum(r.cost) OVER (ORDER BY l.source), 3) AS arrival FROM legs l JOIN r ON r.source = l.source AND r.node = l.b")
+@query("p8_multi_leg", f"{WITH}, {_ARCS}, {_LEGS}, {_reach('SELECT source, a AS node, 0e0 AS cost FROM legs')} SELECT l.source AS leg, round(r.cost, 9) AS cost, round(sum(r.cost) OVER (ORDER BY l.source), 9) AS arrival FROM legs l JOIN r ON r.source = l.source AND r.node = l.b")
 def multi_leg(spark, sf_dir):
     n = fx.table(spark, sf_dir, "customer").count()
     legs = fx.table(spark, sf_dir, "supplier").where("s_suppkey < 4").selectExpr("s_suppkey AS source", f"s_suppkey * 53 % {n} AS node", f"(s_suppkey + 1) * 53 % {n} AS goal")
     found = paths.paths_from(_node_arcs(spark, sf_dir), legs).join(legs.select("source", F.col("goal").alias("node")), ["source", "node"])
     # one route: its legs are in one window on purpose
-    return found.withColumn("route", F.lit(0)).select(F.col("source").alias("leg"), F.round("cost", 3).alias("cost"), F.round(F.sum("cost").over(Window.partitionBy("route").orderBy("source")), 3).alias("arrival"))
+    return found.withColumn("route", F.lit(0)).select(F.col("source").alias("leg"), F.round("cost", 9).alias("cost"), F.round(F.sum("cost").over(Window.partitionBy("route").orderBy("source")), 9).alias("arrival"))
 
 
 _CELLS = "cells AS (SELECT r.source, CAST(round(n.lat / 0.005e0) AS BIGINT) AS r, CAST(round(n.lon / 0.005e0) AS BIGINT) AS c, min(r.cost / 60e0) AS minutes FROM r JOIN nodes n ON n.node_id = r.node GROUP BY ALL)"
@@ -188,16 +188,16 @@ def contour_squares(spark, sf_dir):
     return contours.marching_squares(cells, 400.0)
 
 
-@query("p19_k10_expansion", f"{WITH}, {_ARCS}, {_reach('SELECT 0::BIGINT AS source, 5::BIGINT AS node, 0e0 AS cost', '400e0')} SELECT r.node, a.arc, round(a.cost, 3) AS step FROM r JOIN arcs a ON a.src = r.node")
+@query("p19_k10_expansion", f"{WITH}, {_ARCS}, {_reach('SELECT 0::BIGINT AS source, 5::BIGINT AS node, 0e0 AS cost', '400e0')} SELECT r.node, a.arc, round(a.cost, 9) AS step FROM r JOIN arcs a ON a.src = r.node")
 def expansion(spark, sf_dir):
     arcs = _node_arcs(spark, sf_dir)
     labels = paths.reach_within(arcs, spark.range(1).selectExpr("id AS source", "5L AS node"), 400.0)
-    return labels.select("node").join(arcs.select(F.col("src").alias("node"), "arc", F.round("cost", 3).alias("step")), "node")
+    return labels.select("node").join(arcs.select(F.col("src").alias("node"), "arc", F.round("cost", 9).alias("step")), "node")
 
 
-@query("p20_centroid", f"{WITH}, {_ARCS}, {_reach(_SEEDS.format(n=4))} SELECT node, round(max(cost), 3) AS far FROM r GROUP BY node HAVING count(*) = 4 ORDER BY max(cost), sum(cost), node LIMIT 1")
+@query("p20_centroid", f"{WITH}, {_ARCS}, {_reach(_SEEDS.format(n=4))} SELECT node, round(max(cost), 9) AS far FROM r GROUP BY node HAVING count(*) = 4 ORDER BY max(cost), sum(cost), node LIMIT 1")
 def centroid(spark, sf_dir):
-    return paths.centroid(paths.paths_from(_node_arcs(spark, sf_dir), _seeds(spark, sf_dir, 4)), 4).select("node", F.round("far", 3).alias("far"))
+    return paths.centroid(paths.paths_from(_node_arcs(spark, sf_dir), _seeds(spark, sf_dir, 4)), 4).select("node", F.round("far", 9).alias("far"))
 
 
 @query("p21_reachability", f"{WITH}, hop(source, node, n) AS (SELECT s_suppkey, s_suppkey * 53 % (SELECT count(*) FROM customer), 0 FROM supplier WHERE s_suppkey < 20 UNION SELECT hop.source, e.dst, hop.n + 1 FROM hop JOIN edges e ON e.src = hop.node WHERE hop.n < 4) SELECT source, count(DISTINCT node) AS nodes FROM hop GROUP BY source")
@@ -229,7 +229,7 @@ def tour_order(spark, sf_dir):
     labels = paths.paths_from(_node_arcs(spark, sf_dir), stops.selectExpr("request * 6 + k AS source", "node"))
     goals = stops.selectExpr("request AS goal_request", "k AS b", "node")
     costs = labels.selectExpr("CAST(floor(source / 6e0) AS BIGINT) AS request", "source % 6 AS a", "node", "cost").join(goals, "node").where("request = goal_request AND a <> b").select("request", "a", "b", "cost")
-    return tours.optimize(costs).selectExpr("request", "round(cost, 3) AS cost", "order")
+    return tours.optimize(costs).selectExpr("request", "round(cost, 9) AS cost", "order")
 
 
 # --- map matching -------------------------------------------------------------------------------------------
@@ -239,7 +239,7 @@ _em, _tr = "CAST((seq * 7 + state * 5 + trace_id * 3) % 11 AS DOUBLE)", "abs(sta
 
 @query(
     "m3_m4_m6_viterbi",
-    f"{WITH}, {TRACES}, v(trace_id, seq, state, cost) AS (SELECT trace_id, seq, s.state, {_em} FROM traces, (SELECT unnest([0, 1, 2]) AS state) s WHERE seq = 1 AND trace_id < 40 UNION ALL SELECT trace_id, seq, state, min(cost) FROM (SELECT v.trace_id, t.seq, s.state, v.cost + {_tr.replace('seq', 't.seq').replace('before', 'v.state').replace('state -', 's.state -').replace('+ state', '+ s.state')} + {_em.replace('seq', 't.seq').replace('state', 's.state').replace('trace_id', 't.trace_id')} AS cost FROM v JOIN traces t ON t.trace_id = v.trace_id AND t.seq = v.seq + 1, (SELECT unnest([0, 1, 2]) AS state) s WHERE t.seq <= 12) GROUP BY trace_id, seq, state) SELECT v.trace_id, round(min(v.cost), 6) AS cost FROM v JOIN (SELECT trace_id, least(max(seq), 12) AS last FROM traces GROUP BY trace_id) m ON m.trace_id = v.trace_id AND m.last = v.seq GROUP BY v.trace_id",
+    f"{WITH}, {TRACES}, v(trace_id, seq, state, cost) AS (SELECT trace_id, seq, s.state, {_em} FROM traces, (SELECT unnest([0, 1, 2]) AS state) s WHERE seq = 1 AND trace_id < 40 UNION ALL SELECT trace_id, seq, state, min(cost) FROM (SELECT v.trace_id, t.seq, s.state, v.cost + {_tr.replace('seq', 't.seq').replace('before', 'v.state').replace('state -', 's.state -').replace('+ state', '+ s.state')} + {_em.replace('seq', 't.seq').replace('state', 's.state').replace('trace_id', 't.trace_id')} AS cost FROM v JOIN traces t ON t.trace_id = v.trace_id AND t.seq = v.seq + 1, (SELECT unnest([0, 1, 2]) AS state) s WHERE t.seq <= 12) GROUP BY trace_id, seq, state) SELECT v.trace_id, round(min(v.cost), 9) AS cost FROM v JOIN (SELECT trace_id, least(max(seq), 12) AS last FROM traces GROUP BY trace_id) m ON m.trace_id = v.trace_id AND m.last = v.seq GROUP BY v.trace_id",
 )
 def viterbi(spark, sf_dir):
     t = fx.traces(spark, sf_dir).where("trace_id < 40 AND seq <= 12").select("trace_id", "seq")

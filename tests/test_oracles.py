@@ -26,7 +26,7 @@ def duck():
 
 def _plain(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else round(v, 6) + 0.0
+        return "nan" if math.isnan(v) else round(v, 9) + 0.0
     if isinstance(v, decimal.Decimal):
         return float(v)
     if isinstance(v, datetime.datetime):
