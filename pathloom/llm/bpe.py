@@ -13,6 +13,7 @@ import json
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from pathloom.llm.textkit import mix64
 
-GROUP_CHARS = 12_000_000  #: texts encoded together; one longer text is a group of its own
+GROUP_CHARS = 4_000_000  #: texts encoded together; one longer text is a group of its own
 PIECE_CHARS = 1_000_000  #: texts cut into pre-tokens together
 CACHE_WORDS = 1_000_000  #: pre-tokens that a worker remembers; beyond them it starts anew
 
@@ -311,6 +312,11 @@ def text_groups(batch: pa.RecordBatch, column: int, chars: int = GROUP_CHARS) ->
         at = end
 
 
+def _digests(vocab: Vocabulary, ids: list[int]) -> tuple[str, str]:
+    decoded = b"".join(map(vocab.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
+    return sha256(",".join(map(vocab.decimal.__getitem__, ids)).encode()).hexdigest(), sha256(decoded.encode()).hexdigest()
+
+
 def round_trips(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256[, ids]) for every row: whole text encoded, then decoded.
 
@@ -323,19 +329,16 @@ def round_trips(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from hashlib import sha256
-
         vocab, coder = vocabulary(path), encoder(path)
         for batch in batches:
             for at, texts in text_groups(batch, 1):
                 found = coder.encode(texts)
-                listed = [x.tolist() for x in found]
-                ids = [sha256(",".join(map(vocab.decimal.__getitem__, x)).encode()).hexdigest() for x in listed]
-                decoded = [sha256(b"".join(map(vocab.token_bytes.__getitem__, x)).decode("utf-8", "replace").encode()).hexdigest() for x in listed]
-                columns = [batch.column(0).slice(at, len(texts)), pa.array([len(x) for x in found], pa.int64()), pa.array(ids), pa.array(decoded)]
+                digests = [_digests(vocab, x.tolist()) for x in found]
+                columns = [batch.column(0).slice(at, len(texts)), pa.array([len(x) for x in found], pa.int64()), *(pa.array([d[k] for d in digests]) for k in (0, 1))]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    columns, names = [*columns, pa.array(listed, pa.list_(pa.int32()))], [*names, "ids"]
+                    offs = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
+                    columns, names = [*columns, pa.ListArray.from_arrays(offs, np.concatenate(found).astype(np.int32))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return source.mapInArrow(run, schema).withColumnRenamed("doc_id", id_col)

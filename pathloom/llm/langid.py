@@ -16,13 +16,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from pathloom.llm import textkit
 
-SAMPLE = 2_400  #: the bound on rows that are learned from, shared evenly by the languages
+SAMPLE = 1_600  #: the bound on rows that are learned from, shared evenly by the languages
 LEAST_EACH = 8  #: rows of a language at least, where there are that many
 FEATURES = 1 << 12
 GRAMS = (1, 2, 3, 4)
+PIECE_BYTES, ROWS = 1_000_000, 500  #: texts whose features are made together
 RIDGE = 0.05
 LOSS = 3.0  #: scale of the margins in the exponential loss
 LEAD = 0.15  #: a smaller relative lead in loss is ambiguous
@@ -119,49 +121,47 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     # at most ``each`` ids a language
     chosen = F.broadcast(ids.sparkSession.createDataFrame(ids.collect(), "doc_id long")) if each * named <= 10 * SAMPLE else ids
     sample = source.join(chosen, "doc_id", "left_semi").where("text rlike '\\\\p{L}'").select("lang", "text")
-    rows = sample.mapInArrow(_feature_rows, "lang string, x binary").collect()
-    if not rows:
+    rows = sample.mapInArrow(_feature_rows, "lang string, x binary").orderBy("lang", "x").toArrow()
+    if not rows.num_rows:
         return None
-    rows.sort(key=lambda r: (r["lang"], r["x"]))
-    languages = sorted({r["lang"] for r in rows})
-    x = np.frombuffer(b"".join(r["x"] for r in rows), "<f4").reshape(len(rows), FEATURES).astype(np.float64)
-    at = np.array([languages.index(r["lang"]) for r in rows])
+    named = rows.column("lang").to_pylist()
+    languages = sorted(set(named))
+    x = np.concatenate([np.frombuffer(v.as_buffer(), "<f4")[None] for v in rows.column("x")])
+    at = np.array([languages.index(name) for name in named])
     code = codewords(len(languages))
     target = code[at].astype(float)
     share = np.bincount(at, minlength=len(languages)).astype(float)
     weight = np.sqrt(len(at) / (len(languages) * share[at]))[:, None]  # languages weigh alike
-    augmented = np.hstack([x, np.ones((len(x), 1))]) * weight
-    gram = augmented @ augmented.T
+    x *= weight.astype(np.float32)
+    gram = (x @ x.T).astype(np.float64) + weight @ weight.T  # the second term is the intercept's
     dual = np.linalg.solve(gram + RIDGE * np.eye(len(gram)), target * weight)
-    return Model(tuple(languages), code, (augmented.T @ dual).astype(np.float32))
+    return Model(tuple(languages), code, np.vstack([x.T @ dual.astype(np.float32), (weight.T @ dual).astype(np.float32)]))
+
+
+_JUDGED = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("ambiguous", BooleanType())])
 
 
 def _identified(docs: DataFrame, model: Model | None, text_col: str, columns: list[str]) -> DataFrame:
-    """These columns under the names c0, c1, ... and lang_pred, score, ambiguous of the text."""
-    names = [f"c{k}" for k in range(len(columns))]
-    lettered = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    source = docs.select(*(F.col(c).alias(n) for c, n in zip(columns, names, strict=True)), lettered.alias("lettered"), F.col(text_col).alias("text"))
-    schema = ", ".join(f"{n} {source.schema[n].dataType.simpleString()}" for n in names) + ", lang_pred string, score double, ambiguous boolean"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offs = textkit.utf8(batch.column(len(names) + 1))
-            lettered = batch.column(len(names)).to_numpy(zero_copy_only=False).astype(bool)
-            for row, end, part, part_offs in textkit.pieces(data, offs):
-                for a in range(row, end, 2000):
-                    b = min(end, a + 2000)
-                    own = part_offs[a - row : b - row + 1]
-                    if model is None:
-                        best, score, ambiguous = np.zeros(b - a, int), np.zeros(b - a), np.ones(b - a, bool)
-                        known = np.zeros(b - a, bool)
-                    else:
-                        best, score, ambiguous = model.decode(_features(part[own[0] : own[-1]], own - own[0]))
-                        known = lettered[a:b]
-                    languages = [model.languages[k] if ok else "und" for k, ok in zip(best, known, strict=True)]
-                    columns = batch.slice(a, b - a).columns[: len(names)]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(languages, pa.string()), pa.array(np.where(known, score, 0.0).astype(np.float64)), pa.array(ambiguous | ~known)], names=[*names, "lang_pred", "score", "ambiguous"])
-
-    return source.mapInArrow(run, schema)
+    """These columns under the names c0, c1, ... and ``j``, the judgement; only texts cross to Python."""
+
+    @F.arrow_udf(_JUDGED)
+    def judge(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in texts:
+            best, score, ambiguous = [np.zeros(0, int)], [np.zeros(0)], [np.zeros(0, bool)]
+            data, offs = textkit.utf8(column)
+            for row, end, part, part_offs in textkit.pieces(data, offs, PIECE_BYTES):
+                for a in range(row, end, ROWS):
+                    own = part_offs[a - row : min(end, a + ROWS) - row + 1]
+                    found = model.decode(_features(part[own[0] : own[-1]], own - own[0]))
+                    for kept, values in zip((best, score, ambiguous), found, strict=True):
+                        kept.append(values)
+            names = [model.languages[k] for k in np.concatenate(best)]
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(score).astype(np.float64)), pa.array(np.concatenate(ambiguous))], names=["lang_pred", "score", "ambiguous"])
+
+    und = F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("ambiguous"))
+    kept = docs.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(columns)), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("lettered"), und.alias("und") if model is None else judge(F.col(text_col)).alias("judged"))
+    found = F.col("und") if model is None else F.when(F.col("lettered"), F.col("judged")).otherwise(und)
+    return kept.withColumn("j", found)
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,7 +172,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     to 1. A null id isn't held out. Repeated rows are judged alike; an empty table gives an empty result; other
     columns are not read.
     """
-    judged = _identified(docs, model, text_col, [id_col]).withColumnRenamed("c0", id_col)
+    judged = _identified(docs, model, text_col, [id_col]).select(F.col("c0").alias(id_col), "j.*")
     return judged.select(id_col, (~_usable(id_col)).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
@@ -183,5 +183,5 @@ def with_language(docs: DataFrame, model: Model | None, least: float = 0.3, text
     """
     if model is None:
         return docs.where(F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
-    kept = _identified(docs, model, text_col, docs.columns).where(f"lang_pred <> 'und' and (not ambiguous or score >= {least})")
+    kept = _identified(docs, model, text_col, docs.columns).where(f"j.lang_pred <> 'und' and (not j.ambiguous or j.score >= {least})")
     return kept.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)))

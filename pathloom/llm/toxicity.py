@@ -17,11 +17,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 SAMPLE_TOXIC, SAMPLE_CLEAN = 6_000, 12_000  #: the bound on labelled rows that are learned from
 LEXICON = 3_000  #: learned entries at most
+FOLD_BYTES = 1_000_000  #: texts folded together
 BEGINNINGS = range(4, 9)  #: lengths of word beginnings that may become entries
 PURITY, EVIDENCE = 3.5, 25.0  #: least log-odds and log-likelihood ratio of a learned entry
 SHARPNESS = 4.0  #: of the logistic curve
@@ -71,9 +74,14 @@ def fold(texts: list[str]) -> list[str]:
     return codes[codes > 0].tobytes().decode("utf-32-le").split(_STOP)[:-1]
 
 
-def _batches(batch: pa.RecordBatch, column: int, rows: int = 500) -> Iterator[tuple[int, list[str]]]:
-    for at in range(0, batch.num_rows, rows):
-        yield at, [t or "" for t in batch.column(column).slice(at, rows).to_pylist()]
+def _groups(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of runs of rows of about FOLD_BYTES; null texts are empty."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + FOLD_BYTES, "right")))
+        yield at, [t or "" for t in column.slice(at, end - at).to_pylist()]
+        at = end
 
 
 @dataclass(frozen=True)
@@ -116,7 +124,7 @@ def _held_out(id_col: str) -> Column:
 
 def _count_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at, texts in _batches(batch, 1):
+        for at, texts in _groups(batch.column(1)):
             labels = batch.column(0).slice(at, len(texts)).to_pylist()
             counts = (Counter(), Counter())
             for label, folded in zip(labels, fold(texts), strict=True):
@@ -157,7 +165,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = model.automaton()
         for batch in batches:
-            for at, texts in _batches(batch, 1):
+            for at, texts in _groups(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array([density(machine, f) for f in fold(texts)], pa.float64())], names=["label", "density"])
 
     weighed = sample.mapInArrow(weigh, "label int, density double").collect()
@@ -182,21 +190,16 @@ def _middle(points: list[tuple[float, int]]) -> float:
 
 
 def _scored(docs: DataFrame, model: Model, text_col: str, columns: list[str]) -> DataFrame:
-    """These columns under the names c0, c1, ... and the score of the text."""
-    names = [f"c{k}" for k in range(len(columns))]
-    source = docs.select(*(F.col(c).alias(n) for c, n in zip(columns, names, strict=True)), F.col(text_col).alias("text"))
-    schema = ", ".join(f"{n} {source.schema[n].dataType.simpleString()}" for n in names) + ", score double"
+    """These columns under the names c0, c1, ... and the score of the text; only texts and scores cross to Python."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(DoubleType())
+    def score_of(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         machine = model.automaton()
-        for batch in batches:
-            for at, texts in _batches(batch, len(names)):
-                x = np.array([density(machine, f) for f in fold(texts)])
-                score = 1 / (1 + np.exp(-np.clip(SHARPNESS * (x - model.middle) / model.middle, -30, 30)))
-                part = batch.slice(at, len(texts))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(score)], names=[*names, "score"])
+        for column in columns:
+            x = np.concatenate([np.zeros(0), *(np.array([density(machine, f) for f in fold(texts)]) for _, texts in _groups(column))])
+            yield pa.array(1 / (1 + np.exp(-np.clip(SHARPNESS * (x - model.middle) / model.middle, -30, 30))))
 
-    return source.mapInArrow(run, schema)
+    return docs.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(columns)), score_of(F.col(text_col)).alias("score"))
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
