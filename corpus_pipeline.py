@@ -29,11 +29,11 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group stays; null ids stay.
+    """The document with the smallest id of each near-duplicate group (0.8 of five-word shingles) stays; null ids stay.
 
     Rows that share an id stay or go together.
     """
-    gone = neardup.near_duplicates(docs, percent=85).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = neardup.near_duplicates(docs, percent=80).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 

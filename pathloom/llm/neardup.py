@@ -1,12 +1,12 @@
 """MinHash near-duplicate detection with tensored banding.
 
-Documents with the same shingle set form one class. A class gets ``COLLECTIONS`` small hash collections of
-``WIDTH`` minhashes each; a table key is a pair of collections, so COLLECTIONS*(COLLECTIONS-1)/2 tables cost only
-COLLECTIONS*WIDTH minhashes. A pair of similarity s shares a key unless fewer than two collections agree:
-with 12 collections of 2 and s = 0.85 that happens with probability 7e-6.
+Documents with the same shingle set form one class. A class gets m small hash collections of ``WIDTH`` minhashes
+each; a table key is a pair of collections, so m*(m-1)/2 tables cost only m*WIDTH minhashes. A pair of similarity s
+shares a key unless fewer than two collections agree; m is the least number that makes this rarer than ``MISS`` at
+the threshold: 12 collections at 0.85 (7e-6), 15 at 0.80 (6e-6).
 
-Within a bucket, classes whose 64-value sketches agree in at least ``SKETCH_LEAST`` places (five standard
-deviations under the mean at 0.85) are joined breadth-first, which emits a spanning forest instead of pairs.
+Within a bucket, classes whose 64-value sketches agree in at least ``sketch_least`` places (five standard
+deviations under the mean at the threshold: 40 at 0.85, 35 at 0.80) are joined breadth-first, which emits a spanning forest instead of pairs.
 The connected clusters of that graph hold all links; each is then compared on its full shingle sets in blocks
 (an incidence product per block pair), and the confirmed links are closed by connected components.
 
@@ -16,6 +16,7 @@ probability of about 2**-64 a pair.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +28,8 @@ from pathloom.llm import textkit
 from pathloom.llm.components import connected_components
 from pathloom.llm.workspace import saved
 
-COLLECTIONS, WIDTH = 12, 2
-SKETCH, SKETCH_LEAST = 64, 40
+WIDTH, MISS, LEAST_COLLECTIONS = 2, 1e-5, 12
+SKETCH, MOST_PLACES = 64, 40
 BUCKET_ROWS = 20_000  #: a larger bucket is dealt out as pairs of blocks
 BLOCK_ROWS = 400  #: classes of one block when full sets are compared
 COLUMNS = 4096  #: shingles of one incidence product
@@ -38,29 +39,47 @@ _SCALE = np.random.RandomState(12).randint(0, 2**31, SKETCH, dtype=np.uint64).as
 _SKETCHED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("collections", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import hashlib
+def collections(percent: int) -> int:
+    """The least number of collections that misses a pair at the threshold with a probability of at most MISS, LEAST_COLLECTIONS or more."""
+    agree = (percent / 100) ** WIDTH
+    for m in range(LEAST_COLLECTIONS, SKETCH // WIDTH + 1):
+        if (1 - agree) ** m + m * agree * (1 - agree) ** (m - 1) <= MISS:
+            return m
+    raise ValueError(f"{SKETCH} minhashes are too few for the miss probability at {percent} percent")
 
-    for batch in batches:
-        data, offs = textkit.utf8(batch.column(1))
-        for row, end, part, part_offs in textkit.pieces(data, offs):
-            keys, _, _, word_offs = textkit.words(part, part_offs)
-            sets = textkit.shingles(keys, word_offs)
-            digests, groups, sketches = [], np.zeros((len(sets), COLLECTIONS), np.int64), []
-            for k, s in enumerate(sets):
-                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                if len(s):
-                    least = (((s >> np.uint64(32)).astype(np.uint32)[:, None] ^ _FLIP) * _SCALE).min(axis=0)
-                    groups[k] = least[: COLLECTIONS * WIDTH].view(np.int64)
-                    sketches.append((least >> np.uint32(24)).astype(np.uint8).tobytes())
-                else:
-                    sketches.append(b"")
-            lists = pa.ListArray.from_arrays(np.arange(0, groups.size + 1, COLLECTIONS, dtype=np.int32), pa.array(groups.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), lists, pa.array(sketches, pa.binary())], schema=_SKETCHED)
-
-
-def _spanned(ids: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, threshold: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Spanning edges of the graph of rows that agree in SKETCH_LEAST places and whose sizes allow the threshold."""
+
+def sketch_least(percent: int) -> int:
+    """Places of the sketches in which a pair at the threshold agrees, less five standard deviations, at most MOST_PLACES."""
+    s = percent / 100
+    return min(MOST_PLACES, math.floor(SKETCH * s - 5 * math.sqrt(SKETCH * s * (1 - s))))
+
+
+def _signatures(m: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        for batch in batches:
+            data, offs = textkit.utf8(batch.column(1))
+            for row, end, part, part_offs in textkit.pieces(data, offs):
+                keys, _, _, word_offs = textkit.words(part, part_offs)
+                sets = textkit.shingles(keys, word_offs)
+                digests, groups, sketches = [], np.zeros((len(sets), m), np.int64), []
+                for k, s in enumerate(sets):
+                    digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                    if len(s):
+                        least = (((s >> np.uint64(32)).astype(np.uint32)[:, None] ^ _FLIP) * _SCALE).min(axis=0)
+                        groups[k] = least[: m * WIDTH].view(np.int64)
+                        sketches.append((least >> np.uint32(24)).astype(np.uint8).tobytes())
+                    else:
+                        sketches.append(b"")
+                lists = pa.ListArray.from_arrays(np.arange(0, groups.size + 1, m, dtype=np.int32), pa.array(groups.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), lists, pa.array(sketches, pa.binary())], schema=_SKETCHED)
+
+    return run
+
+
+def _spanned(ids: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, threshold: float, least: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Spanning edges of the graph of rows that agree in ``least`` places and whose sizes allow the threshold."""
     left, right, waiting = [], [], np.arange(len(ids))
     frontier: list[int] = []
     while len(waiting):
@@ -68,7 +87,7 @@ def _spanned(ids: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, threshold
             frontier, waiting = [int(waiting[0])], waiting[1:]
             continue
         at = frontier.pop()
-        near = (sketches[waiting] == sketches[at]).sum(axis=1) >= SKETCH_LEAST
+        near = (sketches[waiting] == sketches[at]).sum(axis=1) >= least
         near &= np.minimum(sizes[waiting], sizes[at]) >= threshold * np.maximum(sizes[waiting], sizes[at]) - 1e-9
         found = waiting[near]
         if len(found):
@@ -79,7 +98,7 @@ def _spanned(ids: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, threshold
     return left, right
 
 
-def _bucket_links(threshold: float):
+def _bucket_links(threshold: float, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by bucket; a bucket may go on in the next batch."""
         rest = None
@@ -102,12 +121,12 @@ def _bucket_links(threshold: float):
         end = np.append(first[1:], len(key))
         # pairs in buckets of two at once, larger buckets one by one
         two = first[end - first == 2]
-        near = (sketches[two] == sketches[two + 1]).sum(axis=1) >= SKETCH_LEAST
+        near = (sketches[two] == sketches[two + 1]).sum(axis=1) >= least
         near &= np.minimum(sizes[two], sizes[two + 1]) >= threshold * np.maximum(sizes[two], sizes[two + 1]) - 1e-9
         left, right = [ids[two[near]]], [ids[two[near] + 1]]
         for a, b in zip(first, end, strict=True):
             if b - a > 2:
-                found = _spanned(ids[a:b], sizes[a:b], sketches[a:b], threshold)
+                found = _spanned(ids[a:b], sizes[a:b], sketches[a:b], threshold, least)
                 left += found[0]
                 right += found[1]
         x, y = np.concatenate(left), np.concatenate(right)
@@ -166,14 +185,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     wordless text has no shingles, links with nothing and is its own component. Rows repeated with the same id
     are returned as often as they come and share a component, whatever their texts; a null id takes no part in
     links and gets a null component and kept = true. An empty table gives an empty result. Other columns of
-    ``docs`` are not read. percent must be 85 or more for the miss probability in the module's docstring.
+    ``docs`` are not read. A linked pair shares no table with a
+    probability of at most MISS; percent is 61 or more, a smaller one is an error.
     """
-    threshold = percent / 100
+    threshold, m = percent / 100, collections(percent)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketched = saved(source.mapInArrow(_signatures, "doc_id long, n_shingles long, digest binary, collections array<long>, sketch binary"), "sketches")
+    sketched = saved(source.mapInArrow(_signatures(m), "doc_id long, n_shingles long, digest binary, collections array<long>, sketch binary"), "sketches")
     held = sketched.where("doc_id is not null")
     classes = saved(held.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "collections", "sketch")).alias("c")).select("digest", F.col("c.doc_id").alias("rep"), F.col("c.n_shingles").alias("n"), F.col("c.collections").alias("g"), F.col("c.sketch").alias("sketch")), "classes")
-    tables = [F.xxhash64(F.lit(i * COLLECTIONS + j), F.col("g")[i], F.col("g")[j]) for i in range(COLLECTIONS) for j in range(i + 1, COLLECTIONS)]
+    tables = [F.xxhash64(F.lit(i * m + j), F.col("g")[i], F.col("g")[j]) for i in range(m) for j in range(i + 1, m)]
     keyed = classes.select("rep", F.explode(F.array(*tables)).alias("key"))
     sizes = saved(keyed.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1"), "buckets")
     shared = keyed.join(sizes, "key").select("rep", F.col("key"), F.ceil(F.col("rows") / BUCKET_ROWS).cast("int").alias("blocks"))
@@ -181,7 +201,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     dealt = shared.select("rep", F.explode(F.when(F.col("blocks") <= 1, F.array("key")).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.xxhash64("key", F.least(own, x), F.greatest(own, x))))).alias("key"))
     rows = dealt.join(classes.select("rep", "n", "sketch"), "rep").select("key", "rep", "n", "sketch")
     width = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    rough = rows.repartition(int(width), "key").sortWithinPartitions("key").mapInArrow(_bucket_links(threshold), "a long, b long").distinct()
+    rough = rows.repartition(int(width), "key").sortWithinPartitions("key").mapInArrow(_bucket_links(threshold, sketch_least(percent)), "a long, b long").distinct()
     clusters = saved(connected_components(rough), "clusters")
     blocks = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
