@@ -1,7 +1,10 @@
 """Brown class-based n-gram scoring.
 
-The ``CLUSTERED`` most frequent words, and all other words by a bucket of their last two bytes, are symbols that the
-exchange algorithm assigns to ``CLASSES`` classes, maximising the class bigram likelihood of the training text. A
+The exchange algorithm assigns words to ``CLASSES`` classes, maximising the class bigram likelihood of the training
+text. The ``CLUSTERED`` most frequent words are exchanged one after another on the driver and fix what the classes
+stand for; then every further word that occurs ``LEAST_PLACED`` times or more goes to the class of the greatest gain by
+its own counts of classes before and after it, summed over the whole text (``PLACE_ROUNDS`` rounds, all words of a round
+at once). Rarer and unknown words share a symbol for each bucket of their last two bytes, placed in the same way. A
 text's log10 probability is the sum over its words and one end of
 
     P(class | two classes before) * P(word | class),
@@ -27,6 +30,9 @@ from pathloom.llm import textkit
 from pathloom.llm.workspace import discard, fresh_path, saved
 
 CLUSTERED, CLASSES, BUCKETS, ROUNDS = 1000, 48, 512, 8
+LEAST_PLACED, PLACE_ROUNDS = 5, 2
+HELD_CODES = 1 << 18  #: (word, class beside it) counts that a task holds before it hands them on
+PLACED_ROWS = 30_000  #: rows of counts whose gains are taken together
 LEXICON = 400_000  #: (word, count) pairs that each task holds
 ADD = 0.1  #: of the base model
 END_KEY = 0x5EED5EED5EED5EED
@@ -174,6 +180,145 @@ def exchange(counts: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -
     return of
 
 
+def _neighbours(symbols: Symbols, classes: np.ndarray, first: int):
+    """Counts of classes before (slot = class) and after (slot = width + class) each symbol from ``first`` on.
+
+    Slot 2 * width counts a symbol that follows itself, which is in neither of the other two.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = int(classes.max()) + 1
+        slots = 2 * width + 1
+        codes, counts, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            own, inverse = np.unique(np.concatenate(codes), return_inverse=True)
+            return own, np.bincount(inverse, np.concatenate(counts), len(own)).astype(np.int64)
+
+        def handed(code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(code // slots), pa.array((code % slots).astype(np.int32)), pa.array(n)], names=["s", "slot", "n"])
+
+        for batch in batches:
+            for _, _, keys, bucket, word_offs in _parts(batch, 0):
+                stream, _ = symbols.stream(keys, bucket, word_offs)
+                at = np.flatnonzero((stream >= first) & (stream != symbols.end))
+                if not len(at):
+                    continue
+                own, before, after = stream[at], stream[at - 1], stream[at + 1]  # the stream's last symbol is an end
+                code = own * slots
+                code = np.concatenate([(code + classes[before])[before != own], (code + width + classes[after])[after != own], (code + 2 * width)[after == own]])
+                code, n = np.unique(code, return_counts=True)
+                codes.append(code)
+                counts.append(n)
+                size += len(code)
+                if size > HELD_CODES:
+                    code, n = merged()
+                    if len(code) > HELD_CODES // 2:
+                        yield handed(code, n)
+                        code, n = code[:0], n[:0]
+                    codes, counts, size = [code], [n], len(code)
+        yield handed(*merged())
+
+    return run
+
+
+def _plogp(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-300))
+
+
+def best_classes(own: np.ndarray, left: np.ndarray, right: np.ndarray, twice: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """The class of the greatest gain for each word, all others standing still.
+
+    ``own`` is the class that ``grams`` counts a word in, ``left`` and ``right`` its counts of classes before and after
+    (words x classes, the word itself not counted), ``twice`` how often it follows itself. The last class is the end's.
+    A class without words is no choice.
+    """
+    size = len(grams)
+    words, k = np.arange(len(own)), size - 1
+    gain = np.zeros((len(own), size))
+    base = _plogp(grams)
+    # neighbours in other classes than the word's own and the candidate
+    for counts, cells, cell_base in ((right, grams, base), (left, grams.T, base.T)):
+        counts = counts.copy()
+        counts[words, own] = 0
+        word, c = np.nonzero(counts)
+        n = counts[word, c]
+        more = _plogp(cells.T[c] + n[:, None]) - cell_base.T[c]
+        more[np.arange(len(word)), c] = 0
+        if len(word):
+            heads = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            gain[word[heads]] += np.add.reduceat(more, heads, axis=0)
+    # neighbours in the own class, whose cells the word has left
+    to_own, from_own = grams[:, own].T - left, grams[own] - right
+    gain += _plogp(to_own + right[words, own][:, None]) - _plogp(to_own) + _plogp(from_own + left[words, own][:, None]) - _plogp(from_own)
+    diagonal = np.diag(grams)[None, :]
+    gain += _plogp(diagonal + right + left + twice[:, None]) - _plogp(diagonal)
+    out, into = (x.sum(axis=1) + twice for x in (right, left))
+    # totals of other classes don't depend on where the word goes
+    rows, columns = grams.sum(axis=1)[None, :], grams.sum(axis=0)[None, :]
+    gain -= _plogp(rows + out[:, None]) - _plogp(rows) + _plogp(columns + into[:, None]) - _plogp(columns)
+    # staying: what is lost by leaving
+    stay_right, stay_left = _plogp(grams[own]) - _plogp(grams[own] - right), _plogp(grams[:, own].T) - _plogp(grams[:, own].T - left)
+    stay_right[words, own] = stay_left[words, own] = 0
+    row, column, cell = grams.sum(axis=1)[own], grams.sum(axis=0)[own], grams[own, own]
+    rest = left[words, own] + right[words, own] + twice
+    stay = stay_right.sum(axis=1) + stay_left.sum(axis=1) + _plogp(cell) - _plogp(cell - rest)
+    stay -= _plogp(row) - _plogp(row - out) + _plogp(column) - _plogp(column - into)
+    gain[words, own] = stay
+    gain[:, (grams.sum(axis=0) == 0) & (grams.sum(axis=1) == 0)] = -np.inf  # else all words would go to an empty class at once
+    best = np.argmax(gain[:, :k], axis=1)
+    return np.where(gain[words, best] > stay + 1e-9, best, own)
+
+
+def _placed(classes: np.ndarray, grams: np.ndarray):
+    """Rows (s, slot, n) come sorted by symbol; a symbol may go on in the next batch."""
+    width = len(grams)
+
+    def best(table: pa.Table) -> pa.RecordBatch:
+        s, slot, n = (table.column(k).to_numpy() for k in range(3))
+        ids, word = np.unique(s, return_inverse=True)
+        counts = np.bincount(word * (2 * width + 1) + slot, n, len(ids) * (2 * width + 1)).reshape(len(ids), 2 * width + 1)
+        found = best_classes(classes[ids], counts[:, :width], counts[:, width : 2 * width], counts[:, 2 * width], grams)
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(found.astype(np.int32))], names=["s", "class"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            rest.append(batch)
+            if sum(b.num_rows for b in rest) >= PLACED_ROWS:
+                table = pa.Table.from_batches(rest).combine_chunks()
+                s = table.column(0).to_numpy()
+                last = int(np.searchsorted(s, s[-1]))
+                if last:
+                    yield best(table.slice(0, last))
+                rest = table.slice(last).to_batches()
+        table = pa.Table.from_batches(rest) if rest else None
+        if table is not None and table.num_rows:
+            yield best(table)
+
+    return run
+
+
+def _class_bigrams(texts: DataFrame, symbols: Symbols, classes: np.ndarray) -> np.ndarray:
+    width = int(classes.max()) + 1
+    counted = texts.mapInArrow(_codes(symbols, 2, classes), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # at most (CLASSES + 1)**2
+    grams = np.zeros(width * width)
+    grams[counted.column("code").to_numpy().astype(np.int64)] = counted.column("n").to_numpy()
+    return grams.reshape(width, width)
+
+
+def place(texts: DataFrame, symbols: Symbols, classes: np.ndarray, first: int) -> np.ndarray:
+    """Classes after PLACE_ROUNDS rounds of exchange over all symbols from ``first`` on but the end."""
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for _ in range(PLACE_ROUNDS):
+        grams = _class_bigrams(texts, symbols, classes)
+        counts = texts.mapInArrow(_neighbours(symbols, classes, first), "s long, slot int, n long")
+        found = counts.repartition(parts, "s").sortWithinPartitions("s").mapInArrow(_placed(classes, grams), "s long, class int").toArrow()  # a row for each symbol
+        classes = classes.copy()
+        classes[found.column("s").to_numpy()] = found.column("class").to_numpy()
+    return classes
+
+
 @dataclass(frozen=True)
 class Model:
     symbols: Symbols
@@ -236,8 +381,18 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", usabl
     size = symbols.end + 1
     matrix = np.zeros(size * size)
     matrix[bigrams.column("code").to_numpy().astype(np.int64)] = bigrams.column("n").to_numpy()
-    classes = exchange(matrix.reshape(size, size))
-    width = int(classes.max()) + 1
+    seeded = exchange(matrix.reshape(size, size))
+    width = int(seeded.max()) + 1
+    # further words stand in the class of their bucket until they are placed
+    rest = words.where(F.col("c") >= LEAST_PLACED).where("bucket >= 0").select("h", "bucket").toArrow()
+    more, buckets = rest.column("h").to_numpy().view(np.uint64), rest.column("bucket").to_numpy().astype(np.int64)
+    new = ~np.isin(more, clustered)
+    order = np.argsort(more[new])
+    more, buckets = more[new][order], buckets[new][order]
+    n = len(clustered)
+    symbols, classes = Symbols(np.concatenate([clustered, more])), np.concatenate([seeded[:n], seeded[n + buckets], seeded[n:]])
+    classes = place(texts, symbols, classes, n)
+    clustered = np.concatenate([clustered, more])
     trigrams = texts.mapInArrow(_codes(symbols, 3, classes), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # at most (CLASSES + 1)**3
     cube = np.zeros(width**3)
     cube[trigrams.column("code").to_numpy().astype(np.int64)] = trigrams.column("n").to_numpy()
@@ -262,7 +417,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", usabl
     return Model(symbols, classes, np.log10(_share(cube)), log_known, log_unknown, keys[order], c[order], tokens, types, least, path)
 
 
-_SCORED = "row long, doc_id {kind}, n_tokens long, n_known long, base double, score double, h long, bucket int, times long"
+_SCORED = "row long, doc_id {kind}, n_tokens long, n_known long, base double, score double, h long, bucket int, class int, times long"
 
 
 def _scored(model: Model):
@@ -299,10 +454,10 @@ def _scored(model: Model):
                 n_known = np.bincount(owner, known, rows).astype(np.int64) + (ends > 0)
                 numbers = number + np.arange(rows)
                 none = pa.nulls(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(numbers), batch.column(0).slice(row, rows), pa.array(np.diff(word_offs) + 1), pa.array(n_known), pa.array(base), pa.array(score), none, pa.nulls(rows, pa.int32()), none], names=_NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(numbers), batch.column(0).slice(row, rows), pa.array(np.diff(word_offs) + 1), pa.array(n_known), pa.array(base), pa.array(score), none, pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int32()), none], names=_NAMES)
                 late = np.flatnonzero(~settled)
                 if len(late):
-                    # words beyond the lexicon: their class follows from the bucket
+                    # words beyond the lexicon: their counts are joined
                     order = late[np.lexsort((keys[late], owner[late]))]
                     new = np.concatenate(([True], (keys[order][1:] != keys[order][:-1]) | (owner[order][1:] != owner[order][:-1])))
                     head = np.flatnonzero(new)
@@ -310,13 +465,13 @@ def _scored(model: Model):
                     head = order[head]
                     m = len(head)
                     nulls = pa.nulls(m, pa.float64())
-                    yield pa.RecordBatch.from_arrays([pa.array(numbers[owner[head]]), pa.nulls(m, batch.column(0).type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), nulls, nulls, pa.array(keys[head].view(np.int64)), pa.array(bucket[head].astype(np.int32)), pa.array(times.astype(np.int64))], names=_NAMES)
+                    yield pa.RecordBatch.from_arrays([pa.array(numbers[owner[head]]), pa.nulls(m, batch.column(0).type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), nulls, nulls, pa.array(keys[head].view(np.int64)), pa.array(bucket[head].astype(np.int32)), pa.array(word_class[head].astype(np.int32)), pa.array(times.astype(np.int64))], names=_NAMES)
                 number += rows
 
     return run
 
 
-_NAMES = ["row", "doc_id", "n_tokens", "n_known", "base", "score", "h", "bucket", "times"]
+_NAMES = ["row", "doc_id", "n_tokens", "n_known", "base", "score", "h", "bucket", "class", "times"]
 
 
 def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -331,15 +486,14 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     rows = saved(source.mapInArrow(_scored(model), _SCORED.format(kind=kind)), "scored")
     words = docs.sparkSession.read.schema("h long, bucket int, c long").parquet(model.path)
     # the tail of the vocabulary: no word in it is frequent
-    tail = rows.where("h is not null").select("row", "h", "bucket", "times").join(words.where(F.col("c") < model.least).select("h", "c"), "h", "left")
+    tail = rows.where("h is not null").select("row", "h", "bucket", "class", "times").join(words.where(F.col("c") < model.least).select("h", "c"), "h", "left")
     unknown = F.element_at(F.array(*(F.lit(float(x)) for x in model.log_unknown)), F.col("bucket") + 1)
-    first = len(model.symbols.place)
-    log_known = F.element_at(F.array(*(F.lit(float(model.log_known[model.classes[first + k]])) for k in range(BUCKETS))), F.col("bucket") + 1)
+    log_known = F.element_at(F.array(*(F.lit(float(x)) for x in model.log_known)), F.col("class") + 1)
     denominator = float(np.log10(model.tokens + ADD * (model.types + 1)))
     c = F.coalesce("c", F.lit(0))
     sums = tail.select("row", "times", c.alias("c"), F.when(c > 0, log_known + F.log10(F.greatest(c, F.lit(1)).cast("double"))).otherwise(unknown).alias("emission"), (F.log10(c + ADD) - denominator).alias("b"))
     late = sums.groupBy("row").agg(F.sum(F.col("times") * F.col("emission")).alias("late_score"), F.sum(F.col("times") * F.col("b")).alias("late_base"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("late_known"))
-    held = rows.where("h is null").drop("h", "bucket", "times").join(late, "row", "left").na.fill(0, ["late_score", "late_base", "late_known"])
+    held = rows.where("h is null").drop("h", "bucket", "class", "times").join(late, "row", "left").na.fill(0, ["late_score", "late_base", "late_known"])
     return held.select(
         F.col("doc_id").alias(id_col),
         (~training_rows("doc_id")).alias("held_out"),

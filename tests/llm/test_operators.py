@@ -345,6 +345,56 @@ def test_class_lm_is_a_distribution(spark):
     assert np.allclose(mass[used], 1)
 
 
+def test_all_words_but_rare_ones_are_clustered(spark, monkeypatch):
+    """Words beyond the seeds, whose endings tell nothing, go to the classes of the words used like them."""
+    monkeypatch.setattr(classlm, "CLUSTERED", 40)
+    monkeypatch.setattr(classlm, "HELD_CODES", 50)
+    monkeypatch.setattr(classlm, "PLACED_ROWS", 40)
+    rng = random.Random(12)
+    a, b = [f"a{k}xx" for k in range(120)], [f"b{k}xx" for k in range(120)]
+    rows = [(k, " ".join(w for _ in range(rng.randint(10, 40)) for w in (a[int(rng.random() ** 2 * 120)], b[int(rng.random() ** 2 * 120)]))) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 10 for w in t.split())
+    m = classlm.train(df)
+
+    often = sorted(w for w, c in counts.items() if c >= classlm.LEAST_PLACED)
+    assert len(m.symbols.place) == len(often) > 200
+    data, offs = textkit.utf8(textkit.pa.array([" ".join(often)]))
+    keys, first, end, _ = textkit.words(data, offs)
+    of = m.classes[m.symbols.of(keys, classlm._bucket(data, first, end))]
+    kinds = Counter(zip(of.tolist(), (w[0] for w in often)))
+    pure = sum(max(kinds[c, "a"], kinds[c, "b"]) for c in set(of.tolist())) / len(often)
+    assert pure > 0.95, pure  # with the ending alone all but the seeds stand in one class
+
+
+def test_best_classes_against_the_likelihood():
+    rng = np.random.RandomState(4)
+    n, size = 30, 6
+    counts = rng.poisson(0.7, (n + 1, n + 1)).astype(float)
+    counts[3, 3] = 4
+    of = np.append(rng.randint(0, size - 1, n), size - 1)
+
+    def grams(of):
+        member = np.eye(size)[of]
+        return member.T @ counts @ member
+
+    def likelihood(of):
+        g = grams(of)
+        return sum((x * np.log(np.maximum(x, 1e-300))).sum() * sign for x, sign in ((g, 1), (g.sum(axis=0), -1), (g.sum(axis=1), -1)))
+
+    left, right, twice = np.zeros((n, size)), np.zeros((n, size)), np.diag(counts)[:n]
+    for w in range(n):
+        for x in range(n + 1):
+            if x != w:
+                left[w, of[x]] += counts[x, w]
+                right[w, of[x]] += counts[w, x]
+    got = classlm.best_classes(of[:n], left, right, twice, grams(of))
+    for w in range(n):
+        moved = [likelihood(np.where(np.arange(n + 1) == w, k, of)) for k in range(size - 1)]
+        assert moved[got[w]] == pytest.approx(max(moved), rel=1e-12)
+    assert (got != of[:n]).any()
+
+
 def test_class_lm_without_training_rows(spark):
     df = spark.createDataFrame([(k, "a b") for k in range(200) if zlib.crc32(str(k).encode()) % 10 == 0], "doc_id long, text string")
     got = classlm.score_texts(df, classlm.train(df)).collect()
