@@ -20,7 +20,7 @@ from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField,
 
 from pathloom.llm import textkit
 
-SAMPLE = 1_600  #: the bound on rows that are learned from, shared evenly by the languages
+SAMPLE = 2_400  #: the bound on rows that are learned from, shared evenly by the languages
 LEAST_EACH = 8  #: rows of a language at least, where there are that many
 FEATURES = 1 << 12
 GRAMS = (1, 2, 3, 4)
@@ -112,6 +112,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     source = source.where("doc_id is not null and lang is not null").where(usable if usable is not None else _usable())
+    source = source.where("text rlike '\\\\p{L}'")  # before ranking: a text without letters takes no place
     named = source.select("lang").distinct().count()
     if not named:
         return None
@@ -120,7 +121,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     ids = source.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= each).select("doc_id").distinct()
     # at most ``each`` ids a language
     chosen = F.broadcast(ids.sparkSession.createDataFrame(ids.collect(), "doc_id long")) if each * named <= 10 * SAMPLE else ids
-    sample = source.join(chosen, "doc_id", "left_semi").where("text rlike '\\\\p{L}'").select("lang", "text")
+    sample = source.join(chosen, "doc_id", "left_semi").select("lang", "text")
     rows = sample.mapInArrow(_feature_rows, "lang string, x binary").orderBy("lang", "x").toArrow()
     if not rows.num_rows:
         return None

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -290,6 +291,17 @@ def test_language(spark):
     assert langid.learn(df.limit(0)) is None and {r["lang_pred"] for r in langid.identify(df, None).collect()} == {"und"}
 
 
+def test_texts_without_letters_take_no_place_in_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE", 16)
+    rows = [(k, None if k % 3 else "12 34", lang) for k in range(300) for lang in ("aa", "bb")]
+    rows += [(1000 + k, {"aa": "kalo mika loka", "bb": "schrung keit ung"}[lang], lang) for k in range(8) for lang in ("aa", "bb")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(df, usable=F.lit(True))
+    assert model is not None and model.languages == ("aa", "bb")
+    asked = spark.createDataFrame([(1, "mika kalo"), (2, "keit schrung")], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.identify(asked, model).collect()} == {1: "aa", 2: "bb"}
+
+
 def test_codewords_are_far_apart():
     for n in (2, 3, 5, 9, 40):
         code = langid.codewords(n)
