@@ -1,15 +1,20 @@
 """Byte-level BPE encoding and decoding with a pair occurrence index.
 
-Texts are cut into pre-tokens by run arithmetic on code-point classes. The distinct new pre-tokens of a group of
-texts lie end to end in one symbol array; an index maps each adjacent pair to all its positions there. Active ranks
-are applied in ascending order, each to all its positions at once, and only the pairs beside a merge are entered
-anew. Encoded pre-tokens stay in a bounded cache of the worker.
+Texts are cut into pre-tokens by run arithmetic on character classes, straight on their UTF-8 bytes. The distinct
+pre-tokens of a group of a partition's texts that the worker doesn't remember lie end to end in one symbol array; an
+index maps each adjacent pair to all its positions there. Active ranks are applied in ascending order, each to all its
+positions at once, and only the pairs beside a merge are entered anew.
+
+Encoded pre-tokens are remembered in a table of fixed size under their whole bytes: up to 15 bytes and their length
+make two 64-bit numbers that are compared in full, longer ones are keys of a dictionary. Hashes choose places only.
 """
 
 from __future__ import annotations
 
+import codecs
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -17,15 +22,16 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.textkit import mix64
+from pathloom.llm.textkit import _MASK, lanes, mix64, pieces, utf8
 
-GROUP_CHARS = 4_000_000  #: texts encoded together; one longer text is a group of its own
-PIECE_CHARS = 1_000_000  #: texts cut into pre-tokens together
-CACHE_WORDS = 1_000_000  #: pre-tokens that a worker remembers; beyond them it starts anew
+GROUP_BYTES = 4_000_000  #: texts encoded together; one longer text is a group of its own
+PIECE_BYTES = 4_000_000  #: bytes worked on together; a longer text is cut at blanks between letters
+PLACES = 1 << 21  #: pre-tokens of up to 15 bytes that a worker remembers at most; a newer one takes an older one's place
+HELD_IDS = 8_000_000  #: ids of remembered pre-tokens; beyond them a worker starts anew
+DIGEST_IDS = 1 << 18  #: ids written out as text together
 
 SPACE, LETTER, NUMBER, OTHER = range(4)
 #: The white space of Unicode.
@@ -47,30 +53,31 @@ def _classes() -> np.ndarray:
     return table
 
 
-@lru_cache(maxsize=1)
-def _code_keys() -> np.ndarray:
-    return mix64(np.arange(1, 0x110001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-
-
-_BASE = 0xD6E8FEB86659FD93
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    if len(_powers.get(base, ())) < n:
-        step = np.full(max(n, PIECE_CHARS + 65536), base, np.uint64)
-        step[0] = 1
-        _powers[base] = np.cumprod(step, dtype=np.uint64)
-    return _powers[base][:n]
-
-
-def pretokens(codes: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first code point, end, key) of each pre-token of texts that lie end to end with these offsets."""
-    n = len(codes)
+def _kinds(data: np.ndarray) -> np.ndarray:
+    """Class of the character that each byte belongs to."""
+    kind = _classes()[:256][data]
+    wide = np.flatnonzero(data >= 0xC0)
+    if len(wide):
+        first = data[wide].astype(np.uint32)
+        size = 2 + (first >= 0xE0).astype(np.int64) + (first >= 0xF0)
+        code = first & (np.uint32(0xFF) >> (size + 1).astype(np.uint32))
+        padded = np.concatenate((data, np.zeros(4, np.uint8)))
+        for k in (1, 2, 3):
+            code = np.where(size > k, code << np.uint32(6) | (padded[wide + k] & np.uint32(0x3F)), code)
+        own = _classes()[np.minimum(code, 0x10FFFF)]
+        for k in range(4):
+            of = (size > k) & (wide + k < len(data))
+            kind[wide[of] + k] = own[of]
+    return kind
+
+
+def pretokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, end) of each pre-token of texts that lie end to end with these offsets."""
+    n = len(data)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    kind = _classes()[codes]
-    head = np.zeros(n + 1, bool)  # first code point of a text
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    kind = _kinds(data)
+    head = np.zeros(n + 1, bool)  # first byte of a text
     head[offs] = True
     change = head[:-1].copy()
     change[1:] |= kind[1:] != kind[:-1]
@@ -78,17 +85,19 @@ def pretokens(codes: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     runs = np.flatnonzero(change)
     ends = np.append(runs[1:], n)
     # a run that isn't space takes one blank before it along
-    blank = (runs > 0) & (kind[runs] != SPACE) & ~head[runs] & (codes[runs - 1] == 32)
+    blank = (runs > 0) & (kind[runs] != SPACE) & ~head[runs] & (data[runs - 1] == 32)
     start[runs[blank]] = False
     start[runs[blank] - 1] = True
     # a run of space before more text gives up its last mark
-    spaces = (kind[runs] == SPACE) & ~head[ends]
-    start[ends[spaces] - 1] = True
+    last = ends[(kind[runs] == SPACE) & ~head[ends]] - 1
+    for _ in range(3):
+        last = last - ((data[last] & 0xC0) == 0x80)
+    start[last] = True
     # suffixes behind an apostrophe that stands alone and has no blank before it
-    lone = runs[(ends - runs == 1) & (codes[runs] == 39) & ~blank & ~head[ends]]
+    lone = runs[(ends - runs == 1) & (data[runs] == 39) & ~blank & ~head[ends]]
     lone = lone[kind[lone + 1] == LETTER]
     if len(lone):
-        padded = np.append(codes, [0, 0, 0])
+        padded = np.append(data, np.zeros(3, np.uint8))
         stop = np.append(head, [True, True])
         cut = np.zeros(len(lone), np.int64)
         for suffix in reversed(SUFFIXES):
@@ -101,11 +110,7 @@ def pretokens(codes: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
         after = lone + 1 + cut
         start[after[after < n]] = True
     first = np.flatnonzero(start)
-    end = np.append(first[1:], n)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_code_keys()[codes] * _power(_BASE, n), out=total[1:])
-    keys = mix64((total[end] - total[first]) * _power(pow(_BASE, -1, 2**64), n)[first])
-    return first, end, keys
+    return first, np.append(first[1:], n)
 
 
 class Vocabulary:
@@ -127,6 +132,7 @@ class Vocabulary:
             self.token_bytes[k] = bytes(byte[c] for c in token)
         for token, k in self.special.items():
             self.token_bytes[k] = token.encode()
+        self.token_size = np.array([len(t) for t in self.token_bytes], np.int64)
         self.decimal = [str(k) for k in range(size)]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         left, right = (np.array([vocab[p[k]] for p in pairs], np.int64) for k in (0, 1))
@@ -141,11 +147,10 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.sorted, key), len(self.sorted) - 1)
         return np.where(self.sorted[at] == key, self.order[at], -1)
 
-    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words end to end, and each word's offset."""
-        sizes = np.array([len(w) for w in words], np.int64)
-        offs = np.concatenate(([0], np.cumsum(sizes)))
-        symbol = self.byte_id[np.frombuffer(b"".join(words), np.uint8)]
+    def encode_words(self, words: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, whose bytes lie end to end, and each word's offset."""
+        sizes = np.diff(offs)
+        symbol = self.byte_id[words]
         n = len(symbol)
         if not n:
             return np.zeros(0, np.int32), offs
@@ -217,78 +222,137 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def _grown(array: np.ndarray, used: int, more: int) -> np.ndarray:
+    if used + more <= len(array):
+        return array
+    return np.concatenate((array[:used], np.zeros(max(len(array), used + 2 * more) - used + more, array.dtype)))
+
+
 class Encoder:
-    """Encodes texts by pre-tokens with a cache; ``encode_words`` gives ids of UTF-8 pre-tokens end to end."""
+    """Encodes texts by pre-tokens; ``encode_words`` gives ids of UTF-8 pre-tokens that lie end to end."""
 
-    def __init__(self, encode_words: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], special: dict[str, int]):
-        self.encode_words, self.special = encode_words, special
+    def __init__(self, encode_words: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], special: dict[str, int]):
+        self.encode_words = encode_words
+        self.special = {token.encode(): k for token, k in special.items() if token}
+        longest_first = sorted(self.special, key=lambda t: (-len(t), t))
+        self.pattern = re.compile(b"|".join(map(re.escape, longest_first))) if longest_first else None
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.ids, self.offs = np.zeros(0, np.int32), np.zeros(1, np.int64)
-
-    def _learn(self, words: dict[int, bytes]) -> None:
-        ids, offs = self.encode_words(list(words.values()))
-        self.slot = np.append(self.slot, len(self.offs) - 1 + np.arange(len(words)))
-        self.offs = np.append(self.offs, self.offs[-1] + offs[1:])
-        self.ids = np.append(self.ids, ids.astype(np.int32))
-        self.keys = np.append(self.keys, np.fromiter(words, np.uint64, len(words)))
-        order = np.argsort(self.keys)
-        self.keys, self.slot = self.keys[order], self.slot[order]
-
-    def _known(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(keys), bool)
-        return self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] == keys
-
-    def _segments(self, texts: list[str]) -> tuple[list[str], list[list[int]]]:
-        """Texts cut at special tokens: segments, and for each text its segments' numbers, special ids as -1 - id."""
-        segments, plan = [], []
-        for text in texts:
-            parts: list[str | int] = [text]
-            for token, k in self.special.items():
-                parts = [y for x in parts for y in ([x] if isinstance(x, int) or token not in x else [z for i, w in enumerate(x.split(token)) for z in ([k, w] if i else [w])])]
-            own = []
-            for part in parts:
-                own.append(-1 - part if isinstance(part, int) else len(segments))
-                if not isinstance(part, int):
-                    segments.append(part)
-            plan.append(own)
-        return segments, plan
+        self.low, self.high, self.word = np.zeros(PLACES, np.uint64), np.zeros(PLACES, np.uint64), np.zeros(PLACES, np.int32)
+        self.long: dict[bytes, int] = {}
+        self.ids, self.offs, self.words = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), 0
+        self.special_word = {token: self._learn_ids(np.array([k], np.int32), np.array([0, 1])) for token, k in self.special.items()}
+
+    def _learn_ids(self, ids: np.ndarray, offs: np.ndarray) -> int:
+        """Hold the ids of new words; the first one's number."""
+        first, at, n = self.words, int(self.offs[self.words]), len(offs) - 1
+        self.ids, self.offs = _grown(self.ids, at, len(ids)), _grown(self.offs, first + 1, n)
+        self.ids[at : at + len(ids)] = ids
+        self.offs[first + 1 : first + 1 + n] = at + offs[1:]
+        self.words += n
+        return first
+
+    def _numbers(self, data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Number of each word, whose ids are then held."""
+        size = end - first
+        eight = lanes(data)
+        low = eight[first] & _MASK[np.minimum(size, 8)]
+        high = (eight[first + 8] & _MASK[np.clip(size - 8, 0, 7)]) | (np.minimum(size, 16).astype(np.uint64) << np.uint64(56))
+        key = mix64(low ^ mix64(high))
+        place = (key >> np.uint64(64 - PLACES.bit_length() + 1)).astype(np.int64)
+        out = self.word[place]
+        short = size <= 15
+        new = np.flatnonzero(short & ((self.low[place] != low) | (self.high[place] != high)))
+        _, where, inverse = np.unique(key[new], return_index=True, return_inverse=True)
+        head = new[where]
+        same = (low[head][inverse] == low[new]) & (high[head][inverse] == high[new])
+        # words of more bytes, and those (hardly ever any) whose key is another new word's
+        apart = np.concatenate((np.flatnonzero(~short), new[~same]))
+        others: dict[bytes, int] = {}
+        named = [(k, data[first[k] : end[k]].tobytes()) for k in apart.tolist()]
+        for k, word in named:
+            if word not in self.long and word not in others:
+                others[word] = k
+        learned = np.concatenate((head, np.fromiter(others.values(), np.int64, len(others))))
+        if len(learned):
+            offs = np.concatenate(([0], np.cumsum(size[learned])))
+            joined = data[np.repeat(first[learned] - offs[:-1], size[learned]) + np.arange(offs[-1])]
+            number = self._learn_ids(*self.encode_words(joined, offs))
+            out[new[same]] = number + inverse[same]
+            self.low[place[head]], self.high[place[head]] = low[head], high[head]
+            self.word[place[head]] = number + np.arange(len(head))
+            for at, word in enumerate(others, number + len(head)):
+                self.long[word] = at
+        for k, word in named:
+            out[k] = self.long[word]
+        return out
+
+    def _cut(self, data: np.ndarray, heads: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Ranges of about PIECE_BYTES that end with a text, or else before a blank between two letters."""
+        at, n, size = 0, len(data), PIECE_BYTES
+        while at < n:
+            stop = at + size
+            k = int(np.searchsorted(heads, stop, "right")) - 1
+            if stop >= n or heads[k] > at:
+                stop = min(n, int(heads[k]) if stop < n else n)
+            else:
+                part = data[at:stop]
+                letter = (part | 0x20) - np.uint8(97) < 26
+                between = np.flatnonzero((part[1:-1] == 32) & letter[:-2] & letter[2:])
+                if not len(between):
+                    size *= 2
+                    continue
+                stop = at + 1 + int(between[-1])
+            yield at, stop
+            at, size = stop, PIECE_BYTES
+
+    def _specials(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """(first byte, end) and token of each special token inside a text, from the left."""
+        first, end, tokens = [], [], []
+        if self.pattern:
+            joined = data.tobytes()
+            m = self.pattern.search(joined)
+            while m:
+                inside = m.end() <= offs[int(np.searchsorted(offs, m.start(), "right"))]
+                if inside:
+                    first.append(m.start())
+                    end.append(m.end())
+                    tokens.append(m[0])
+                m = self.pattern.search(joined, m.end() if inside else m.start() + 1)
+        return np.array(first, np.int64), np.array(end, np.int64), tokens
+
+    def encode_bytes(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts whose UTF-8 bytes lie end to end, and each text's offset in them."""
+        special, special_end, tokens = self._specials(data, offs)
+        heads = np.unique(np.concatenate((offs, special, special_end)))
+        parts, at, counts, ids_before = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        for a, b in self._cut(data, heads):
+            if self.offs[self.words] > HELD_IDS or len(self.long) > PLACES:
+                self._forget()
+            part = data[a:b]
+            first, _ = pretokens(part, heads[np.searchsorted(heads, a) : np.searchsorted(heads, b, "right")] - a)
+            own = slice(np.searchsorted(special, a), np.searchsorted(special, b))
+            if own.start < own.stop:  # what stands inside a special token is no word
+                step = np.zeros(len(first) + 1, np.int64)
+                step[np.searchsorted(first, special[own] - a, "right")] += 1
+                np.subtract.at(step, np.searchsorted(first, special_end[own] - a), 1)
+                first = first[np.cumsum(step)[:-1] <= 0]
+            numbers = self._numbers(part, first, np.append(first[1:], len(part)))
+            numbers[np.searchsorted(first, special[own] - a)] = [self.special_word[token] for token in tokens[own]]
+            begin = self.offs[numbers]
+            length = self.offs[numbers + 1] - begin
+            total = np.cumsum(length)
+            parts.append(self.ids[np.repeat(begin - total + length, length) + np.arange(total[-1])])
+            at.append(first + a)
+            counts.append(ids_before + total - length)
+            ids_before += int(total[-1])
+        before = np.append(np.concatenate(counts), ids_before)
+        return np.concatenate(parts), before[np.searchsorted(np.concatenate(at), offs)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.keys) > CACHE_WORDS:
-            self._forget()
-        segments, plan = self._segments(texts)
-        pieces, at = [], 0
-        new: dict[int, bytes] = {}
-        while at < len(segments):
-            end, size = at, 0
-            while end < len(segments) and (end == at or size + len(segments[end]) <= PIECE_CHARS):
-                size += len(segments[end])
-                end += 1
-            joined = "".join(segments[at:end])
-            offs = np.concatenate(([0], np.cumsum([len(s) for s in segments[at:end]])))
-            first, stop, keys = pretokens(np.frombuffer(joined.encode("utf-32-le"), np.uint32), offs)
-            distinct, where, inverse = np.unique(keys, return_index=True, return_inverse=True)
-            for k in np.flatnonzero(~self._known(distinct)).tolist():
-                key = int(distinct[k])
-                if key not in new:
-                    new[key] = joined[first[where[k]] : stop[where[k]]].encode()
-            pieces.append((distinct, inverse.astype(np.int32), np.searchsorted(first, offs)))
-            at = end
-        if new:
-            self._learn(new)
-        done: list[np.ndarray] = []
-        for distinct, inverse, offs in pieces:
-            slot = self.slot[np.searchsorted(self.keys, distinct)] if len(distinct) else np.zeros(0, np.int64)
-            length = (self.offs[slot + 1] - self.offs[slot])[inverse]
-            total = np.concatenate(([0], np.cumsum(length)))
-            source = np.repeat(self.offs[slot][inverse] - total[:-1], length) + np.arange(total[-1])
-            ids = self.ids[source]
-            done += [ids[total[a] : total[b]] for a, b in zip(offs[:-1], offs[1:], strict=True)]
-        return [done[own[0]] if len(own) == 1 else np.concatenate([done[k] if k >= 0 else np.array([-1 - k], np.int32) for k in own]) for own in plan]
+        ids, at = self.encode_bytes(*utf8(pa.array(texts, pa.string())))
+        return [ids[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -301,20 +365,19 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def text_groups(batch: pa.RecordBatch, column: int, chars: int = GROUP_CHARS) -> Iterator[tuple[int, list[str]]]:
-    """(first row, texts) of runs of rows of about ``chars`` bytes; null texts are empty."""
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < batch.num_rows:
-        base = sizes[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(sizes, base + chars, "right")))
-        yield at, [t or "" for t in batch.column(column).slice(at, end - at).to_pylist()]
-        at = end
+def text_groups(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) of runs of rows of about GROUP_BYTES; null texts are empty."""
+    return pieces(*utf8(batch.column(column)), GROUP_BYTES)
 
 
-def _digests(vocab: Vocabulary, ids: list[int]) -> tuple[str, str]:
-    decoded = b"".join(map(vocab.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
-    return sha256(",".join(map(vocab.decimal.__getitem__, ids)).encode()).hexdigest(), sha256(decoded.encode()).hexdigest()
+def _digests(vocab: Vocabulary, ids: np.ndarray) -> tuple[str, str]:
+    decimals, decoded, decoder = sha256(), sha256(), codecs.getincrementaldecoder("utf-8")("replace")
+    for at in range(0, len(ids), DIGEST_IDS):
+        own = ids[at : at + DIGEST_IDS].tolist()
+        decimals.update((("," if at else "") + ",".join(map(vocab.decimal.__getitem__, own))).encode())
+        decoded.update(decoder.decode(b"".join(map(vocab.token_bytes.__getitem__, own))).encode())
+    decoded.update(decoder.decode(b"", True).encode())
+    return decimals.hexdigest(), decoded.hexdigest()
 
 
 def round_trips(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -331,14 +394,13 @@ def round_trips(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, coder = vocabulary(path), encoder(path)
         for batch in batches:
-            for at, texts in text_groups(batch, 1):
-                found = coder.encode(texts)
-                digests = [_digests(vocab, x.tolist()) for x in found]
-                columns = [batch.column(0).slice(at, len(texts)), pa.array([len(x) for x in found], pa.int64()), *(pa.array([d[k] for d in digests]) for k in (0, 1))]
+            for row, end, data, offs in text_groups(batch, 1):
+                ids, at = coder.encode_bytes(data, offs)
+                digests = [_digests(vocab, ids[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+                columns = [batch.column(0).slice(row, end - row), pa.array(np.diff(at), pa.int64()), *(pa.array([d[k] for d in digests], pa.string()) for k in (0, 1))]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    offs = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
-                    columns, names = [*columns, pa.ListArray.from_arrays(offs, np.concatenate(found).astype(np.int32))], [*names, "ids"]
+                    columns, names = [*columns, pa.ListArray.from_arrays(at.astype(np.int32), ids)], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return source.mapInArrow(run, schema).withColumnRenamed("doc_id", id_col)

@@ -1,27 +1,30 @@
 """Vectorised word and shingle kernels over UTF-8 bytes (numpy), shared by the text operators.
 
-Words are maximal runs of bytes outside 0x20 and 0x09-0x0D after A-Z are lower-cased; a word's key is a
-64-bit polynomial hash of its bytes, finished with a bijective mixer. Documents never share a word.
+Words are maximal runs of bytes outside 0x20 and 0x09-0x0D after A-Z are lower-cased. A word's 64-bit key takes eight
+bytes at a time through a bijective mixer, so words of up to eight bytes have keys of their own and longer ones meet
+non-linear steps that structured texts can't cancel; words over ``LONG`` bytes are hashed by keyed BLAKE2. Documents
+never share a word.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 PIECE_BYTES = 2_000_000  #: texts are worked on in pieces of about this size; a longer text is a piece of its own
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+LONG = 64  #: bytes from which on a word is hashed by itself
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE_KEY = np.random.RandomState(20240607).randint(1, 2**62, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 2**64)
+_FOLDED = _LOWER.copy()
+_FOLDED[range(0x09, 0x0E)] = 0x20
+_MASK = np.array([0, *(2 ** (8 * n) - 1 for n in range(1, 9))], np.uint64)
+_SEED = np.uint64(0x9E3779B97F4A7C15)
 _GRAM_KEYS = np.random.RandomState(77).randint(1, 2**62, 16).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -33,13 +36,26 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(kind: str, n: int) -> np.ndarray:
-    have = _powers[kind]
-    if len(have) < n:
-        step = np.full(max(n, 2 * PIECE_BYTES), _BASE if kind == "up" else _BASE_INVERSE, np.uint64)
-        step[0] = 1
-        have = _powers[kind] = np.cumprod(step, dtype=np.uint64)
-    return have[:n]
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one little-endian number, zeros behind the end (and 16 places more)."""
+    return np.ndarray(len(data) + 17, "<u8", np.concatenate((data, np.zeros(24, np.uint8))), 0, (1,))
+
+
+def run_keys(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit key of each run of bytes."""
+    size = end - first
+    eight = lanes(data)
+    keys = mix64((eight[first] & _MASK[np.minimum(size, 8)]) + _SEED * size.astype(np.uint64))
+    rest = np.flatnonzero((size > 8) & (size <= LONG))
+    at = 8
+    while len(rest):
+        more = eight[first[rest] + at] & _MASK[np.minimum(size[rest] - at, 8)]
+        keys[rest] = mix64((keys[rest] + _SEED) ^ more)
+        at += 8
+        rest = rest[size[rest] > at]
+    for k in np.flatnonzero(size > LONG).tolist():
+        keys[k] = int.from_bytes(blake2b(data[first[k] : end[k]], digest_size=8, key=b"word").digest(), "little")
+    return keys
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -69,17 +85,16 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     if not n:
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), none, none, np.zeros(len(offs), np.int64)
-    inside = ~_SPACE[data]
+    folded = _FOLDED[data]
+    inside = folded != 0x20
     edge = np.zeros(n + 1, bool)
     edge[offs] = True
-    before = np.concatenate(([False], inside[:-1])) & ~edge[:-1]
-    after = np.concatenate((inside[1:], [False])) & ~edge[1:]
-    first = np.flatnonzero(inside & ~before)
-    end = np.flatnonzero(inside & ~after) + 1
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE_KEY[_LOWER[data]] * _power("up", n), out=total[1:])
-    keys = mix64((total[end] - total[first]) * _power("down", n)[first])
-    return keys, first, end, np.searchsorted(first, offs)
+    begins, ends = inside.copy(), np.ones(n, bool)
+    begins[1:] &= ~inside[:-1] | edge[1:-1]
+    ends[:-1] = ~inside[1:] | edge[1:-1]
+    ends &= inside
+    first, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    return run_keys(folded, first, end), first, end, np.searchsorted(first, offs)
 
 
 def shingles(keys: np.ndarray, word_offs: np.ndarray, width: int = 5) -> list[np.ndarray]:

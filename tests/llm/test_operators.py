@@ -183,7 +183,7 @@ def test_token_store_of_repeats_and_none(spark):
 def test_damaged_chunk_is_found():
     import pyarrow as pa
 
-    batch = pa.record_batch([pa.array([b"0" * 16]), pa.array([b"\1\0\2"])], names=["chunk_id", "data"])
+    batch = pa.record_batch([pa.array([b"0" * 16]), pa.array([2], pa.int8()), pa.array([b"\1\0"])], names=["chunk_id", "width", "data"])
     with pytest.raises(ValueError, match="does not match"):
         list(tokenstore._checked(iter([batch])))
 
