@@ -1,7 +1,7 @@
 """Vectorised word and shingle kernels over UTF-8 bytes (numpy), shared by the text operators.
 
 Words are maximal runs of bytes outside 0x20 and 0x09-0x0D after A-Z are lower-cased. A word's 64-bit key takes eight
-bytes at a time through a bijective mixer, so words of up to eight bytes have keys of their own and longer ones meet
+bytes at a time through a bijective mixer, so words of one length up to eight bytes have keys of their own and longer ones meet
 non-linear steps that structured texts can't cancel; words over ``LONG`` bytes are hashed by keyed BLAKE2. Documents
 never share a word.
 """
@@ -70,6 +70,21 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offs[0] : offs[-1]], offs - offs[0]
 
 
+def binary(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of a column of packed little-endian numbers, and row offsets; a null row has none."""
+    column = column.fill_null(b"").cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    offs = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    if data is None or not len(column):
+        return np.zeros(0, kind), np.zeros(len(column) + 1, np.int64)
+    return np.frombuffer(data, np.uint8)[offs[0] : offs[-1]].view(kind), (offs - offs[0]) // np.dtype(kind).itemsize
+
+
+def packed(values: np.ndarray, offs: np.ndarray) -> pa.Array:
+    """Binary column of the values between the offsets."""
+    return pa.Array.from_buffers(pa.binary(), len(offs) - 1, [None, pa.py_buffer((offs * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
 def pieces(data: np.ndarray, offs: np.ndarray, size: int = PIECE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Row ranges of about ``size`` bytes: (first row, end row, bytes, offsets from 0)."""
     row, rows = 0, len(offs) - 1

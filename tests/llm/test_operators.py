@@ -319,7 +319,7 @@ def _lm_rows():
 @pytest.mark.parametrize("lexicon", [400_000, 10])
 def test_class_lm(spark, monkeypatch, lexicon):
     monkeypatch.setattr(classlm, "LEXICON", lexicon)
-    monkeypatch.setattr(classlm, "CLUSTERED", 40)
+    monkeypatch.setattr(classlm, "SEEDS", 40)
     rows = _lm_rows()
     df = spark.createDataFrame([(i, t, 1.0) for i, t in rows], "doc_id long, text string, score double")
     counts = Counter()
@@ -328,6 +328,8 @@ def test_class_lm(spark, monkeypatch, lexicon):
             counts.update([*_words(t), None])
     n, v = sum(counts.values()), len(counts)
     got = {r["doc_id"]: r for r in classlm.score_texts(df, classlm.train(df)).collect()}
+    again = {r["doc_id"]: r for r in classlm.score_corpus(df).collect()}
+    assert again.keys() == got.keys() and all(again[i][:6] == got[i][:6] and again[i]["score"] == pytest.approx(got[i]["score"], rel=1e-12) for i in got)
     model = base = 0.0
     for i, t in rows:
         tokens = [*_words(t), None]
@@ -336,32 +338,104 @@ def test_class_lm(spark, monkeypatch, lexicon):
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(tokens), sum(counts[x] > 0 for x in tokens), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((counts[x] + 0.1) / (n + 0.1 * (v + 1))) for x in tokens), rel=1e-9)
         assert r["score"] < 0 and math.isfinite(r["score"])
+        assert r["perplexity"] == pytest.approx(10 ** (-r["score"] / len(tokens)), rel=1e-9)
         if r["held_out"] and i < 500:
             model, base = model + r["score"], base + r["base_score"]
     assert model > base * 0.9  # the alternating classes are found
 
 
-def test_class_lm_is_a_distribution(spark):
-    df = spark.createDataFrame(_lm_rows(), "doc_id long, text string")
-    m = classlm.train(df)
+def _word_classes(spark, m):
+    """(key, bucket, count, class) of all words of a model's corpus, the end left out."""
+    words = [tuple(r) for r in spark.read.parquet(m.lexicon.path).where("bucket >= 0").collect()]
+    keys = np.array([w[0] for w in words], np.int64)
+    bucket = np.array([w[1] for w in words])
+    placed = {r["s"]: r["class"] for r in spark.read.parquet(m.placed).where("late").collect()} if m.placed else {}
+    at = m.lexicon.find(keys.view(np.uint64))
+    of = np.where(at >= 0, m.classes[np.maximum(at, 0)], m.classes[m.lexicon.end + 1 + bucket])
+    of = np.array([placed.get(k, c) for k, c in zip(keys.tolist(), of.tolist(), strict=True)])
+    return keys, bucket, np.array([w[2] for w in words]), of
+
+
+@pytest.mark.parametrize("lexicon", [400_000, 60])
+def test_class_lm_is_a_distribution(spark, monkeypatch, lexicon):
+    monkeypatch.setattr(classlm, "LEXICON", lexicon)
+    monkeypatch.setattr(classlm, "SEEDS", 40)
+    m = classlm.train(spark.createDataFrame(_lm_rows(), "doc_id long, text string"))
     assert np.allclose((10**m.log_next).sum(axis=2), 1)
+    _, _, count, of = _word_classes(spark, m)
     mass = np.zeros(m.log_next.shape[0])
-    words = {int(r["h"]): (r["bucket"], r["c"]) for r in df.sparkSession.read.parquet(m.path).collect()}
-    keys = np.array(list(words), np.int64).view(np.uint64)
-    bucket = np.array([b for b, _ in words.values()])
-    of = m.classes[np.where(bucket >= 0, m.symbols.of(keys, np.maximum(bucket, 0)), m.symbols.end)]
-    np.add.at(mass, of, 10 ** (m.log_known[of] + np.log10([c for _, c in words.values()])))
-    first = len(m.symbols.place)
-    np.add.at(mass, m.classes[first : first + classlm.BUCKETS], 10**m.log_unknown)
+    np.add.at(mass, of, 10 ** (m.log_known[of] + np.log10(count)))
+    np.add.at(mass, m.classes[m.lexicon.end + 1 :], 10**m.log_unknown)
     used = np.bincount(of, minlength=len(mass)) > 0
     assert np.allclose(mass[used], 1)
 
 
-def test_all_words_but_rare_ones_are_clustered(spark, monkeypatch):
+@pytest.mark.parametrize("lexicon", [400_000, 60])
+def test_class_lm_scores_by_brute_force(spark, monkeypatch, lexicon):
+    """Every token's class, the class trigrams' interpolation and the words' shares, counted again in plain Python."""
+    monkeypatch.setattr(classlm, "LEXICON", lexicon)
+    monkeypatch.setattr(classlm, "SEEDS", 40)
+    monkeypatch.setattr(classlm, "SYMBOL_BYTES", 300)
+    rows = _lm_rows()[:60] + [(500, None), (502, "never seen words a1 a1 a1"), (503, "a1 b2 " * 300), (504, "a1 a1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    m = classlm.train(df)
+    keys, bucket, count, of = _word_classes(spark, m)
+    known = {k: (b, c, g) for k, b, c, g in zip(keys.tolist(), bucket.tolist(), count.tolist(), of.tolist(), strict=True)}
+    end = int(m.classes[m.lexicon.end])
+
+    def tokens(text):
+        data, offs = textkit.utf8(textkit.pa.array([text or ""]))
+        w, first, stop, _ = textkit.words(data, offs)
+        b = classlm._bucket(data, first, stop) if len(w) else np.zeros(0, int)
+        return [(known[k][2], known[k][1], y) if k in known else (int(m.classes[m.lexicon.end + 1 + y]), 0, y) for k, y in zip(w.view(np.int64).tolist(), b.tolist(), strict=True)]
+
+    three, two, one = Counter(), Counter(), Counter()
+    once = Counter(b for b, c, _ in known.values() if c == 1)
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 10:
+            x, y = end, end
+            for z in [*(g for g, *_ in tokens(t)), end]:
+                three[x, y, z] += 1
+                two[y, z] += 1
+                one[z] += 1
+                x, y = y, z
+    size = len(m.log_next)
+
+    def p(context, z):
+        """Witten-Bell: kinds seen after the context weigh for the shorter one."""
+        if context is None:
+            return 1 / size
+        level = (three, two, one)[2 - len(context)]
+        after = [level[(*context, g)] if context else one[g] for g in range(size)]
+        shorter = p(context[1:] if context else None, z)
+        n, kinds = sum(after), sum(c > 0 for c in after)
+        return (after[z] + kinds * shorter) / (n + kinds) if n else shorter
+
+    first_unknown = {g: sum(once[b] + 0.1 for b in range(classlm.BUCKETS) if m.classes[m.lexicon.end + 1 + b] == g) for g in range(size)}
+    share = {g: min(0.5, max(1e-6, v / max(one[g], 1))) if v else 0.0 for g, v in first_unknown.items()}
+    got = {r["doc_id"]: r["score"] for r in classlm.score_texts(df, m).collect()}
+    memo = {}
+    for i, t in rows:
+        x, y, total = end, end, 0.0
+        for g, c, b in [*tokens(t), (end, None, None)]:
+            if (x, y, g) not in memo:
+                memo[x, y, g] = math.log10(p((x, y), g))
+            total += memo[x, y, g]
+            if c is not None:
+                total += math.log10((1 - share[g]) * c / one[g] if c else share[g] * (once[b] + 0.1) / first_unknown[g])
+            x, y = y, g
+        assert got[i] == pytest.approx(total, rel=1e-9)
+
+
+@pytest.mark.parametrize("lexicon", [400_000, 100])
+def test_all_words_but_rare_ones_are_clustered(spark, monkeypatch, lexicon):
     """Words beyond the seeds, whose endings tell nothing, go to the classes of the words used like them."""
-    monkeypatch.setattr(classlm, "CLUSTERED", 40)
+    monkeypatch.setattr(classlm, "SEEDS", 40)
+    monkeypatch.setattr(classlm, "LEXICON", lexicon)
     monkeypatch.setattr(classlm, "HELD_CODES", 50)
-    monkeypatch.setattr(classlm, "PLACED_ROWS", 40)
+    monkeypatch.setattr(classlm, "DENSE", 60)
+    monkeypatch.setattr(classlm, "PLACED_WORDS", 7)
+    monkeypatch.setattr(classlm, "SYMBOL_BYTES", 500)
     rng = random.Random(12)
     a, b = [f"a{k}xx" for k in range(120)], [f"b{k}xx" for k in range(120)]
     rows = [(k, " ".join(w for _ in range(rng.randint(10, 40)) for w in (a[int(rng.random() ** 2 * 120)], b[int(rng.random() ** 2 * 120)]))) for k in range(300)]
@@ -370,15 +444,77 @@ def test_all_words_but_rare_ones_are_clustered(spark, monkeypatch):
     m = classlm.train(df)
 
     often = sorted(w for w, c in counts.items() if c >= classlm.LEAST_PLACED)
-    assert len(m.symbols.place) == len(often) > 200
+    assert len(often) > 200 and (m.placed is None) == (lexicon > 100)
     data, offs = textkit.utf8(textkit.pa.array([" ".join(often)]))
-    keys, first, end, _ = textkit.words(data, offs)
-    of = m.classes[m.symbols.of(keys, classlm._bucket(data, first, end))]
-    kinds = Counter(zip(of.tolist(), (w[0] for w in often)))
-    pure = sum(max(kinds[c, "a"], kinds[c, "b"]) for c in set(of.tolist())) / len(often)
+    keys, *_ = textkit.words(data, offs)
+    found = _word_classes(spark, m)
+    classes = dict(zip(found[0].tolist(), found[3].tolist(), strict=True))
+    of = [classes[k] for k in keys.view(np.int64).tolist()]
+    kinds = Counter(zip(of, (w[0] for w in often)))
+    pure = sum(max(kinds[c, "a"], kinds[c, "b"]) for c in set(of)) / len(often)
     assert pure > 0.95, pure  # with the ending alone all but the seeds stand in one class
 
 
+def test_neighbours_are_counted_by_brute_force():
+    """Vectors of held words, buckets and words not held, over the edges of texts and repeats of a word."""
+    import pyarrow as pa
+
+    rng = np.random.RandomState(2)
+    end, first, classes = 6, 2, np.concatenate((rng.randint(0, 3, 6), [3], rng.randint(0, 3, classlm.BUCKETS)))
+    standing = np.arange(len(classes))
+    standing[5] = end + 1 + 9  # a rare word counts as bucket 9
+    classes[5] = classes[end + 1 + 9]
+    docs = [([int(x) for x in rng.randint(0, 9, n)], [77, 78], [9, 4]) for n in (0, 1, 5, 30)]  # 6 and 7 are the text's own words, 8 a held one
+    texts = [[x if x < 6 else 2 if x == 8 else ("late", x - 6) for x in own] for own, *_ in docs]
+    batch = pa.record_batch(
+        [
+            pa.array([np.array([x if x < 6 else 2 if x == 8 else end + 1 + x - 6 for x in own] + [end], "<i4").tobytes() for own, *_ in docs]),
+            pa.array([np.array(b, "<i2").tobytes() for *_, b in docs]),
+            pa.array([np.array(k, "<i8").tobytes() for _, k, _ in docs]),
+        ],
+        names=["stream", "buckets", "keys"],
+    )
+    want = Counter()
+    for text, (_, keys, buckets) in zip(texts, docs, strict=True):
+        symbol = [end + 1 + buckets[x[1]] if isinstance(x, tuple) else int(standing[x]) for x in text]
+        name = [("late", keys[x[1]]) if isinstance(x, tuple) else None for x in text]
+        for kind, own in (("symbol", symbol), ("late", name)):
+            for k, x in enumerate(own):
+                if x is None or kind == "symbol" and x < first:
+                    continue
+                before, after = [(symbol[j] if 0 <= j < len(own) else end) for j in (k - 1, k + 1)]
+                same_before, same_after = [0 <= j < len(own) and own[j] == x for j in (k - 1, k + 1)]
+                key = x if kind == "late" else ("held", x)
+                if not same_before:
+                    want[key, int(classes[before])] += 1
+                if same_after:
+                    want[key, 8] += 1
+                else:
+                    want[key, 4 + int(classes[after])] += 1
+    got = Counter()
+    for out in classlm._neighbours(classes, end, first, standing, True)(iter([batch, batch])):
+        for r in out.to_pylist():
+            entries = np.frombuffer(r["vector"], np.uint8).reshape(-1, 3).astype(int)
+            for slot, low, high in entries.tolist():
+                got["late" if r["late"] else "held", r["s"], slot] += low + 256 * high
+    assert got == Counter({(k[0], k[1], slot): 2 * n for (k, slot), n in want.items()})
+
+
+def test_symbols_beyond_two_bytes():
+    import pyarrow as pa
+
+    end = 300_000
+    batch = pa.record_batch([pa.array([np.array([7, end + 1, end + 2, end], "<i4").tobytes(), np.array([end], "<i4").tobytes()]), pa.array([np.array([511, 3], "<i2").tobytes(), None])], names=["stream", "buckets"])
+    (found,) = classlm._pieces(batch, 0, 1, end)
+    assert found[2].tolist() == [7, end + 512, end + 4, end, end] and found[4].tolist() == [1, 2] and found[5].tolist() == [0, 1]
+
+
+def test_vectors_split_great_counts():
+    batch = classlm._vectors(False, np.array([3, 5, 14]), np.array([65535 * 2 + 7, 65535, 1]), 10)
+    entries = [np.frombuffer(v, np.uint8).reshape(-1, 3).astype(int) for v in batch.column(3).to_pylist()]
+    assert [(int(s), [(e[0], e[1] + 256 * e[2]) for e in v.tolist()]) for s, v in zip(batch.column(1).to_pylist(), entries, strict=True)] == [(0, [(3, 65535), (3, 65535), (3, 7), (5, 65535)]), (1, [(4, 1)])]
+
+
 def test_best_classes_against_the_likelihood():
     rng = np.random.RandomState(4)
     n, size = 30, 6
