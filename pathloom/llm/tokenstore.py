@@ -119,14 +119,31 @@ def _library_words(path: str):
     sizes = vocabulary(path).token_size
 
     def encode(words: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        texts = pa.StringArray.from_buffers(len(offs) - 1, pa.py_buffer(offs.astype(np.int32)), pa.py_buffer(words)).to_pylist()
-        parts = [texts[k : k + LIBRARY_WORDS] for k in range(0, len(texts), LIBRARY_WORDS)]
-        ids = np.concatenate([np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(parts, is_pretokenized=True, add_special_tokens=False)])
-        ends = np.cumsum(sizes[ids])  # a word ends where its bytes do
-        at = np.searchsorted(ends, offs[1:]) + 1
-        if (ends[at - 1] != offs[1:]).any():
+        # a blank and a sign that is no space begin a pre-token wherever they stand: such words need no list of their own
+        second = words[np.minimum(offs[:-1] + 1, len(words) - 1)]
+        plain = (np.diff(offs) > 1) & (words[offs[:-1]] == 32) & (second > 32) & (second < 127)
+        order = np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain)))
+        size = np.diff(offs)[order]
+        ends = np.cumsum(size)
+        joined = words[np.repeat(offs[order] - ends + size, size) + np.arange(ends[-1])]
+        edges = np.append(np.arange(0, int(plain.sum()), LIBRARY_WORDS), plain.sum())
+        places = np.concatenate(([0], ends))
+        texts = [joined[places[a] : places[b]].tobytes().decode() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        begin = int(plain.sum())
+        others = pa.StringArray.from_buffers(len(order) - begin, pa.py_buffer((places[begin:] - places[begin]).astype(np.int32)), pa.py_buffer(joined[places[begin] :])).to_pylist()
+        lists = [others[k : k + LIBRARY_WORDS] for k in range(0, len(others), LIBRARY_WORDS)]
+        found = [*tokenizer.encode_batch_fast(texts, add_special_tokens=False), *tokenizer.encode_batch_fast(lists, is_pretokenized=True, add_special_tokens=False)]
+        ids = np.concatenate([np.array(e.ids, np.int32) for e in found])
+        spelled = np.cumsum(sizes[ids])  # a word ends where its bytes do
+        at = np.searchsorted(spelled, ends) + 1
+        if (spelled[at - 1] != ends).any():
             raise ValueError("the library's ids do not spell the text")
-        return ids, np.concatenate(([0], at))
+        counts = np.diff(at, prepend=0)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        mine = counts[place]
+        total = np.cumsum(mine)
+        return ids[np.repeat((at - counts)[place] - total + mine, mine) + np.arange(total[-1])], np.concatenate(([0], total))
 
     special = {t.content: k for k, t in tokenizer.get_added_tokens_decoder().items() if t.special}
     return Encoder(encode, special)
