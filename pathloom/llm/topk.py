@@ -1,11 +1,15 @@
 """Exact top-k inner-product search over norm-bucketed vectors.
 
-Vectors are dealt into buckets of similar length, longest first. A block of queries first meets the bucket of the
-longest vectors, which gives each query a threshold (its k-th best score so far). A bucket is then visited only if
-|q| * (longest vector of the bucket) reaches the threshold of a query in the block. Inside a bucket the local
+Vectors are ranked by length, longest first, and cut into buckets of ``BUCKET_ROWS`` by their global rank (prefix sums
+of range totals), whatever the number of partitions. A block of queries first meets the bucket of the longest vectors,
+which gives each query a threshold (its k-th best score so far). Buckets are then visited in order of length as long
+as |q| * (longest vector of the bucket) reaches the threshold of a query in the block. Inside a bucket the local
 cosine threshold t = threshold / (|q| * longest) picks the pruning: a low one takes the prefix of vectors long
 enough (length pruning); a high one bounds the product by the query's largest coordinates and the Cauchy-Schwarz
 rest (coordinate pruning). Every survivor's product is computed exactly.
+
+A task takes one bucket and up to ``CHUNK`` query blocks, so a bucket that all queries visit is met by many tasks and
+crosses the network once for ``CHUNK * QUERY_ROWS`` queries.
 """
 
 from __future__ import annotations
@@ -17,62 +21,57 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathloom.llm.workspace import saved
+from pathloom.llm.workspace import saved, shared_dir
 
-BUCKET_ROWS, QUERY_ROWS = 4096, 512
+BUCKET_ROWS, QUERY_ROWS = 4096, 1024
+CHUNK = 8  #: query blocks that meet a bucket in one task
+BOUNDS = 4096  #: bucket lengths of a dimension that queries are compared with; between them more buckets are visited
 FOCUS = 8  #: coordinates of the partial product
 COSINE = 0.75  #: local threshold from which coordinates are pruned
+GREATEST = 1e150  #: components are held to this, so that no length overflows
 _EXACT = 2.0**52
-_BLOCK = "block string, dim int, longest double, ids binary, matrix binary"
+_BLOCK = "dim int, block long, longest double, ids binary, matrix binary"
 _LONG = 2**63 - 1
 
 
-def _packed(rows_most: int, factor: float):
-    """Blocks of at most ``rows_most`` vectors of one dimension, quantised to floor(factor * x)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, made = TaskContext.get().partitionId(), 0
-        ids: list[np.ndarray] = []
-        rows: list[np.ndarray] = []
-        held, dim = 0, None
-
-        def block() -> pa.RecordBatch:
-            key, matrix = np.concatenate(ids), np.concatenate(rows)
-            length = np.sqrt((matrix * matrix).sum(axis=1))
-            order = np.lexsort((key, -length))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([f"{part}-{made}"]), pa.array([matrix.shape[1]], pa.int32()), pa.array([float(length.max())]), pa.array([key[order].astype("<i8").tobytes()], pa.binary()), pa.array([matrix[order].astype("<f8").tobytes()], pa.binary())],
-                names=["block", "dim", "longest", "ids", "matrix"],
-            )
-
-        for batch in batches:
-            dims = batch.column(2).to_numpy()
-            key = batch.column(0).to_numpy()
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            starts = np.concatenate(([0], np.cumsum(dims)))
-            at = 0
-            while at < len(key):
-                if dim != dims[at] or held >= rows_most:
-                    if held:
-                        yield block()
-                        made += 1
-                    ids, rows, held, dim = [], [], 0, int(dims[at])
-                same = int(np.argmax(dims[at:] != dim)) or len(key) - at if (dims[at:] != dim).any() else len(key) - at
-                take = min(same, rows_most - held)
-                ids.append(key[at : at + take])
-                rows.append(np.floor(factor * flat[starts[at] : starts[at + take]].reshape(take, dim)))
-                held, at = held + take, at + take
-        if held:
-            yield block()
-
-    return run
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a block, its vectors longest first; rows (dim, block, vec_id, v) come sorted by dim and block."""
+    ids: list[np.ndarray] = []
+    rows: list[np.ndarray] = []
+    now: tuple[int, int] | None = None
+
+    def block() -> pa.RecordBatch:
+        key, matrix = np.concatenate(ids), np.concatenate(rows)
+        length = _lengths(matrix)
+        order = np.lexsort((key, -length))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int64()), pa.array([float(length.max())]), pa.array([key[order].astype("<i8").tobytes()], pa.binary()), pa.array([matrix[order].astype("<f8").tobytes()], pa.binary())],
+            names=["dim", "block", "longest", "ids", "matrix"],
+        )
+
+    for batch in batches:
+        dim, number, key = (batch.column(k).to_numpy() for k in range(3))
+        flat = batch.column(3).flatten().to_numpy()
+        starts = np.concatenate(([0], np.cumsum(dim)))
+        heads = np.flatnonzero(np.concatenate(([True], (dim[1:] != dim[:-1]) | (number[1:] != number[:-1])))[: len(dim)])
+        for a, b in zip(heads, np.append(heads[1:], len(dim)), strict=True):
+            if now != (int(dim[a]), int(number[a])):
+                if ids:
+                    yield block()
+                ids, rows, now = [], [], (int(dim[a]), int(number[a]))
+            ids.append(key[a:b])
+            rows.append(flat[starts[a] : starts[b]].reshape(b - a, dim[a]))
+    if ids:
+        yield block()
+
+
+def _lengths(matrix: np.ndarray) -> np.ndarray:
+    return np.sqrt((matrix * matrix).sum(axis=1))
 
 
 def _products(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Exact integer products; beyond 2**52 by Python integers, held to the range of a long."""
-    bound = np.sqrt((query * query).sum(axis=-1).max() * (vectors * vectors).sum(axis=1).max()) if len(vectors) else 0
+    bound = _lengths(query).max() * _lengths(vectors).max() if len(vectors) else 0
     if bound < _EXACT:
         return (query @ vectors.T).astype(np.int64)
     big = [[max(-_LONG - 1, min(_LONG, sum(int(a) * int(b) for a, b in zip(q, v, strict=True)))) for v in vectors.tolist()] for q in query.tolist()]
@@ -90,8 +89,7 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 def _searched(q_ids, queries, v_ids, vectors, theta, k):
     """(query position, ids, scores) of each query's k best in a bucket that reach its threshold."""
-    v_length = np.sqrt((vectors * vectors).sum(axis=1))
-    q_length = np.sqrt((queries * queries).sum(axis=1))
+    v_length, q_length = _lengths(vectors), _lengths(queries)
     reach = q_length * v_length[0]
     slack = 1e-9 * reach + 1e-6
     open_ = np.flatnonzero(reach + slack >= theta)
@@ -124,73 +122,103 @@ def _cut(scores, ids, k):
     return ids[among], scores[among]
 
 
-def _unpack(ids: bytes, matrix: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, "<i8"), np.frombuffer(matrix, "<f8").reshape(-1, dim)
+def _blocks(table: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray, dict]]:
+    for row in table.to_pylist():
+        yield row["block"], np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["matrix"], "<f8").reshape(-1, row["dim"]), row
 
 
-def _seeded(k: int, bounds: list[tuple[str, int, float]]):
-    """Thresholds from the first bucket, and the buckets that a query block must still visit."""
+def _first_met(k: int, bounds: dict[int, tuple[np.ndarray, np.ndarray, int]]):
+    """Thresholds from the bucket of the longest vectors, and how many buckets a query block must still visit."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                q_ids, queries = _unpack(row["ids"], row["matrix"], row["dim"])
-                v_ids, vectors = _unpack(row["v_ids"], row["v_matrix"], row["dim"])
+    def run(asked: pa.Table, bucket: pa.Table) -> pa.Table:
+        out = []
+        for _, v_ids, vectors, _ in _blocks(bucket):
+            for block, q_ids, queries, row in _blocks(asked):
                 theta = np.full(len(q_ids), -np.inf)
                 for q, _, scores in _searched(q_ids, queries, v_ids, vectors, theta.copy(), k):
                     if len(scores) == k:
                         theta[q] = scores[-1]
-                length = np.sqrt((queries * queries).sum(axis=1))
-                visit = [b for b, dim, longest in bounds if dim == row["dim"] and ((length * longest) * (1 + 1e-9) + 1e-6 >= theta).any()]
-                yield pa.RecordBatch.from_arrays([pa.array([row["block"]]), pa.array([row["dim"]], pa.int32()), pa.array([row["ids"]], pa.binary()), pa.array([row["matrix"]], pa.binary()), pa.array([theta.astype("<f8").tobytes()], pa.binary()), pa.array([visit], pa.list_(pa.string()))], names=["block", "dim", "ids", "matrix", "theta", "visit"])
+                length = _lengths(queries)
+                need = np.where(length > 0, theta / np.where(length > 0, length, 1), -np.inf).min()
+                at, longest, every = bounds[row["dim"]]
+                short = np.flatnonzero(longest * (1 + 1e-9) + 1e-6 < need)
+                out.append({"dim": row["dim"], "block": block, "ids": row["ids"], "matrix": row["matrix"], "theta": theta.astype("<f8").tobytes(), "visit": int(at[short[0]]) if len(short) else every})
+        return pa.Table.from_pylist(out, schema=pa.schema([("dim", pa.int32()), ("block", pa.int64()), ("ids", pa.binary()), ("matrix", pa.binary()), ("theta", pa.binary()), ("visit", pa.int64())]))
 
     return run
 
 
 def _visited(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                q_ids, queries = _unpack(row["ids"], row["matrix"], row["dim"])
-                v_ids, vectors = _unpack(row["v_ids"], row["v_matrix"], row["dim"])
+    def run(asked: pa.Table, bucket: pa.Table) -> pa.Table:
+        found = [(np.zeros(0, np.int64),) * 3]
+        for _, v_ids, vectors, _ in _blocks(bucket):
+            for _, q_ids, queries, row in _blocks(asked):
                 theta = np.frombuffer(row["theta"], "<f8")
-                found = [(q_ids[q], ids, scores) for q, ids, scores in _searched(q_ids, queries, v_ids, vectors, theta, k)]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat([f[0] for f in found], [len(f[1]) for f in found]), pa.int64()), pa.array(np.concatenate([f[1] for f in found]), pa.int64()), pa.array(np.concatenate([f[2] for f in found]), pa.int64())], names=["query_id", "vec_id", "score"])
+                found += [(np.full(len(ids), q_ids[q]), ids, scores) for q, ids, scores in _searched(q_ids, queries, v_ids, vectors, theta, k)]
+        return pa.table({name: pa.array(np.concatenate([f[n] for f in found]), pa.int64()) for n, name in enumerate(("query_id", "vec_id", "score"))})
 
     return run
 
 
+def _met(asked: DataFrame, buckets: DataFrame, run, schema: str) -> DataFrame:
+    """``run`` of every bucket and the query blocks, up to CHUNK at a time, that visit it (the first ``visit`` ones)."""
+    chunk = F.floor(F.col("block") / CHUNK)
+    here = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("bucket")
+    queries = asked.withColumn("chunk", chunk).where("visit > 0").select("*", here(F.col("visit")))
+    wanted = asked.groupBy("dim", chunk.alias("chunk")).agg(F.max("visit").alias("n")).where("n > 0").select("dim", "chunk", here(F.col("n")))
+    vectors = buckets.withColumnRenamed("block", "bucket").join(wanted, ["dim", "bucket"]).select("dim", F.col("bucket").alias("block"), "ids", "matrix", "chunk", "bucket")
+    keys = ["dim", "bucket", "chunk"]
+    return queries.groupBy(*keys).cogroup(vectors.groupBy(*keys)).applyInArrow(run, schema)
+
+
 def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest integer inner products, ties to the smaller id.
 
-    Components become floor(factor * x) in double. Vectors that are null or empty, hold a null or a non-finite
+    Components become floor(factor * x) in double, held to GREATEST. Vectors that are null or empty, hold a null or a non-finite
     component, or have a null id take no part; a query meets vectors of its own dimension only, and no row of its
-    own id. With fewer candidates all are returned; a query without candidates has no rows. Query ids that come
-    twice count once per distinct row of candidates. Scores beyond a long are held to its range. Empty tables give
-    an empty result; other columns are not read.
+    own id. With fewer candidates all are returned; a query without candidates has no rows. A query id that comes with
+    several vectors asks with the least of them (by the first component that differs); every row of an id is a
+    candidate. Scores beyond a long are held to its range. Empty tables give an empty result; other columns are not
+    read.
     """
     spark = vectors.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shared_dir(spark)
 
     def usable(df: DataFrame) -> DataFrame:
         held = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where("vec_id is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity'))")
-        return held.select("vec_id", "v", F.size("v").alias("dim"), F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x).alias("norm"))
+
+        def whole(x):  # no fraction is left beyond 2**52, where floor() leaves the range of a long
+            y = F.greatest(F.lit(-GREATEST), F.least(F.lit(GREATEST), x * factor))
+            return F.when(F.abs(y) < _EXACT, F.floor(y).cast("double")).otherwise(y)
+
+        return held.select("vec_id", F.transform("v", whole).alias("v"))
 
     def blocks(df: DataFrame, rows: int, name: str) -> DataFrame:
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        order = [F.col("dim"), F.col("norm").desc(), F.col("vec_id")]
-        dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-        return saved(dealt.mapInArrow(_packed(rows, factor), _BLOCK), name)
+        sized = df.select("vec_id", "v", F.size("v").alias("dim"), F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x).alias("norm"))
+        order = [F.col("dim"), F.col("norm").desc(), F.col("vec_id"), F.col("v")]
+        place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        ranged = sized.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("dim", "vec_id", "v", F.spark_partition_id().alias("part"), place.alias("place")).checkpoint()
+        # a row for each range, and one more for each further dimension
+        totals = ranged.groupBy("dim", "part").agg(F.min("place").alias("first"), F.count("*").alias("n")).orderBy("dim", "part").collect()
+        before, offsets = {}, []
+        for r in totals:
+            offsets.append((r["dim"], r["part"], before.get(r["dim"], 0) - r["first"]))
+            before[r["dim"]] = before.get(r["dim"], 0) + r["n"]
+        start = F.broadcast(spark.createDataFrame(offsets, "dim int, part int, start long"))
+        number = F.floor((F.col("place") + F.col("start")) / rows)
+        dealt = ranged.join(start, ["dim", "part"]).select("dim", number.alias("block"), "vec_id", "v").repartition(parts, "dim", "block").sortWithinPartitions("dim", "block")
+        return saved(dealt.mapInArrow(_packed, _BLOCK), name)
 
     buckets = blocks(usable(vectors), BUCKET_ROWS, "buckets")
-    asked = blocks(usable(queries).dropDuplicates(["vec_id"]), QUERY_ROWS, "queries")
-    # one bound per bucket of thousands of vectors
-    bounds = [(r["block"], r["dim"], r["longest"]) for r in buckets.select("block", "dim", "longest").collect()]
-    first = {dim: max((longest, b) for b, d, longest in bounds if d == dim)[1] for dim in {d for _, d, _ in bounds}}
-    seeds = buckets.where(F.col("block").isin(list(first.values()))).select("dim", F.col("ids").alias("v_ids"), F.col("matrix").alias("v_matrix"))
-    seeded = saved(asked.join(seeds, "dim").mapInArrow(_seeded(k, bounds), "block string, dim int, ids binary, matrix binary, theta binary, visit array<string>"), "seeded")
-    pairs = seeded.withColumn("bucket", F.explode("visit")).drop("visit")
-    met = pairs.join(buckets.select(F.col("block").alias("bucket"), F.col("ids").alias("v_ids"), F.col("matrix").alias("v_matrix")), "bucket").select("dim", "ids", "matrix", "theta", "v_ids", "v_matrix")
-    found = met.mapInArrow(_visited(k), "query_id long, vec_id long, score long")
+    asked = blocks(usable(queries).groupBy("vec_id").agg(F.min("v").alias("v")), QUERY_ROWS, "queries")
+    bounds = {}
+    for r in buckets.groupBy("dim").agg((F.max("block") + 1).alias("n")).collect():  # one row a dimension
+        step = -(-r["n"] // BOUNDS)
+        some = buckets.where((F.col("dim") == r["dim"]) & (F.col("block") % step == 0)).select("block", "longest").orderBy("block").collect()  # at most BOUNDS
+        bounds[r["dim"]] = (np.array([x["block"] for x in some]), np.array([x["longest"] for x in some]), r["n"])
+    first = asked.select("dim", "block", "ids", "matrix", F.lit(1).cast("long").alias("visit"))
+    seeded = saved(_met(first, buckets, _first_met(k, bounds), "dim int, block long, ids binary, matrix binary, theta binary, visit long"), "seeded")
+    found = _met(seeded, buckets, _visited(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
