@@ -6,12 +6,19 @@ shares a key unless fewer than two collections agree; m is the least number that
 the threshold: 12 collections at 0.85 (7e-6), 15 at 0.80 (6e-6).
 
 Within a bucket, classes whose 64-value sketches agree in at least ``sketch_least`` places (five standard
-deviations under the mean at the threshold: 40 at 0.85, 35 at 0.80) are joined breadth-first, which emits a spanning forest instead of pairs.
-The connected clusters of that graph hold all links; each is then compared on its full shingle sets in blocks
-(an incidence product per block pair), and the confirmed links are closed by connected components.
+deviations under the mean at the threshold: 40 at 0.85, 35 at 0.80) are joined breadth-first, which emits a spanning
+forest instead of pairs. The connected clusters of that graph hold all links. Full shingle sets confirm them in blocks
+of bounded size (an incidence product a block):
 
-Shingle keys are 64-bit hashes of five lower-cased words, so two different shingles are taken for one with a
-probability of about 2**-64 a pair.
+* clusters that fit into a block are compared whole, many small ones together;
+* in a larger cluster the forests' edges are confirmed in runs; if it is then in one piece it is done. Of any other,
+  all classes outside its largest part are compared with all of the cluster, block by block.
+
+Texts of classes in clusters are taken out of the corpus once: a bitmap of ``MARKS`` words, which is broadcast, lets
+few others through to the join that finds them.
+
+The confirmed links are closed by connected components. Shingle keys are 64-bit hashes of five lower-cased words with
+non-linear steps, so two different shingles are taken for one with a probability of about 2**-64 a pair.
 """
 
 from __future__ import annotations
@@ -26,13 +33,15 @@ from pyspark.sql import functions as F
 
 from pathloom.llm import textkit
 from pathloom.llm.components import connected_components
-from pathloom.llm.workspace import saved
+from pathloom.llm.workspace import Scratch, saved
 
 WIDTH, MISS, LEAST_COLLECTIONS = 2, 1e-5, 12
 SKETCH, MOST_PLACES = 64, 40
 BUCKET_ROWS = 20_000  #: a larger bucket is dealt out as pairs of blocks
-BLOCK_ROWS = 400  #: classes of one block when full sets are compared
+BLOCK_ROWS, BLOCK_SHINGLES = 400, 4_000_000  #: classes and shingles of one block when full sets are compared
 COLUMNS = 4096  #: shingles of one incidence product
+PART = 4096  #: shingles that are hashed together
+MARKS = 1 << 18  #: words of 64 bits that mark the ids whose texts are compared
 
 _FLIP = np.random.RandomState(11).randint(0, 2**32, SKETCH, dtype=np.uint64).astype(np.uint32)
 _SCALE = np.random.RandomState(12).randint(0, 2**31, SKETCH, dtype=np.uint64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
@@ -54,6 +63,15 @@ def sketch_least(percent: int) -> int:
     return min(MOST_PLACES, math.floor(SKETCH * s - 5 * math.sqrt(SKETCH * s * (1 - s))))
 
 
+def _minhashes(shingles: np.ndarray) -> np.ndarray:
+    """The least of each of SKETCH functions over a set, a part of the set at a time."""
+    least = np.full(SKETCH, 2**32 - 1, np.uint32)
+    for at in range(0, len(shingles), PART):
+        part = (shingles[at : at + PART] >> np.uint64(32)).astype(np.uint32)
+        np.minimum(least, ((part[:, None] ^ _FLIP) * _SCALE).min(axis=0), out=least)
+    return least
+
+
 def _signatures(m: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -67,7 +85,7 @@ def _signatures(m: int):
                 for k, s in enumerate(sets):
                     digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     if len(s):
-                        least = (((s >> np.uint64(32)).astype(np.uint32)[:, None] ^ _FLIP) * _SCALE).min(axis=0)
+                        least = _minhashes(s)
                         groups[k] = least[: m * WIDTH].view(np.int64)
                         sketches.append((least >> np.uint32(24)).astype(np.uint8).tobytes())
                     else:
@@ -78,9 +96,9 @@ def _signatures(m: int):
     return run
 
 
-def _spanned(ids: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, threshold: float, least: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def _spanned(sizes: np.ndarray, sketches: np.ndarray, threshold: float, least: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Spanning edges of the graph of rows that agree in ``least`` places and whose sizes allow the threshold."""
-    left, right, waiting = [], [], np.arange(len(ids))
+    left, right, waiting = [], [], np.arange(len(sizes))
     frontier: list[int] = []
     while len(waiting):
         if not frontier:
@@ -91,8 +109,8 @@ def _spanned(ids: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, threshold
         near &= np.minimum(sizes[waiting], sizes[at]) >= threshold * np.maximum(sizes[waiting], sizes[at]) - 1e-9
         found = waiting[near]
         if len(found):
-            left.append(np.full(len(found), ids[at]))
-            right.append(ids[found])
+            left.append(np.full(len(found), at))
+            right.append(found)
             frontier.extend(found.tolist())
             waiting = waiting[~near]
     return left, right
@@ -123,23 +141,46 @@ def _bucket_links(threshold: float, least: int):
         two = first[end - first == 2]
         near = (sketches[two] == sketches[two + 1]).sum(axis=1) >= least
         near &= np.minimum(sizes[two], sizes[two + 1]) >= threshold * np.maximum(sizes[two], sizes[two + 1]) - 1e-9
-        left, right = [ids[two[near]]], [ids[two[near] + 1]]
+        left, right = [two[near]], [two[near] + 1]
         for a, b in zip(first, end, strict=True):
             if b - a > 2:
-                found = _spanned(ids[a:b], sizes[a:b], sketches[a:b], threshold, least)
-                left += found[0]
-                right += found[1]
+                found = _spanned(sizes[a:b], sketches[a:b], threshold, least)
+                left += [a + x for x in found[0]]
+                right += [a + x for x in found[1]]
         x, y = np.concatenate(left), np.concatenate(right)
+        x, y = np.where(ids[x] < ids[y], x, y), np.where(ids[x] < ids[y], y, x)
         if len(x):
-            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            rows = np.unique(np.stack([ids[x], ids[y], sizes[x], sizes[y]], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(4)], names=["a", "b", "na", "nb"])
 
     return run
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, node): the nodes of runs of edges that come sorted, a block for each run of bounded size."""
+    from pyspark import TaskContext
+
+    block, nodes, weight = TaskContext.get().partitionId() << 36, {}, 0
+
+    def done() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([block] * len(nodes), pa.int64()), pa.array(list(nodes), pa.int64())], names=["block", "node"])
+
+    for batch in batches:
+        for a, b, na, nb in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            more = {node: n for node, n in ((a, na), (b, nb)) if node not in nodes}
+            if nodes and more and (len(nodes) + len(more) > BLOCK_ROWS or weight + sum(more.values()) > BLOCK_SHINGLES):
+                yield done()
+                block, nodes, weight = block + 1, {}, 0
+                more = {a: na, b: nb}
+            nodes |= more
+            weight += sum(more.values())
+    if nodes:
+        yield done()
+
+
 def _confirmed(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        ids = table.column("rep").to_numpy()
+        ids = table.column("node").to_numpy()
         data, offs = textkit.utf8(table.column("text").combine_chunks())
         sets: list[np.ndarray] = []
         for _, _, part, part_offs in textkit.pieces(data, offs):
@@ -177,6 +218,59 @@ def _confirmed(percent: int):
     return run
 
 
+def _texts_of(source: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of these ids, once each; an id may have several texts."""
+    word = lambda c: F.pmod(F.xxhash64(c), F.lit(MARKS))
+    bit = lambda c: F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(3, {c}), 64) AS INT))")
+    marks = nodes.groupBy(word("node").alias("word")).agg(F.bit_or(bit("node")).alias("bits"))  # at most MARKS rows
+    marked = source.join(F.broadcast(marks), word("doc_id") == F.col("word")).where(F.col("bits").bitwiseAND(bit("doc_id")) != 0)
+    return marked.select(F.col("doc_id").alias("node"), "text").join(nodes.select("node"), "node", "left_semi").distinct()
+
+
+def _verified(texts: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): spanning edges of the true links within each block of ``members`` (block, node)."""
+    return members.join(texts, "node").groupBy("block").applyInArrow(_confirmed(percent), "a long, b long")
+
+
+def _links(source: DataFrame, rough: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(a, b): true links that join all classes which true links of any kind join within the clusters of ``rough``."""
+    width = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = rough.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("na").alias("n")), F.struct(F.col("b").alias("node"), F.col("nb").alias("n")))).alias("e")).groupBy("e.node").agg(F.max("e.n").alias("n"))
+    clusters = scratch.saved(connected_components(rough.select("a", "b")).join(sizes, "node"), "clusters")
+    texts = scratch.saved(_texts_of(source, clusters), "texts")
+    weighed = clusters.groupBy("component").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    fits = (F.col("rows") <= BLOCK_ROWS) & (F.col("n") <= BLOCK_SHINGLES)
+    small = weighed.where(fits)
+    total = small.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    bins = 1 + max(2 * total["rows"] // BLOCK_ROWS, 2 * total["n"] // BLOCK_SHINGLES)
+    together = clusters.join(small.select("component"), "component", "left_semi").select(F.pmod(F.xxhash64("component"), F.lit(bins)).alias("block"), "node")
+    links = scratch.saved(_verified(texts, together, percent), "links")
+    large = weighed.where(~fits)
+    if large.isEmpty():
+        return links
+    of = clusters.join(large.select("component"), "component", "left_semi")
+    edges = rough.join(of.select(F.col("node").alias("a")), "a", "left_semi").select("a", "b", "na", "nb")
+    runs = edges.repartitionByRange(width, "a", "b").sortWithinPartitions("a", "b").mapInArrow(_runs, "block long, node long")
+    found = scratch.saved(_verified(texts, scratch.saved(runs, "runs"), percent), "links")
+    part = F.coalesce("part", "node").alias("part")
+    parts = of.select("node", "n", F.col("component").alias("cluster")).join(connected_components(found).withColumnRenamed("component", "part"), "node", "left")
+    parts = scratch.saved(parts.select("cluster", "node", "n", part), "parts")
+    counts = parts.groupBy("cluster", "part").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    main = counts.groupBy("cluster").agg(F.max(F.struct("rows", "part")).getField("part").alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    blocks = lambda inside: F.ceil(F.greatest(F.sum(F.when(inside, F.col("rows")).otherwise(0)) / BLOCK_ROWS, F.sum(F.when(inside, F.col("n")).otherwise(0)) / BLOCK_SHINGLES)).cast("long")
+    is_main = F.col("part") == F.col("main")
+    dealt = counts.join(main, "cluster").groupBy("cluster", "main").agg(blocks(is_main).alias("m"), blocks(~is_main).alias("r"))
+    placed = parts.join(dealt, "cluster").select("node", "cluster", "m", "r", is_main.alias("inner"), F.xxhash64("node").alias("h"))
+    own = F.pmod(F.col("h"), F.col("r"))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    # blocks of the rest are 0 to r - 1, those of the main part follow; a pair of blocks has one of the rest
+    inner = F.transform(upto(F.col("r")), lambda i: F.struct(i.alias("i"), (F.col("r") + F.pmod(F.col("h"), F.col("m"))).alias("j")))
+    outer = F.transform(upto(F.col("r") + F.col("m")), lambda x: F.struct(F.least(own, x).alias("i"), F.greatest(own, x).alias("j")))
+    pairs = placed.select("node", "cluster", F.explode(F.when(F.col("inner"), inner).otherwise(outer)).alias("p"))
+    members = pairs.select(F.struct("cluster", "p.i", "p.j").alias("block"), "node")
+    return links.union(found).union(scratch.saved(_verified(texts, members, percent), "links"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of ``docs``.
 
@@ -192,24 +286,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketched = saved(source.mapInArrow(_signatures(m), "doc_id long, n_shingles long, digest binary, collections array<long>, sketch binary"), "sketches")
     held = sketched.where("doc_id is not null")
-    classes = saved(held.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "collections", "sketch")).alias("c")).select("digest", F.col("c.doc_id").alias("rep"), F.col("c.n_shingles").alias("n"), F.col("c.collections").alias("g"), F.col("c.sketch").alias("sketch")), "classes")
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = held.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "collections", "sketch")).alias("c"))
+    classes = least.select("digest", F.col("c.doc_id").alias("rep"), F.col("c.n_shingles").alias("n"), F.col("c.collections").alias("g"), F.col("c.sketch").alias("sketch"))
+    # a class makes m * (m - 1) / 2 rows below: its tasks stay as many as the session has
+    classes = saved(classes.repartition(width, "rep"), "classes")
     tables = [F.xxhash64(F.lit(i * m + j), F.col("g")[i], F.col("g")[j]) for i in range(m) for j in range(i + 1, m)]
     keyed = classes.select("rep", F.explode(F.array(*tables)).alias("key"))
-    sizes = saved(keyed.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1"), "buckets")
+    scratch = Scratch(docs.sparkSession)
+    sizes = scratch.saved(keyed.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1"), "buckets")
     shared = keyed.join(sizes, "key").select("rep", F.col("key"), F.ceil(F.col("rows") / BUCKET_ROWS).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     dealt = shared.select("rep", F.explode(F.when(F.col("blocks") <= 1, F.array("key")).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.xxhash64("key", F.least(own, x), F.greatest(own, x))))).alias("key"))
     rows = dealt.join(classes.select("rep", "n", "sketch"), "rep").select("key", "rep", "n", "sketch")
-    width = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    rough = rows.repartition(int(width), "key").sortWithinPartitions("key").mapInArrow(_bucket_links(threshold, sketch_least(percent)), "a long, b long").distinct()
-    clusters = saved(connected_components(rough), "clusters")
-    blocks = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    placed = clusters.join(blocks, "component").select(F.col("node").alias("rep"), F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.col("component").alias("component"), F.least(mine, x).alias("i"), F.greatest(mine, x).alias("j")))).alias("block"))
-    texts = source.join(placed, source["doc_id"] == placed["rep"])
-    grouped = texts.select("block.*", "rep", "text").groupBy("component", "i", "j")
-    links = grouped.applyInArrow(_confirmed(percent), "a long, b long")
-    joined = connected_components(links.union(_repeated(held)))
+    linked = rows.repartition(width, "key").sortWithinPartitions("key", "rep").mapInArrow(_bucket_links(threshold, sketch_least(percent)), "a long, b long, na long, nb long")
+    rough = scratch.saved(linked.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb")), "rough")
+    joined = connected_components(_links(source, rough, percent, scratch).union(_repeated(held)))
+    scratch.clear()
     named = classes.select("digest", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     full = sketched.join(named, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return full.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", (F.col("component_id").isNull() | (F.col("component_id") == F.col("doc_id"))).alias("kept"))
