@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 SAMPLE_TOXIC, SAMPLE_CLEAN = 6_000, 12_000  #: the bound on labelled rows that are learned from
-LEXICON = 3_000  #: learned entries at most
 FOLD_BYTES = 1_000_000  #: texts folded together
 BEGINNINGS = range(4, 9)  #: lengths of word beginnings that may become entries
 PURITY, EVIDENCE = 3.5, 25.0  #: least log-odds and log-likelihood ratio of a learned entry
@@ -114,7 +113,14 @@ def density(machine, folded: str) -> float:
             at[start] = max(weight, at.get(start, 0.0))
     if not at:
         return 0.0
-    total = sum(w for start, w in at.items() if not any(a <= start < b for a, b in excused))
+    total, reach, spans = 0.0, -1, sorted(excused)
+    k = 0
+    for start in sorted(at):
+        while k < len(spans) and spans[k][0] <= start:
+            reach = max(reach, spans[k][1])
+            k += 1
+        if start >= reach:
+            total += at[start]
     return total / (1 + math.log2(1 + folded.count(" ") / 100))
 
 
@@ -135,10 +141,11 @@ def _count_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", usable: Column | None = None) -> Model:
-    """Lexicon and calibration from at most SAMPLE_TOXIC + SAMPLE_CLEAN labelled rows, chosen by a hash of the id.
+    """Lexicon and calibration from at most SAMPLE_TOXIC + SAMPLE_CLEAN labelled ids, chosen by a hash of the id.
 
-    An id labelled twice counts as toxic if one label says so; null labels and ids are left out. Without labels of
-    both kinds the seed lexicon stands alone.
+    An id labelled twice counts as toxic if one label says so; null labels and ids are left out. Of an id with several
+    texts the least one is read. Every entry that passes PURITY and EVIDENCE is learned. Without labels of both kinds
+    the seed lexicon stands alone.
     """
     marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     marks = marks.where(usable if usable is not None else ~_held_out("id")).withColumn("h", F.xxhash64(F.lit(5), "id"))
@@ -151,12 +158,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Model(entries, tuple(EXCEPTIONS), middle)
     # at most SAMPLE_TOXIC + SAMPLE_CLEAN ids
     ids = F.broadcast(spark.createDataFrame([(r["id"], r["label"]) for r in chosen], "id long, label int"))
-    sample = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, "id").select("label", "text")
+    sample = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, "id").groupBy("id", "label").agg(F.min("text").alias("text")).select("label", "text")
     counted = sample.mapInArrow(_count_entries, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
     odds = F.log((F.col("a") + 0.5) / (toxic + 1)) - F.log((F.col("b") + 0.5) / (clean + 1))
     rate = (F.col("a") + F.col("b")) / float(toxic + clean)
     evidence = 2 * (F.col("a") * F.log(F.col("a") / (rate * toxic)) + F.when(F.col("b") > 0, F.col("b") * F.log(F.col("b") / (rate * clean))).otherwise(0.0))
-    learned = counted.where("a > 0").select("entry", odds.alias("odds"), evidence.alias("evidence")).where((F.col("odds") >= PURITY) & (F.col("evidence") >= EVIDENCE)).orderBy(F.desc("evidence"), "entry").limit(LEXICON).collect()
+    learned = counted.where("a > 0").select("entry", odds.alias("odds"), evidence.alias("evidence")).where((F.col("odds") >= PURITY) & (F.col("evidence") >= EVIDENCE)).collect()  # a few words of a bounded sample
     for r in sorted(learned, key=lambda r: (len(r["entry"]), r["entry"])):
         if not any(r["entry"][:n] in entries for n in range(2, len(r["entry"]))):
             entries[r["entry"]] = float(r["odds"])
