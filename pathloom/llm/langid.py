@@ -21,13 +21,14 @@ from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField,
 from pathloom.llm import textkit
 
 SAMPLE = 2_400  #: the bound on rows that are learned from, shared evenly by the languages
-LEAST_EACH = 8  #: rows of a language at least, where there are that many
+LANGUAGES = 300  #: the bound on languages that are learned: the most frequent ones
 FEATURES = 1 << 12
 GRAMS = (1, 2, 3, 4)
 PIECE_BYTES, ROWS = 1_000_000, 500  #: texts whose features are made together
 RIDGE = 0.05
 LOSS = 3.0  #: scale of the margins in the exponential loss
 LEAD = 0.15  #: a smaller relative lead in loss is ambiguous
+LEAST_SHARE = 1.2  #: an ambiguous text stays from so many times 1/languages on
 
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
@@ -107,21 +108,23 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", usable: Column | None = None) -> Model | None:
     """A model from at most SAMPLE rows with text, letters and a language; None without any.
 
-    Rows are chosen by a hash of the id within each language. With more than SAMPLE / LEAST_EACH languages each
-    still gets LEAST_EACH rows.
+    Ids are chosen by their hash within each language; of an id that comes several times the least text is read. Of
+    more than LANGUAGES languages the rarest ones (ties by name) aren't learned.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     source = source.where("doc_id is not null and lang is not null").where(usable if usable is not None else _usable())
-    source = source.where("text rlike '\\\\p{L}'")  # before ranking: a text without letters takes no place
-    named = source.select("lang").distinct().count()
-    if not named:
+    source = source.where("text rlike '\\\\p{L}'")  # before choosing: a text without letters takes no place
+    counts = source.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    if not counts:
         return None
-    each = max(LEAST_EACH, SAMPLE // named)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(9), "doc_id"), "doc_id"))
-    ids = source.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= each).select("doc_id").distinct()
-    # at most ``each`` ids a language
-    chosen = F.broadcast(ids.sparkSession.createDataFrame(ids.collect(), "doc_id long")) if each * named <= 10 * SAMPLE else ids
-    sample = source.join(chosen, "doc_id", "left_semi").select("lang", "text")
+    each = SAMPLE // len(counts)
+    # the least hashes of a language lie under a limit that leaves about twice as many as are wanted
+    limits = [(r["lang"], min(2**31, math.ceil(2**31 * (2 * each + 50) / r["count"]))) for r in counts]
+    small = F.broadcast(docs.sparkSession.createDataFrame(limits, "lang string, most long"))  # at most LANGUAGES rows
+    place = F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(2**31))
+    near = source.join(small, "lang").where(place < F.col("most")).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(place, "doc_id"))
+    sample = near.withColumn("rank", rank).where(F.col("rank") <= each).select("lang", "text")
     rows = sample.mapInArrow(_feature_rows, "lang string, x binary").orderBy("lang", "x").toArrow()
     if not rows.num_rows:
         return None
@@ -177,12 +180,14 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     return judged.select(id_col, (~_usable(id_col)).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
-def with_language(docs: DataFrame, model: Model | None, least: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, in a language: not 'und', and not ambiguous with a score under ``least``.
+def with_language(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, in a language: not 'und', and not ambiguous with a score under LEAST_SHARE / languages.
 
-    Without a model nothing is known against a text with letters, and those stay.
+    Null texts and texts without a letter go. Without a model nothing is known against a text with letters, and those
+    stay.
     """
     if model is None:
         return docs.where(F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
-    kept = _identified(docs, model, text_col, docs.columns).where(f"j.lang_pred <> 'und' and (not j.ambiguous or j.score >= {least})")
+    least = LEAST_SHARE / len(model.languages)
+    kept = _identified(docs, model, text_col, docs.columns).where(f"j.lang_pred <> 'und' and (not j.ambiguous or j.score >= {least!r})")
     return kept.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)))
