@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathloom.llm.workspace import saved
+from pathloom.llm.workspace import Scratch, saved
 
 ORDER = 4
 BROADCAST_GRAMS = 500_000  #: a larger gram table is joined by shuffle
+SALTS = 16  #: parts of a frequent gram in that join
 STEPS = 200  #: calibration histogram: steps to one unit of the score
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -42,7 +43,7 @@ def _grams(judged: DataFrame, *keep: str) -> DataFrame:
     """One row per character (and end mark) of a URL: the ORDER-gram that ends there."""
     text = F.lower(F.regexp_replace("url", r"^[^:/?#]*://", ""))
     pad = F.array_repeat(F.lit("\u0002"), ORDER - 1)
-    chars = F.concat(pad, F.split(text, ""), F.array(F.lit("\u0003")))
+    chars = F.concat(pad, F.array_remove(F.split(text, ""), ""), F.array(F.lit("\u0003")))
     at = judged.where("url is not null").withColumn("chars", chars).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("chars") - ORDER)))
     return at.select(*keep, F.concat(*(F.col("chars")[F.col("at") + k] for k in range(ORDER))).alias("gram"))
 
@@ -87,15 +88,20 @@ def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url
     name, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     judged = source.select("page_id", "url", "host", "path", name.alias("rule"), verdict.alias("ruled"), (F.pmod(F.crc32(F.coalesce(F.col("page_id").cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0).alias("held"))
     sides = [F.sum(((F.col("ruled") == side) & ~F.col("held")).cast("long")).alias(c) for side, c in (("allow", "a"), ("block", "r"))]
-    counted = saved(_grams(judged, "ruled", "held").groupBy("gram").agg(*(F.coalesce(s, F.lit(0)).alias(c) for s, c in zip(sides, "ar", strict=True))), "grams")
-    weights = saved(_differences(counted.where("a + r > 0"), counted.select("gram")), "weights")
+    scratch = Scratch(pages.sparkSession)
+    counted = scratch.saved(_grams(judged, "ruled", "held").groupBy("gram").agg(*(F.coalesce(s, F.lit(0)).alias(c) for s, c in zip(sides, "ar", strict=True))), "grams")
+    weights = scratch.saved(_differences(counted.where("a + r > 0"), counted.select("gram")), "weights")
+    numbered = scratch.saved(judged.withColumn("row", F.monotonically_increasing_id()), "urls")
+    rows = _grams(numbered, "row")
     if weights.count() <= BROADCAST_GRAMS:
-        weights = F.broadcast(weights)
-    keys = ["row", "page_id", "host", "path", "rule", "ruled", "held"]
-    numbered = judged.withColumn("row", F.monotonically_increasing_id())
-    scored = _grams(numbered, *keys).join(weights, "gram").groupBy(*keys).agg(F.avg("weight").alias("score"))
-    scored = scored.unionByName(numbered.where("url is null").select(*keys, F.lit(0.0).alias("score")))
-    scored = saved(scored.drop("row"), "scores")
+        weighed = rows.join(F.broadcast(weights), "gram")
+    else:  # frequent grams are split, so that no task gets all rows of one
+        split = weights.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        weighed = rows.withColumn("salt", F.pmod("row", F.lit(SALTS))).join(split, ["gram", "salt"])
+    means = weighed.groupBy("row").agg(F.avg("weight").alias("score"))
+    scored = numbered.drop("url").join(means, "row", "left").drop("row").na.fill(0.0, ["score"])
+    scored = saved(scored.select("page_id", "host", "path", "rule", "ruled", "held", "score"), "scores")
+    scratch.clear()
     bins = scored.where("held and ruled is not null").groupBy(F.round(F.greatest(F.lit(-20.0), F.least(F.lit(20.0), "score")) * STEPS).cast("int").alias("bin")).agg(F.count_if(F.col("ruled") == "allow").alias("a"), F.count_if(F.col("ruled") == "block").alias("r"))
     upto = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()
