@@ -33,8 +33,9 @@ def _placed(before: dict[int, int], total: int, shards: int, rows_before: dict[i
                 bytes_seen[part] = bytes_seen.get(part, 0) + int(run_sum[-1])
                 rows_seen[part] = rows_seen.get(part, 0) + int(own.sum())
             # the shard whose target interval holds the row's middle byte; exact in integers
-            middle = 2 * offset + size
-            shard = np.minimum(np.array([int(m) * shards // (2 * total) for m in middle.tolist()], np.int64), shards - 1)
+            exact = offset.astype(object) if 2 * total * shards >= 2**63 else offset  # Python's integers, if need be
+            middle = 2 * exact + size
+            shard = np.minimum((middle * shards // (2 * total)).astype(np.int64), shards - 1)
             slot = rank - first_row[shard] if first_row is not None else rank
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(shard, pa.int32()), pa.array(slot, pa.int64())], names=["doc_id", "size", "text_crc32", "shard", "slot"])
 
