@@ -221,10 +221,30 @@ def test_decontamination(spark):
     assert decontaminate.leaks(df, bench.limit(0)).count() == 0
 
 
-def test_needed_values_hold_the_miss_bound():
-    need = decontaminate.needed(1000, 0.8)
-    tail = sum(math.comb(24, k) * 0.8**k * 0.2 ** (24 - k) for k in range(need))
-    assert tail <= 1e-7 and decontaminate.needed(10, 0.8) == 8
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 0.95, 1.0])
+def test_every_size_class_holds_the_miss_bound(threshold):
+    """Chance that a contained item's sketch shows too few values, drawn from the item's shingles without replacement."""
+    for size_class in range(13):
+        width = decontaminate.sketch_width(size_class)
+        need = decontaminate.needed(width, threshold)
+        for n in {2**size_class // 2 + 1, 2**size_class}:
+            if n > width:
+                held = math.ceil(threshold * n - 1e-9)
+                missed = sum(math.comb(held, k) * math.comb(n - held, width - k) for k in range(need)) / math.comb(n, width)
+                assert missed <= 1e-7, (n, width, need)
+            assert n > width or width >= n
+    assert [decontaminate.sketch_width(c) for c in (0, 3, 5, 6, 8)] == [1, 8, 32, 32, 36]
+
+
+def test_decontamination_of_clashing_names_and_equal_items(spark):
+    text = "one two three four five six seven"
+    docs = spark.createDataFrame([(1, text + " eight", "p", "q", 3), (2, None, "p", "q", 4), (3, "other words " * 9, "p", "q", 5)], "k1 long, text string, k2 string, of string, item_id long")
+    items = spark.createDataFrame([(7, text), (8, text.upper()), (9, "nothing of this kind at all here")], "item_id long, text string")
+    assert sorted(tuple(r) for r in decontaminate.leaks(docs, items, id_col="k1").collect()) == [(1, 7, 3, 3), (1, 8, 3, 3)]
+    kept = decontaminate.without_leaks(docs, items)
+    assert kept.columns == docs.columns and sorted(r["k1"] for r in kept.collect()) == [2, 3]
+    long = spark.createDataFrame([(1, ("word " * 60_000) + text)], "doc_id long, text string")
+    assert {r["item_id"] for r in decontaminate.leaks(long, items).collect()} == {7, 8}
 
 
 def test_exact_top_k(spark, monkeypatch):
@@ -577,3 +597,112 @@ def test_url_filter(spark):
     assert (judged[406], judged[407]) == ("allow", "block")
     assert {r["verdict"] for r in urlfilter.judge_urls(df.where("page_id > 401"), []).collect()} == {"allow"}
     assert urlfilter.judge_urls(df.limit(0), rules).count() == 0
+
+
+def test_exact_top_k_of_repeats_lengths_and_huge_components(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BUCKET_ROWS", 4)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 2)
+    monkeypatch.setattr(topk, "CHUNK", 2)
+    monkeypatch.setattr(topk, "BOUNDS", 3)
+    rng = np.random.RandomState(3)
+    rows = [(k, [float(x) for x in rng.randn(6) * 10.0 ** rng.randint(-3, 2)]) for k in range(60)]
+    rows += [(k, [1.0] * 6) for k in range(60, 100)] + [(20, [0.5] * 6), (40, [-3.0] * 6), (7, [2.0] * 6), (120, [1e300] * 6), (121, [-1e300, 0.0, 0.0, 0.0, 0.0, 0.0]), (140, [0.0] * 6)]
+    rows += [(k, [float(x) for x in rng.randn(3)]) for k in range(200, 230)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = [(i, [max(-int(1e150), min(int(1e150), math.floor(64 * x))) for x in v]) for i, v in rows]
+    asking = {}
+    for i, v in whole:
+        if i % 20 == 0:
+            asking[i] = min(v, asking.get(i, v))
+
+    def score(a, b):
+        return max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(a, b, strict=True))))
+
+    want = []
+    for q, v in asking.items():
+        best = sorted((-score(v, w), i) for i, w in whole if i != q and len(w) == len(v))[:5]
+        want += [(q, k + 1, i, -x) for k, (x, i) in enumerate(best)]
+    got = sorted(tuple(r) for r in topk.exact_top_k(df, df.where("vec_id % 20 = 0"), k=5).collect())
+    assert got == sorted(want)
+
+
+def _chain_rows(n, seed):
+    """Texts of which each is near the one before: a few words at the front go, a few come at the end."""
+    rng = random.Random(seed)
+    words = [f"c{seed}x{k}" for k in range(3 * n + 120)]
+    return [" ".join(words[3 * k : 3 * k + 120]) for k in rng.sample(range(n), n)]
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_large_clusters_are_confirmed_in_parts(spark, monkeypatch, percent):
+    """Chains, near copies of one text, and texts that look alike but aren't near enough, in clusters over a block."""
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 6)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 800)
+    rng = random.Random(percent)
+    texts = _chain_rows(40, 1)
+    for base in range(3):
+        words = [f"b{base}w{k}" for k in range(150)]
+        for _ in range(25):
+            copy = words[:]
+            for _ in range(rng.choice([1, 2, 3, 4, 5, 6])):
+                copy[rng.randrange(150)] = f"z{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    sets = {i: _shingles(_words(t)) for i, t in enumerate(texts)}
+    ids = sorted(sets)
+    want = _components(sets, [(a, b) for a in ids for b in ids if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df, percent=percent).collect()}
+    assert got == want and len(set(want.values())) > 4
+
+
+def test_contraction_by_brute_force():
+    rng = random.Random(4)
+    for n in (1, 5, 60, 400):
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(n)] + [(k, k + 1) for k in range(900, 900 + n)]
+        node, root = components.contracted(*np.array(edges).T)
+        assert dict(zip(node.tolist(), root.tolist(), strict=True)) == _components({x: 0 for e in edges for x in e}, edges)
+
+
+def test_components_with_hot_nodes(spark, monkeypatch):
+    monkeypatch.setattr(components, "LOCAL_EDGES", 9)
+    monkeypatch.setattr(components, "HOT_EDGES", 3)
+    monkeypatch.setattr(components, "HOT_NODES", 20)
+    edges = [(0, k) for k in range(1, 60)] + [(k, 900) for k in range(100, 150)] + [(59, 700), (700, 701)] + [(2000 + k, 2001 + k) for k in range(9)]
+    want = _components({n: 0 for e in edges for n in e}, edges)
+    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == want
+
+
+def test_many_rows_of_one_id_count_once(spark):
+    rows = [(1, "one two three four five six")] * 50 + [(2, "one two three four five six seven")] + [(3, "one two three four five six")]
+    got = Counter(tuple(r) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=61).collect())
+    assert got == Counter({(1, 2, 1, True): 50, (2, 3, 1, False): 1, (3, 2, 1, False): 1})
+
+
+def test_empty_tables_and_long_texts_of_bpe_and_shards(spark, library):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert bpe.round_trips(empty, PATH).count() == 0 and bpe.round_trips(empty, PATH, with_ids=True).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+    long = "wörd and word " * 100_000
+    df = spark.createDataFrame([(1, long), (1, long), (2, None), (None, "x")], "doc_id long, text string")
+    got = Counter(tuple(r) for r in bpe.round_trips(df, PATH).select("doc_id", "n_tokens").collect())
+    assert got == Counter({(1, len(library.encode(long, add_special_tokens=False).ids)): 2, (2, 0): 1, (None, 1): 1})
+    sizes = sorted((r["size"], r["text_crc32"]) for r in sharding.balanced_shards(df, 2).collect())
+    assert sizes == sorted([(len(long.encode()) + 1, zlib.crc32(long.encode()))] * 2 + [(1, 0), (2, zlib.crc32(b"x"))])
+
+
+def test_shards_of_sizes_beyond_a_long(monkeypatch):
+    import pyarrow as pa
+
+    size = np.array([2**61, 2**61, 2**60], np.int64)
+    batch = pa.record_batch([pa.array([1, 2, 3]), pa.array(size), pa.array([0, 0, 0]), pa.array([0, 0, 0], pa.int32())], names=["doc_id", "size", "text_crc32", "part"])
+    (out,) = sharding._placed({0: 0}, int(size.sum()), 8, {0: 0}, None)(iter([batch]))
+    assert out.column(3).to_pylist() == [1, 4, 7]
+
+
+def test_class_lm_of_repeated_rows(spark):
+    rows = [(k, "the cat sat on the mat " * 3) for k in range(40)]
+    one = {r["doc_id"]: r["score"] for r in classlm.score_corpus(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    twice = classlm.score_corpus(spark.createDataFrame(rows + rows[:5] + [(None, "the cat")], "doc_id long, text string")).collect()
+    assert len(one) == 40 and Counter(r["doc_id"] for r in twice) == Counter([i for i, _ in rows] + [i for i, _ in rows[:5]] + [None])
+    assert len({r["score"] for r in twice if r["doc_id"] is not None}) == 1
