@@ -29,8 +29,8 @@ from pathloom.llm.textkit import _MASK, lanes, mix64, pieces, utf8
 
 GROUP_BYTES = 4_000_000  #: texts encoded together; one longer text is a group of its own
 PIECE_BYTES = 4_000_000  #: bytes worked on together; a longer text is cut at blanks between letters
-PLACES = 1 << 21  #: pre-tokens of up to 15 bytes that a worker remembers at most; a newer one takes an older one's place
-HELD_IDS = 8_000_000  #: ids of remembered pre-tokens; beyond them a worker starts anew
+PLACES = 1 << 19  #: pre-tokens of up to 15 bytes that a worker remembers at most (a power of two); a newer one takes an older one's place
+HELD_IDS = 2_000_000  #: ids of remembered pre-tokens; beyond them a worker starts anew
 DIGEST_IDS = 1 << 18  #: ids written out as text together
 
 SPACE, LETTER, NUMBER, OTHER = range(4)
@@ -231,15 +231,15 @@ def _grown(array: np.ndarray, used: int, more: int) -> np.ndarray:
 class Encoder:
     """Encodes texts by pre-tokens; ``encode_words`` gives ids of UTF-8 pre-tokens that lie end to end."""
 
-    def __init__(self, encode_words: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], special: dict[str, int]):
-        self.encode_words = encode_words
+    def __init__(self, encode_words: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], special: dict[str, int], places: int = PLACES, held_ids: int = HELD_IDS):
+        self.encode_words, self.places, self.held_ids = encode_words, places, held_ids
         self.special = {token.encode(): k for token, k in special.items() if token}
         longest_first = sorted(self.special, key=lambda t: (-len(t), t))
         self.pattern = re.compile(b"|".join(map(re.escape, longest_first))) if longest_first else None
         self._forget()
 
     def _forget(self) -> None:
-        self.low, self.high, self.word = np.zeros(PLACES, np.uint64), np.zeros(PLACES, np.uint64), np.zeros(PLACES, np.int32)
+        self.low, self.high, self.word = np.zeros(self.places, np.uint64), np.zeros(self.places, np.uint64), np.zeros(self.places, np.int32)
         self.long: dict[bytes, int] = {}
         self.ids, self.offs, self.words = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), 0
         self.special_word = {token: self._learn_ids(np.array([k], np.int32), np.array([0, 1])) for token, k in self.special.items()}
@@ -260,7 +260,7 @@ class Encoder:
         low = eight[first] & _MASK[np.minimum(size, 8)]
         high = (eight[first + 8] & _MASK[np.clip(size - 8, 0, 7)]) | (np.minimum(size, 16).astype(np.uint64) << np.uint64(56))
         key = mix64(low ^ mix64(high))
-        place = (key >> np.uint64(64 - PLACES.bit_length() + 1)).astype(np.int64)
+        place = (key >> np.uint64(65 - self.places.bit_length())).astype(np.int64)
         out = self.word[place]
         short = size <= 15
         new = np.flatnonzero(short & ((self.low[place] != low) | (self.high[place] != high)))
@@ -328,7 +328,7 @@ class Encoder:
         heads = np.unique(np.concatenate((offs, special, special_end)))
         parts, at, counts, ids_before = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
         for a, b in self._cut(data, heads):
-            if self.offs[self.words] > HELD_IDS or len(self.long) > PLACES:
+            if self.offs[self.words] > self.held_ids or len(self.long) > self.places:
                 self._forget()
             part = data[a:b]
             first, _ = pretokens(part, heads[np.searchsorted(heads, a) : np.searchsorted(heads, b, "right")] - a)

@@ -33,26 +33,31 @@ LEAST_SHARE = 1.2  #: an ambiguous text stays from so many times 1/languages on
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
 
-def _features(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Square roots of hashed n-gram counts, to unit length; bytes of ASCII digits, signs and space count as one."""
+def _counts(data: np.ndarray, offs: np.ndarray) -> Iterator[np.ndarray]:
+    """Each row's counts of hashed n-grams; bytes of ASCII digits, signs and space count as one."""
     fold = np.arange(256, dtype=np.uint32)
     fold[:128] = 32
     fold[97:123] = np.arange(97, 123)
     fold[65:91] = np.arange(97, 123)
     text = fold[data]
-    out = np.zeros((len(offs) - 1, FEATURES), np.float32)
     shift = np.uint32(32 - int(math.log2(FEATURES)))
     slots = []
     run = np.zeros(len(text), np.uint32)
     for n in GRAMS:
         # run[i]: hash of the n bytes from i on
         run = text.copy() if n == 1 else run[: len(text) - n + 1] * np.uint32(16777619) ^ text[n - 1 :]
-        slots.append(((run + np.uint32(n)) * _MIX[n - 1]) >> shift)
-    for row, (a, b) in enumerate(zip(offs[:-1], offs[1:], strict=True)):
+        slots.append((((run + np.uint32(n)) * _MIX[n - 1]) >> shift).astype(np.uint16))
+    for a, b in zip(offs[:-1], offs[1:], strict=True):
         own = np.concatenate([s[a : max(a, b - n + 1)] for n, s in zip(GRAMS, slots, strict=True)])
-        if len(own):
-            counts = np.sqrt(np.bincount(own, minlength=FEATURES))
-            out[row] = counts / np.sqrt((counts * counts).sum())
+        yield np.bincount(own, minlength=FEATURES)
+
+
+def _features(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Square roots of hashed n-gram counts, to unit length."""
+    out = np.zeros((len(offs) - 1, FEATURES), np.float32)
+    for row, counts in enumerate(_counts(data, offs)):
+        if counts.any():
+            out[row] = np.sqrt(counts) / np.sqrt(counts.sum())
     return out
 
 
@@ -101,8 +106,12 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         data, offs = textkit.utf8(batch.column(1))
         for row, end, part, part_offs in textkit.pieces(data, offs):
-            rows = [x.astype("<f4").tobytes() for x in _features(part, part_offs)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array(rows, pa.binary())], names=["lang", "x"])
+            slots, counts = [], []
+            for own in _counts(part, part_offs):
+                held = np.flatnonzero(own)
+                slots.append(held.astype("<u2").tobytes())
+                counts.append(own[held].astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array(slots, pa.binary()), pa.array(counts, pa.binary())], names=["lang", "slots", "counts"])
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", usable: Column | None = None) -> Model | None:
@@ -125,20 +134,26 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     near = source.join(small, "lang").where(place < F.col("most")).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(place, "doc_id"))
     sample = near.withColumn("rank", rank).where(F.col("rank") <= each).select("lang", "text")
-    rows = sample.mapInArrow(_feature_rows, "lang string, x binary").orderBy("lang", "x").toArrow()
+    rows = sample.mapInArrow(_feature_rows, "lang string, slots binary, counts binary").orderBy("lang", "slots", "counts").toArrow()
     if not rows.num_rows:
         return None
     named = rows.column("lang").to_pylist()
     languages = sorted(set(named))
-    x = np.concatenate([np.frombuffer(v.as_buffer(), "<f4")[None] for v in rows.column("x")])
+    x = np.zeros((rows.num_rows, FEATURES), np.float32)
+    for k, (slots, counts) in enumerate(zip(rows.column("slots"), rows.column("counts"), strict=True)):
+        own = np.frombuffer(counts.as_buffer(), "<u4")
+        x[k, np.frombuffer(slots.as_buffer(), "<u2")] = np.sqrt(own / own.sum())
+    del rows
     at = np.array([languages.index(name) for name in named])
     code = codewords(len(languages))
     target = code[at].astype(float)
     share = np.bincount(at, minlength=len(languages)).astype(float)
     weight = np.sqrt(len(at) / (len(languages) * share[at]))[:, None]  # languages weigh alike
     x *= weight.astype(np.float32)
-    gram = (x @ x.T).astype(np.float64) + weight @ weight.T  # the second term is the intercept's
-    dual = np.linalg.solve(gram + RIDGE * np.eye(len(gram)), target * weight)
+    gram = (x @ x.T).astype(np.float64)
+    gram += weight * weight.T  # the intercept's
+    gram[np.diag_indices(len(gram))] += RIDGE
+    dual = np.linalg.solve(gram, target * weight)
     return Model(tuple(languages), code, np.vstack([x.T @ dual.astype(np.float32), (weight.T @ dual).astype(np.float32)]))
 
 

@@ -289,10 +289,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     least = held.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "collections", "sketch")).alias("c"))
     classes = least.select("digest", F.col("c.doc_id").alias("rep"), F.col("c.n_shingles").alias("n"), F.col("c.collections").alias("g"), F.col("c.sketch").alias("sketch"))
-    # a class makes m * (m - 1) / 2 rows below: its tasks stay as many as the session has
-    classes = saved(classes.repartition(width, "rep"), "classes")
+    classes = saved(classes, "classes")
     tables = [F.xxhash64(F.lit(i * m + j), F.col("g")[i], F.col("g")[j]) for i in range(m) for j in range(i + 1, m)]
-    keyed = classes.select("rep", F.explode(F.array(*tables)).alias("key"))
+    # a class makes m * (m - 1) / 2 rows: dealt to as many tasks as the session has, each counts a small part of them
+    keyed = classes.select("rep", "g").repartition(width, "rep").select("rep", F.explode(F.array(*tables)).alias("key"))
     scratch = Scratch(docs.sparkSession)
     sizes = scratch.saved(keyed.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1"), "buckets")
     shared = keyed.join(sizes, "key").select("rep", F.col("key"), F.ceil(F.col("rows") / BUCKET_ROWS).cast("int").alias("blocks"))

@@ -27,6 +27,7 @@ LEAST, MOST = 64, 1024  #: ids of a chunk; LEAST is over WINDOW, so that a cut n
 END = 0
 SEEN = 400_000  #: chunk ids that a task remembers, so as not to write a chunk again; beyond them it starts anew
 LIBRARY_WORDS = 1000  #: pre-tokens that the library takes at once
+PLACES, HELD_IDS = 1 << 21, 8_000_000  #: what a worker remembers of them
 _ID = 16  #: bytes of a chunk id
 
 _BASE = 0xA0761D6478BD642F
@@ -146,7 +147,7 @@ def _library_words(path: str):
         return ids[np.repeat((at - counts)[place] - total + mine, mine) + np.arange(total[-1])], np.concatenate(([0], total))
 
     special = {t.content: k for k, t in tokenizer.get_added_tokens_decoder().items() if t.special}
-    return Encoder(encode, special)
+    return Encoder(encode, special, PLACES, HELD_IDS)
 
 
 _encoders: dict[str, Encoder] = {}

@@ -68,10 +68,8 @@ def test_long_texts_are_cut_between_words(library, monkeypatch):
 
 
 def test_forgetting_changes_nothing(library, monkeypatch):
-    monkeypatch.setattr(bpe, "PLACES", 8)
-    monkeypatch.setattr(bpe, "HELD_IDS", 50)
     monkeypatch.setattr(bpe, "PIECE_BYTES", 60)
-    coder = bpe.Encoder(bpe.vocabulary(PATH).encode_words, bpe.vocabulary(PATH).special)
+    coder = bpe.Encoder(bpe.vocabulary(PATH).encode_words, bpe.vocabulary(PATH).special, 8, 50)
     texts = ["the cat sat on the mat and the dog sat on the rug " * 5, "a much much longer and uncharacteristically inconsequential matter<|endoftext|>"] * 3
     assert [x.tolist() for x in coder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
