@@ -1,7 +1,8 @@
 """A deterministic road network over the relational tables, for queries and tests.
 
 The same network is given as DataFrames and, in ``WITH``, as SQL common table expressions for the checks.
-Customers are lattice nodes, neighbours in a row and in a column are joined by two directed edges.
+Customers are lattice nodes, neighbours in a row and in a column are joined by two directed edges, an even one there
+and an odd one back; queries that follow a line one way take the even ones of a row.
 """
 
 from __future__ import annotations

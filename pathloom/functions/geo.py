@@ -103,3 +103,16 @@ def azimuthal(lon: str, lat: str, lon0: str, lat0: str) -> tuple[str, str]:
         f"({EARTH_METERS}e0 * {k} * cos(radians({lat})) * sin(radians({lon} - {lon0})))",
         f"({EARTH_METERS}e0 * {k} * (cos(radians({lat0})) * sin(radians({lat})) - sin(radians({lat0})) * cos(radians({lat})) * cos(radians({lon} - {lon0}))))",
     )
+
+
+def _uniform(key: str, draw: int) -> str:
+    """A number under 1 made of a whole number and a draw by squaring and multiplying modulo a prime."""
+    first = f"(({key} * 7919 + {draw * 104729 + 1}) % 2147483647)"
+    return f"(({first} * {first} % 2147483647 * 69621) % 2147483647 / 2147483647e0)"
+
+
+def noisy(lon: str, lat: str, metres: float, key: str) -> tuple[str, str]:
+    """A place moved by a nearly normal error of so many metres each way, the same for the same key."""
+    east, north = (f"(({' + '.join(_uniform(key, first + k) for k in range(12))}) - 6e0)" for first in (0, 12))
+    degree = f"{metres / METERS_PER_DEGREE:.15f}e0"
+    return f"({lon} + {east} * {degree} / cos(radians({lat})))", f"({lat} + {north} * {degree})"

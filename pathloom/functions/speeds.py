@@ -43,3 +43,10 @@ def blended(live: str, share: str, predicted: str, constrained: str, free: str,
 
 def ferry_speed(length: str, duration_secs: str) -> str:
     return f"CAST(greatest(1e0, least(floor({length} * 3.6e0 / {duration_secs} + 0.5e0), 254e0)) AS BIGINT)"
+
+
+def dct_coefficient(buckets: str, k: str) -> str:
+    """The k-th coefficient, rounded to a whole number, of an array of bucket speeds (a DCT-II with unit norm)."""
+    n = f"size({buckets})"
+    total = f"aggregate(transform({buckets}, (x, i) -> x * cos(pi() / {n} * (i + 0.5e0) * {k})), 0e0, (s, v) -> s + v)"
+    return f"CAST(round(sqrt(2e0 / {n}) * (CASE WHEN {k} = 0 THEN 0.707106781e0 ELSE 1e0 END) * {total}) AS BIGINT)"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathloom.plans.lineage import cut
+
 
 def density(lengths: DataFrame, cell_area: float, most: int = 15) -> DataFrame:
     """(r, c, density) of cells from rows (r, c, length): each cell's sum goes to its nine neighbours, then one sum."""
@@ -48,3 +50,38 @@ def invalid_edges(edges: DataFrame) -> DataFrame:
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("length").alias("back"))
     met = edges.select("edge_id", "src", "dst", "length").join(back, ["src", "dst"], "left")
     return met.where("back IS NULL OR back <> length").select("edge_id", F.when(F.col("back").isNull(), "no opposing edge").otherwise("lengths differ").alias("problem"))
+
+
+def dictionary(df: DataFrame, column: str, index: str = "idx") -> DataFrame:
+    """(column, index): a gapless number from 1 for each distinct value, in its order.
+
+    Values are dealt into ordered ranges; a value's number is its place in its range and the sizes of those before.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = cut(df.select(column).where(F.col(column).isNotNull()).distinct().repartitionByRange(parts, column).sortWithinPartitions(column).select(column, F.spark_partition_id().alias("_part"), place.alias("_place")))
+    before, starts = 1, []
+    for r in dealt.groupBy("_part").count().orderBy("_part").collect():  # one row a range
+        starts.append((r["_part"], before))
+        before += r["count"]
+    held = df.sparkSession.createDataFrame(starts, "_part int, _start long")  # as many rows as ranges
+    return dealt.join(F.broadcast(held), "_part").select(column, (F.col("_start") + F.col("_place")).alias(index))
+
+
+def kept_graph(edges: DataFrame, condition: str) -> DataFrame:
+    """(edge_id, src, dst): edges that pass, their nodes numbered anew without gaps in the order of their ids."""
+    left = cut(edges.where(condition).select("edge_id", "src", "dst"))
+    numbers = dictionary(left.select(F.explode(F.array("src", "dst")).alias("node")), "node", "number")
+    by_src = left.join(numbers.withColumnRenamed("node", "src"), "src").withColumnRenamed("number", "new_src")
+    return by_src.join(numbers.withColumnRenamed("node", "dst"), "dst").select("edge_id", F.col("new_src").alias("src"), F.col("number").alias("dst"))
+
+
+def enhance(edges: DataFrame, cells: DataFrame, cell: float = 0.02, x0: float = 4.0, y0: float = 52.0, urban: int = 8, ends: int = 1) -> DataFrame:
+    """(edge_id, density, urban, dead_end): density of the cell an edge begins in, and whether at most ``ends`` ways lead on.
+
+    ``cells`` has (r, c, density); with ``ends`` at 1 a dead end has only the way back.
+    """
+    held = edges.selectExpr("edge_id", "src", "dst", f"CAST(floor((lat1 - {y0}e0) / {cell}e0) AS BIGINT) AS r", f"CAST(floor((lon1 - {x0}e0) / {cell}e0) AS BIGINT) AS c")
+    outs = edges.groupBy(F.col("src").alias("dst")).agg(F.count_distinct("dst").alias("outs"))
+    met = held.join(cells, ["r", "c"], "left").join(outs, "dst", "left")
+    return met.selectExpr("edge_id", "coalesce(density, 0) AS density", f"coalesce(density, 0) >= {urban} AS urban", f"coalesce(outs, 0) <= {ends} AS dead_end")

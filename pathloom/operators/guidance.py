@@ -21,3 +21,30 @@ def instruction(kind: str, street: str) -> str:
     """English instruction text as an expression."""
     cases = " ".join(f"WHEN {k} THEN '{'Continue on ' if k == 0 else 'Make a ' + v + ' onto ' if k == 4 else 'Turn ' + v + ' onto '}'" for k, v in NAMES.items())
     return f"((CASE {kind} {cases} END) || {street} || '.')"
+
+
+def collapse(maneuvers: DataFrame, shortest: float) -> DataFrame:
+    """(trip_id, island, street, metres, parts): maneuvers (trip_id, island, street, metres) with short ones joined on.
+
+    One shorter than ``shortest`` metres goes to the nearest longer one before it, or to the first longer one of the
+    trip; a trip of short ones stays as it is. The street is that of the maneuver that stays.
+    """
+    w = Window.partitionBy("trip_id").orderBy("island")
+    long = F.when(F.col("metres") >= shortest, F.col("island"))
+    whole = Window.partitionBy("trip_id")
+    held = maneuvers.withColumn("_to", F.coalesce(F.last(long, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.min(long).over(whole), F.col("island")))
+    street = F.max(F.when(F.col("island") == F.col("_to"), F.col("street"))).alias("street")
+    return held.groupBy("trip_id", F.col("_to").alias("island")).agg(street, F.sum("metres").alias("metres"), F.count("*").alias("parts"))
+
+
+def roundabout_exits(path: DataFrame, edges: DataFrame) -> DataFrame:
+    """(trip_id, first, exit): for each run of roundabout edges of a path, the number of the exit that it takes.
+
+    ``path`` has (trip_id, seq, edge_id, roundabout); every drivable edge out of the run's nodes that is no roundabout
+    counts as an exit, in the order in which the run passes their nodes, the last one being taken.
+    """
+    held = runs(path, "trip_id", ["seq"], "roundabout").where("roundabout")
+    ends = held.join(edges.select("edge_id", "dst"), "edge_id")
+    outs = edges.where("NOT roundabout").groupBy(F.col("src").alias("dst")).agg(F.count("*").alias("n"))
+    met = ends.join(outs, "dst", "left").groupBy("trip_id", "island").agg(F.min("seq").alias("first"), F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.coalesce(F.max_by("n", "seq"), F.lit(0)).alias("last"))
+    return met.select("trip_id", "first", (F.col("all") - F.col("last") + F.least("last", F.lit(1))).alias("exit"))

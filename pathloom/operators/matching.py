@@ -55,8 +55,8 @@ def viterbi(steps: DataFrame) -> DataFrame:
     """(trace_id, time, state, cost): the cheapest sequence of states of each trace.
 
     ``steps`` has (trace_id, time, state, emission, before, transition): one row per state and reachable state
-    before it; before is null at the first time. Ties take the smaller state. A time that nothing reaches starts a
-    new path, whose costs start from its emissions.
+    before it; a row whose before is null tells that a path may begin there. Ties take the smaller state. A time that
+    nothing reaches starts a new path, whose costs start from its emissions.
     """
 
     def best(rows: pd.DataFrame) -> pd.DataFrame:
@@ -72,7 +72,7 @@ def viterbi(steps: DataFrame) -> DataFrame:
             if not now:
                 out += _traced(layers)
                 layers = []
-                now = dict(zip(layer["state"], layer["emission"], strict=True))
+                now = {int(state): float(cost) for state, cost in zip(layer["state"], layer["emission"], strict=True)}
                 back = dict.fromkeys(now)
             layers.append((int(layer["time"].iloc[0]), now, back))
             costs = now
@@ -91,3 +91,29 @@ def _traced(layers: list) -> list[tuple[int, int, float]]:
         path.append((time, int(state), float(costs[state])))
         state = back[state]
     return path[::-1]
+
+
+def k_best(steps: DataFrame, k: int = 3) -> DataFrame:
+    """(trace_id, rank, cost, states): the k cheapest state sequences through all times of each trace.
+
+    ``steps`` as for ``viterbi``. Every state keeps its k cheapest ways to it, which is exact. Equal costs are ordered
+    by their states. A trace with a time that nothing reaches has no row.
+    """
+
+    def best(rows: pd.DataFrame) -> pd.DataFrame:
+        ways: dict[int, list[tuple[float, tuple[int, ...]]]] = {}
+        first = True
+        for _, layer in rows.sort_values("time").groupby("time", sort=True):
+            now: dict[int, list[tuple[float, tuple[int, ...]]]] = {}
+            for r in layer.itertuples(index=False):
+                state = int(r.state)
+                if first:
+                    now[state] = [(float(r.emission), (state,))]
+                elif not pd.isna(r.before):
+                    now.setdefault(state, []).extend((cost + r.transition + r.emission, (*path, state)) for cost, path in ways.get(int(r.before), ()))
+            ways = {state: sorted(own)[:k] for state, own in now.items()}
+            first = False
+        found = sorted(way for own in ways.values() for way in own)[:k]
+        return pd.DataFrame([(int(rows["trace_id"].iloc[0]), n, cost, list(path)) for n, (cost, path) in enumerate(found, 1)], columns=["trace_id", "rank", "cost", "states"])
+
+    return steps.groupBy("trace_id").applyInPandas(best, "trace_id long, rank int, cost double, states array<long>")

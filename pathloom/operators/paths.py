@@ -1,13 +1,15 @@
 """Shortest paths and what is built on them.
 
-``reach_within`` relaxes a frontier table round by round and works at any graph size. ``paths_from`` sends a graph
-of at most ``CSR_EDGES`` arcs to every task and runs a heap search per source there; a larger graph falls back to the
-frontier. Arcs are rows (src, dst, cost, arc); for turn costs and restrictions use the arcs between edges.
+``reach_within`` relaxes a frontier table round by round and works at any graph size. The others send a graph of at
+most ``CSR_EDGES`` arcs to every task: ``paths_from`` and ``between`` run heap searches there, ``costs_from`` and
+``matrix`` relax blocks of sources together. A larger graph falls back to the frontier. Arcs are rows (src, dst, cost,
+arc[, length]); for turn costs and restrictions use the arcs between edges.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +22,8 @@ from pathloom.operators.filters import allowed
 from pathloom.plans.lineage import cut
 
 CSR_EDGES = 1_000_000
+SOURCES = 16  #: sources that are relaxed together
+TARGETS = 100_000  #: targets of a matrix that are sent to tasks
 LABELS = "source long, node long, cost double, arc long, hops int"
 
 
@@ -66,7 +70,7 @@ def reach_within(arcs: DataFrame, seeds: DataFrame, bound: float | None = None,
     """
     labels = cut(seeds.select(F.col("source").cast("long").alias("source"), F.col("node").cast("long").alias("node"), F.lit(0.0).alias("cost"), F.lit(-1).cast("long").alias("arc"), F.lit(0).alias("hops")))
     steps = arcs.select(F.col("src").alias("node"), F.col("dst"), F.col("cost").alias("step"), F.col("arc").alias("by")).persist()
-    frontier, hop = labels, 0
+    frontier, hop, held = labels, 0, []
     while not frontier.isEmpty() and (max_hops is None or hop < max_hops):
         hop += 1
         tried = frontier.join(steps, "node").select("source", F.col("dst").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), F.col("by").alias("arc"), F.lit(hop).alias("hops"))
@@ -77,52 +81,306 @@ def reach_within(arcs: DataFrame, seeds: DataFrame, bound: float | None = None,
         frontier = best.join(known, ["source", "node"], "left").where("had IS NULL OR cost < had - 1e-9").drop("had")
         frontier = cut(frontier)
         labels = labels.join(frontier.select("source", "node"), ["source", "node"], "left_anti").unionByName(frontier)
-        labels = cut(labels) if hop % every == 0 else labels.persist()
-    steps.unpersist()
+        held.append(labels.persist())
+        if hop % every == 0:
+            labels = cut(labels)
+            while held:
+                held.pop().unpersist()
+    labels = cut(labels)
+    for x in (steps, *held):
+        x.unpersist()
     return labels
 
 
+class Graph:
+    """Arcs in order of their source, and of their destination for searches against them."""
+
+    def __init__(self, src: np.ndarray, dst: np.ndarray, cost: np.ndarray, arc: np.ndarray, length: np.ndarray):
+        self.names, index = np.unique(np.concatenate([src, dst]), return_inverse=True)
+        src, dst = index[: len(src)], index[len(src) :]
+        self.sides = []
+        for near, far in ((src, dst), (dst, src)):
+            order = np.lexsort((arc, near))
+            self.sides.append((np.searchsorted(near[order], np.arange(len(self.names) + 1)), far[order], cost[order], arc[order], length[order]))
+        self.by_dst = (self.sides[1][1], np.repeat(np.arange(len(self.names)), np.diff(self.sides[1][0])), self.sides[1][2])
+
+    def find(self, node: int) -> int:
+        at = int(np.searchsorted(self.names, node))
+        return at if at < len(self.names) and self.names[at] == node else -1
+
+    def tree(self, at: int, side: int = 0, limit: float = math.inf) -> tuple[dict[int, float], dict[int, int], dict[int, int]]:
+        """Least costs within ``limit``, the place of the arc that each node is reached by (-1 at the start), and hops."""
+        offs, far, cost, arc, _ = self.sides[side]
+        least, via, hops, heap, done = {at: 0.0}, {at: -1}, {at: 0}, [(0.0, -1, at)], set()
+        while heap:
+            so_far, _, x = heapq.heappop(heap)
+            if x in done:
+                continue
+            done.add(x)
+            for k in range(offs[x], offs[x + 1]):
+                y, total = int(far[k]), so_far + float(cost[k])
+                if total > limit or y in done:
+                    continue
+                if total < least.get(y, math.inf) - 1e-9 or (total < least[y] + 1e-9 and arc[k] < arc[via[y]] and y != at):
+                    least[y], via[y], hops[y] = total, k, hops[x] + 1
+                    heapq.heappush(heap, (total, int(arc[k]), y))
+        return {x: least[x] for x in done}, via, hops
+
+    def _walk(self, side: int, via: dict[int, int], x: int) -> list[int]:
+        """Places of the arcs from ``x`` back to the start of a tree."""
+        offs, out = self.sides[side][0], []
+        while via[x] >= 0:
+            out.append(via[x])
+            x = int(np.searchsorted(offs, via[x], "right")) - 1
+        return out
+
+    def _joined(self, forward: list[int], backward: list[int]) -> list[tuple[int, float, float]]:
+        """(arc, cost, length) of a path from walks back to its ends."""
+        steps = [(0, k) for k in reversed(forward)] + [(1, k) for k in backward]
+        return [(int(self.sides[side][3][k]), float(self.sides[side][2][k]), float(self.sides[side][4][k])) for side, k in steps]
+
+    def between(self, a: int, b: int) -> tuple[float, list[tuple[int, float, float]], int] | None:
+        """Cost, path and number of settled nodes of a search from both ends that stops once they can't meet cheaper."""
+        least, via, done = ({a: 0.0}, {b: 0.0}), ({a: -1}, {b: -1}), (set(), set())
+        heaps = [[(0.0, a)], [(0.0, b)]]
+        best, at = (0.0, a) if a == b else (math.inf, -1)
+        while heaps[0] and heaps[1] and heaps[0][0][0] + heaps[1][0][0] < best:
+            side = 0 if heaps[0][0][0] <= heaps[1][0][0] else 1
+            so_far, x = heapq.heappop(heaps[side])
+            if x in done[side]:
+                continue
+            done[side].add(x)
+            offs, far, cost, arc, _ = self.sides[side]
+            for k in range(offs[x], offs[x + 1]):
+                y, total = int(far[k]), so_far + float(cost[k])
+                if total < least[side].get(y, math.inf):
+                    least[side][y], via[side][y] = total, k
+                    heapq.heappush(heaps[side], (total, y))
+                    if total + least[1 - side].get(y, math.inf) < best:
+                        best, at = total + least[1 - side][y], y
+        if at < 0:
+            return None
+        return best, self._joined(self._walk(0, via[0], at), self._walk(1, via[1], at)), len(done[0]) + len(done[1])
+
+    def alternates(self, a: int, b: int, most: int) -> list[tuple[float, list[tuple[int, float, float]]]]:
+        """The cheapest path and up to ``most`` others that pass the limits on stretch, detour and sharing."""
+        first = self.between(a, b)
+        if first is None:
+            return []
+        limit = first[0] * longest_stretch(first[0])
+        (out, out_via, _), (back, back_via, _) = self.tree(a, 0, limit), self.tree(b, 1, limit)
+        kept, tried = [(first[0], first[1])], set()
+        for total, x in sorted((out[x] + back[x], x) for x in out.keys() & back.keys() if out[x] + back[x] < limit):
+            if len(kept) > most:
+                break
+            path = self._joined(self._walk(0, out_via, x), self._walk(1, back_via, x))
+            arcs = tuple(p[0] for p in path)
+            if arcs in tried:
+                continue
+            tried.add(arcs)
+            if self._simple(a, path) and differs(kept[0][1], path) and all(shared(other, path) <= MOST_SHARED * sum(p[2] for p in other) for _, other in kept):
+                kept.append((total, path))
+        return kept
+
+    def _simple(self, a: int, path: list[tuple[int, float, float]]) -> bool:
+        """Whether no node comes twice."""
+        offs, far, _, arc, _ = self.sides[0]
+        seen, x = {a}, a
+        for step in path:
+            x = next(int(far[k]) for k in range(offs[x], offs[x + 1]) if arc[k] == step[0])
+            if x in seen:
+                return False
+            seen.add(x)
+        return True
+
+    def costs(self, starts: np.ndarray, limit: float = math.inf) -> np.ndarray:
+        """[start, node]: least costs by relaxing the arcs out of nodes that got better, for all starts at once."""
+        src, dst, cost = self.by_dst
+        out = np.full((len(starts), len(self.names)), np.inf)
+        out[np.arange(len(starts)), starts] = 0
+        active = np.zeros(len(self.names), bool)
+        active[starts] = True
+        while active.any():
+            own = np.flatnonzero(active[src])
+            heads = np.flatnonzero(np.diff(dst[own], prepend=-1))
+            if not len(heads):
+                break
+            nodes = dst[own[heads]]
+            tried = np.minimum.reduceat(out[:, src[own]] + cost[own], heads, axis=1)
+            better = (tried < out[:, nodes] - 1e-9) & (tried <= limit)
+            out[:, nodes] = np.where(better, tried, out[:, nodes])
+            active[:] = False
+            active[nodes[better.any(axis=0)]] = True
+        return out
+
+
+#: Limits of alternate paths.
+MOST_SHARED, MOST_DETOUR = 0.75, 2.0
+
+
+def longest_stretch(cost: float) -> float:
+    """How many times the cheapest cost an alternate may have: 2 up to ten minutes, 1.25 beyond five hours."""
+    if cost < 600:
+        return 2.0
+    return 1.21067994 + 722.941576 / cost - 145726.221 / (cost * cost) if cost < 18000 else 1.25
+
+
+def shared(one: list[tuple[int, float, float]], other: list[tuple[int, float, float]]) -> float:
+    """Length of the arcs of ``other`` that are in ``one``."""
+    arcs = {p[0] for p in one}
+    return sum(p[2] for p in other if p[0] in arcs)
+
+
+def differs(best: list[tuple[int, float, float]], path: list[tuple[int, float, float]]) -> bool:
+    """Whether the part in which a path leaves the best one costs at most MOST_DETOUR times what it goes round."""
+    n = min(len(best), len(path))
+    begin = next((k for k in range(n) if best[k][0] != path[k][0]), n)
+    if begin == len(best):
+        return begin == len(path)
+    end = next((k for k in range(n - begin) if best[-1 - k][0] != path[-1 - k][0]), n - begin)
+    around = [sum(p[1] for p in x[begin : len(x) - end]) for x in (best, path)]
+    return around[1] <= MOST_DETOUR * around[0]
+
+
+def _graph(arcs: DataFrame):
+    """The arcs as a broadcast graph, or None if there are too many for that."""
+    if arcs.count() > CSR_EDGES:
+        return None
+    length = F.col("length") if "length" in arcs.columns else F.lit(0.0)
+    held = arcs.select("src", "dst", F.col("cost").cast("double"), "arc", length.cast("double").alias("length")).toArrow()
+    return arcs.sparkSession.sparkContext.broadcast(Graph(*(held.column(k).to_numpy() for k in range(5))))
+
+
 def paths_from(arcs: DataFrame, seeds: DataFrame, bound: float | None = None) -> DataFrame:
     """The same labels by a heap search per source over a graph held in each task, if it is small enough for that."""
-    if arcs.count() > CSR_EDGES:
+    graph = _graph(arcs)
+    if graph is None:
         return reach_within(arcs, seeds, bound)
-    held = arcs.select("src", "dst", "cost", "arc").toPandas()
-    names, index = np.unique(np.concatenate([held["src"], held["dst"]]), return_inverse=True)
-    src, dst = index[: len(held)], index[len(held) :]
-    order = np.lexsort((held["arc"], src))
-    src, dst, cost, arc = src[order], dst[order], held["cost"].to_numpy()[order], held["arc"].to_numpy()[order]
-    offs = np.searchsorted(src, np.arange(len(names) + 1))
-    graph = seeds.sparkSession.sparkContext.broadcast((names, offs, dst, cost, arc))
-    limit = float("inf") if bound is None else bound
+    limit = math.inf if bound is None else bound
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, offs, dst, cost, arc = graph.value
+        g = graph.value
+        arc = g.sides[0][3]
         for batch in batches:
             for source, node in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                at = int(np.searchsorted(names, node))
-                if at == len(names) or names[at] != node:
+                at = g.find(node)
+                if at < 0:
                     yield _labels(source, [node], [0.0], [-1], [0])
                     continue
-                least, via, hops = {at: 0.0}, {at: -1}, {at: 0}
-                heap, done = [(0.0, -1, at)], set()
-                while heap:
-                    so_far, _, x = heapq.heappop(heap)
-                    if x in done:
-                        continue
-                    done.add(x)
-                    for k in range(offs[x], offs[x + 1]):
-                        y, total = int(dst[k]), so_far + float(cost[k])
-                        if total > limit or y in done:
-                            continue
-                        if total < least.get(y, float("inf")) - 1e-9 or (total < least[y] + 1e-9 and arc[k] < via[y] and y != at):
-                            least[y], via[y], hops[y] = total, int(arc[k]), hops[x] + 1
-                            heapq.heappush(heap, (total, int(arc[k]), y))
-                found = sorted(done)
-                yield _labels(source, names[found].tolist(), [least[x] for x in found], [via[x] for x in found], [hops[x] for x in found])
+                least, via, hops = g.tree(at, 0, limit)
+                found = sorted(least)
+                yield _labels(source, g.names[found].tolist(), [least[x] for x in found], [int(arc[via[x]]) if via[x] >= 0 else -1 for x in found], [hops[x] for x in found])
 
     return seeds.select(F.col("source").cast("long"), F.col("node").cast("long")).mapInArrow(search, LABELS)
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows with a ``node``, near ones together, in as many tasks as the session has."""
+    return rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node").sortWithinPartitions("node")
+
+
+def costs_from(arcs: DataFrame, seeds: DataFrame, bound: float | None = None) -> DataFrame:
+    """(source, node, cost) without paths: blocks of sources are relaxed together over a graph held in each task."""
+    graph = _graph(arcs)
+    if graph is None:
+        return reach_within(arcs, seeds, bound).select("source", "node", "cost")
+    limit = math.inf if bound is None else bound
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = graph.value
+        for source, known in _blocks(g, batches):
+            out = g.costs(known, limit)
+            row, node = np.nonzero(np.isfinite(out))
+            yield pa.RecordBatch.from_arrays([pa.array(source[row]), pa.array(g.names[node]), pa.array(out[row, node])], names=["source", "node", "cost"])
+
+    return _spread(seeds.select(F.col("source").cast("long"), F.col("node").cast("long"))).mapInArrow(search, "source long, node long, cost double")
+
+
+def _blocks(g: Graph, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(sources, places) of SOURCES rows at a time; nodes outside the graph reach nothing but themselves and are left out."""
+    for batch in batches:
+        at = np.array([g.find(node) for node in batch.column(1).to_pylist()], np.int64)
+        source, at = batch.column(0).to_numpy()[at >= 0], at[at >= 0]
+        for k in range(0, len(at), SOURCES):
+            yield source[k : k + SOURCES], at[k : k + SOURCES]
+
+
+def between(arcs: DataFrame, trips: DataFrame) -> DataFrame:
+    """(trip_id, seq, arc, cost, settled): the cheapest path of each trip (trip_id, origin, destination), costs added up.
+
+    A search from both ends that stops where they can't meet cheaper; ``settled`` counts the nodes that it settled. A
+    graph too large for a task is searched by the frontier, and each trip's labels are walked back in one task. A trip
+    without a path has no row, one that ends where it begins neither.
+    """
+    graph = _graph(arcs)
+    asked = trips.select(F.col("trip_id").cast("long"), F.col("origin").cast("long").alias("node"), F.col("destination").cast("long"))
+    schema = "trip_id long, seq int, arc long, cost double, settled long"
+    if graph is None:
+        return _walked(arcs, asked, schema)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = graph.value
+        for batch in batches:
+            for trip, a, b in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                found = g.between(x, y) if (x := g.find(a)) >= 0 and (y := g.find(b)) >= 0 else None
+                if found and found[1]:
+                    yield _steps(trip, found[1], found[2])
+
+    return _spread(asked).mapInArrow(search, schema)
+
+
+def _steps(trip: int, path: list[tuple[int, float, float]], settled: int) -> pa.RecordBatch:
+    n = len(path)
+    return pa.RecordBatch.from_arrays([pa.array([trip] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([p[0] for p in path], pa.int64()), pa.array(np.cumsum([p[1] for p in path])), pa.array([settled] * n, pa.int64())], names=["trip_id", "seq", "arc", "cost", "settled"])
+
+
+def _walked(arcs: DataFrame, asked: DataFrame, schema: str) -> DataFrame:
+    labels = reach_within(arcs, asked.select(F.col("trip_id").alias("source"), "node"))
+    ends = arcs.select("arc", F.col("src").alias("before"), F.col("cost").alias("step"))
+    held = labels.join(ends, "arc", "left").join(asked.select(F.col("trip_id").alias("source"), "destination"), "source")
+
+    def walk(table: pa.Table) -> pa.Table:
+        rows = {r["node"]: r for r in table.to_pylist()}
+        x = table.column("destination")[0].as_py()
+        path: list[tuple[int, float, float]] = []
+        while x in rows and rows[x]["arc"] >= 0:
+            path.append((rows[x]["arc"], rows[x]["step"], 0.0))
+            x = rows[x]["before"]
+        out = _steps(table.column("source")[0].as_py(), path[::-1], len(rows)) if path else None
+        return pa.Table.from_batches([out] if out else [], schema=_steps(0, [], 0).schema)
+
+    return held.select("source", "node", "arc", "step", "before", "destination").groupBy("source").applyInArrow(walk, schema)
+
+
+def alternates(arcs: DataFrame, trips: DataFrame, most: int = 2) -> DataFrame:
+    """(trip_id, rank, cost, length, arcs): the cheapest path (rank 0) and up to ``most`` viable others of each trip.
+
+    Others run over a node that both ends reach, cost at most ``longest_stretch`` times the best, go round no part of
+    it at more than MOST_DETOUR times its cost, and share at most MOST_SHARED of the length of any path kept before.
+    Needs ``length`` in the arcs, and a graph that a task can hold.
+    """
+    graph = _graph(arcs)
+    if graph is None:
+        raise ValueError(f"alternates need a graph of at most {CSR_EDGES} arcs")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = graph.value
+        for batch in batches:
+            for trip, a, b in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                x, y = g.find(a), g.find(b)
+                found = g.alternates(x, y, most) if x >= 0 and y >= 0 and x != y else []
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([trip] * len(found), pa.int64()), pa.array(range(len(found)), pa.int32()), pa.array([f[0] for f in found]), pa.array([sum(p[2] for p in f[1]) for f in found]), pa.array([[p[0] for p in f[1]] for f in found], pa.list_(pa.int64()))], names=["trip_id", "rank", "cost", "length", "arcs"])
+
+    asked = trips.select(F.col("trip_id").cast("long"), F.col("origin").cast("long").alias("node"), F.col("destination").cast("long"))
+    return _spread(asked).mapInArrow(search, "trip_id long, rank int, cost double, length double, arcs array<long>")
+
+
+def cost_buckets(labels: DataFrame, width: float) -> DataFrame:
+    """(source, bucket, nodes): how many labels lie in each step of ``width`` of cost, the order of a bucket queue."""
+    return labels.groupBy("source", F.floor(F.col("cost") / width).alias("bucket")).agg(F.count("*").alias("nodes"))
+
+
 def _labels(source, nodes, costs, arcs, hops) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([source] * len(nodes), pa.int64()), pa.array(nodes, pa.int64()), pa.array(costs, pa.float64()), pa.array(arcs, pa.int64()), pa.array(hops, pa.int32())], names=["source", "node", "cost", "arc", "hops"])
 
@@ -139,17 +397,43 @@ def meet(forward: DataFrame, backward: DataFrame) -> DataFrame:
 
 
 def matrix(arcs: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, target, cost) of every source (source, node) and target (target, node); cost is null if unreachable."""
-    labels = paths_from(arcs, sources)
-    found = labels.join(targets, "node").select("source", "target", "cost")
-    every = sources.select("source").join(F.broadcast(targets.agg(F.collect_list("target").alias("t")))).select("source", F.explode("t").alias("target"))
-    return every.join(found, ["source", "target"], "left")
+    """(source, target, cost) of every source (source, node) and target (target, node); cost is null if unreachable.
+
+    Tasks give the costs of the targets alone; more than TARGETS of them are joined with the labels of all nodes.
+    """
+    graph = _graph(arcs)
+    goals = targets.select(F.col("target").cast("long"), F.col("node").cast("long")).limit(TARGETS + 1).toArrow()
+    if graph is None or goals.num_rows > TARGETS:
+        found = costs_from(arcs, sources).join(targets, "node").select("source", "target", "cost")
+        pairs = sources.select("source").join(targets.select("target"))  # what is asked for is every pair
+        return pairs.join(found, ["source", "target"], "left")
+    target, node = (goals.column(k).to_numpy() for k in (0, 1))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = graph.value
+        place = np.array([g.find(int(x)) for x in node], np.int64)
+
+        def rows(source: np.ndarray, costs: np.ndarray) -> pa.RecordBatch:
+            flat = costs.ravel()
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(source, len(target))), pa.array(np.tile(target, len(source))), pa.array(flat, mask=~np.isfinite(flat))], names=["source", "target", "cost"])
+
+        for batch in batches:
+            outside = np.array([g.find(x) < 0 for x in batch.column(1).to_pylist()], bool)
+            if outside.any():
+                same = batch.column(1).to_numpy()[outside][:, None] == node[None, :]
+                yield rows(batch.column(0).to_numpy()[outside], np.where(same, 0.0, np.inf))
+            for source, known in _blocks(g, iter([batch])):
+                out = np.full((len(source), len(target)), np.inf)
+                out[:, place >= 0] = g.costs(known)[:, place[place >= 0]]
+                yield rows(source, out)
+
+    return _spread(sources.select(F.col("source").cast("long"), F.col("node").cast("long"))).mapInArrow(search, "source long, target long, cost double")
 
 
 def centroid(labels: DataFrame, origins: int) -> DataFrame:
     """The node that all origins reach with the least greatest cost (ties: least sum, then id)."""
     shared = labels.groupBy("node").agg(F.count("*").alias("n"), F.max("cost").alias("far"), F.sum("cost").alias("total")).where(F.col("n") == origins)
-    return shared.orderBy("far", "total", "node").limit(1).select("node", "far", "total")
+    return shared.orderBy(F.round("far", 6), F.round("total", 4), "node").limit(1).select("node", "far", "total")
 
 
 def component_labels(links: DataFrame) -> DataFrame:

@@ -60,3 +60,26 @@ def match_method(shape_match: str, exact: bool) -> str:
     if shape_match == "map_snap":
         return "map_snap"
     return "edge_walk" if exact else "map_snap"
+
+
+#: Matching parameters that a mode has for itself.
+MATCH_MODES = {"auto": {"turn_penalty_factor": 200.0, "search_radius": 50.0}, "pedestrian": {"turn_penalty_factor": 100.0, "search_radius": 50.0}, "bicycle": {"turn_penalty_factor": 140.0}, "multimodal": {"turn_penalty_factor": 70.0}}
+
+
+def match_config(mode: str, given: dict[str, float] | None = None) -> dict[str, float]:
+    """Parameters of a matching request: the defaults, what the mode sets, then what the request does; unknown names fall away."""
+    known = {**MATCH_DEFAULTS, "turn_penalty_factor": 0.0}
+    return {**known, **{k: v for layer in (MATCH_MODES.get(mode, {}), given or {}) for k, v in layer.items() if k in known}}
+
+
+def merged(defaults: dict, given: dict) -> dict:
+    """Nested settings: what is given wins, groups are merged key by key."""
+    return {k: merged(v, given[k]) if isinstance(v, dict) and isinstance(given.get(k), dict) else given.get(k, v) for k, v in defaults.items()} | {k: v for k, v in given.items() if k not in defaults}
+
+
+def path_methods(requests, edges: int):
+    """``requests`` with ``method``: what ``path_method`` gives for each row's model."""
+    from pyspark.sql import functions as F
+
+    product = F.col("model").isin("transit", "multimodal", "bikeshare")
+    return requests.withColumn("method", F.when(product, "product").otherwise("csr" if edges <= CSR_EDGES else "frontier"))

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from pathloom import registry
 
-MODULES = ("network", "relational", "scalars", "streams", "actions", "building")
+MODULES = ("network", "relational", "scalars", "streams", "actions", "building", "further")
 
 
 def load() -> dict[str, registry.Build]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pathloom import fixtures as fx
 from pathloom.fixtures import DEPARTURES, TRACES, WITH
 from pathloom.functions import geo
+from pathloom.operators import etl
 from pathloom.operators import filters as fl
 from pathloom.queries.portable import portable
 from pathloom.registry import query
@@ -26,18 +27,18 @@ def tag_transform(spark, sf_dir):
 _HOURS = "(CASE p_partkey % 4 WHEN 0 THEN 'Mo-Fr 07:00-09:30' WHEN 1 THEN 'Sa 22:15-06:00' WHEN 2 THEN 'Fr-Mo 00:00-23:59' ELSE '12:00-13:00' END)"
 portable("t8_opening_hours", lambda s, d: fx.table(s, d, "part"), "part", {"p_partkey": "p_partkey", "mask": f"CAST({ws.weekday_mask(_HOURS)} AS INT)", "begin": ws.minutes_of(_HOURS, False), "until": ws.minutes_of(_HOURS, True)})
 
-_RULES = "rules AS (SELECT o_orderkey AS rule, CAST(floor(o_custkey / 4e0) AS BIGINT) AS from_way, o_custkey + 1 AS via_node, CAST(floor((o_custkey + 1) / 4e0) AS BIGINT) AS to_way FROM orders WHERE o_orderkey % 7 = 0)"
+_RULES = "rules AS (SELECT o_orderkey AS rule, CAST(floor(o_custkey / 4e0) AS BIGINT) AS from_way, o_custkey + 1 AS via_node, CAST(floor((o_custkey + 1) / 4e0) AS BIGINT) AS to_way FROM orders)"
 
 
 @query("p27_e11_restriction_builder", f"{WITH}, {_RULES} SELECT r.rule, a.edge_id AS from_edge, b.edge_id AS to_edge FROM rules r JOIN edges a ON a.way_id = r.from_way AND a.dst = r.via_node JOIN edges b ON b.way_id = r.to_way AND b.src = r.via_node")
 def restriction_builder(spark, sf_dir):
-    rules = fx.table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").selectExpr("o_orderkey AS rule", "CAST(floor(o_custkey / 4e0) AS BIGINT) AS from_way", "o_custkey + 1 AS via_node", "CAST(floor((o_custkey + 1) / 4e0) AS BIGINT) AS to_way")
+    rules = fx.table(spark, sf_dir, "orders").selectExpr("o_orderkey AS rule", "CAST(floor(o_custkey / 4e0) AS BIGINT) AS from_way", "o_custkey + 1 AS via_node", "CAST(floor((o_custkey + 1) / 4e0) AS BIGINT) AS to_way")
     return ws.resolve_restrictions(rules, fx.edges(spark, sf_dir))
 
 
 @query("j17_j27_restriction_modes", f"{WITH}, {_RULES} SELECT e.edge_id, count(*) AS rules, bit_or(r.rule % 16) AS modes FROM edges e JOIN rules r ON r.from_way = e.way_id AND ((r.rule % 16) & 5) <> 0 GROUP BY e.edge_id")
 def restriction_modes(spark, sf_dir):
-    rules = fx.table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").selectExpr("o_orderkey % 16 AS modes", "CAST(floor(o_custkey / 4e0) AS BIGINT) AS way_id").where("(modes & 5) <> 0")
+    rules = fx.table(spark, sf_dir, "orders").selectExpr("o_orderkey % 16 AS modes", "CAST(floor(o_custkey / 4e0) AS BIGINT) AS way_id").where("(modes & 5) <> 0")
     by_way = rules.groupBy("way_id").agg(F.count("*").alias("rules"), F.bit_or("modes").alias("modes"))
     return fx.edges(spark, sf_dir).select("edge_id", "way_id").join(by_way, "way_id").select("edge_id", "rules", "modes")
 
@@ -84,9 +85,9 @@ portable("g21_trimmed_edges", fx.edges, "edges", {"edge_id": "edge_id", "x": "ro
 portable("g04_heading_at_end", fx.edges, "edges", {"edge_id": "edge_id", "bearing": f"round({geo.heading('(lon1 + 0.7e0 * (lon2 - lon1))', '(lat1 + 0.7e0 * (lat2 - lat1))', 'lon2', 'lat2')}, 4)"})
 
 
-@query("g20_w13_resampled_points", f"{WITH}, p AS (SELECT edge_id, lon1, lat1, lon2, lat2, length, unnest(generate_series(0, CAST(floor(length / 250e0) AS BIGINT))) AS k FROM edges WHERE edge_id % 2 = 0) SELECT edge_id, k, round(lon1 + (lon2 - lon1) * k * 250e0 / length, 7) AS lon, round(lat1 + (lat2 - lat1) * k * 250e0 / length, 7) AS lat FROM p")
+@query("g20_w13_resampled_points", f"{WITH}, p AS (SELECT edge_id, lon1, lat1, lon2, lat2, length, unnest(generate_series(0, CAST(floor(length / 250e0) AS BIGINT))) AS k FROM edges) SELECT edge_id, k, round(lon1 + (lon2 - lon1) * k * 250e0 / length, 7) AS lon, round(lat1 + (lat2 - lat1) * k * 250e0 / length, 7) AS lat FROM p")
 def resampled(spark, sf_dir):
-    p = fx.edges(spark, sf_dir).where("edge_id % 2 = 0").selectExpr("edge_id", "lon1", "lat1", "lon2", "lat2", "length", "explode(sequence(0L, CAST(floor(length / 250e0) AS BIGINT))) AS k")
+    p = fx.edges(spark, sf_dir).selectExpr("edge_id", "lon1", "lat1", "lon2", "lat2", "length", "explode(sequence(0L, CAST(floor(length / 250e0) AS BIGINT))) AS k")
     return p.selectExpr("edge_id", "k", "round(lon1 + (lon2 - lon1) * k * 250e0 / length, 7) AS lon", "round(lat1 + (lat2 - lat1) * k * 250e0 / length, 7) AS lat")
 
 
@@ -100,17 +101,15 @@ def tile_set_boundary(spark, sf_dir):
 portable("r4_r8_verbal_text", lambda s, d: fx.table(s, d, "supplier"), "supplier", {"s_suppkey": "s_suppkey", "spoken": "regexp_replace(regexp_replace(CASE s_suppkey % 3 WHEN 0 THEN 'I ' || s_suppkey WHEN 1 THEN 'US ' || s_suppkey ELSE 'SR ' || s_suppkey END, '^I ', 'Interstate '), '^SR ', 'State Route ')", "quoted": "'\"' || s_name || '\"'"})
 
 
-@query("n4_h12_level_ranges", "SELECT p_partkey, l AS level FROM (SELECT p_partkey, unnest(generate_series(p_partkey % 5, p_partkey % 5 + p_size % 4)) AS l FROM part WHERE p_partkey % 10 = 0)")
+@query("n4_h12_level_ranges", "SELECT p_partkey, l AS level FROM (SELECT p_partkey, unnest(generate_series(p_partkey % 5, p_partkey % 5 + p_size % 4)) AS l FROM part)")
 def level_ranges(spark, sf_dir):
-    text = fx.table(spark, sf_dir, "part").where("p_partkey % 10 = 0").selectExpr("p_partkey", "concat(p_partkey % 5, '-', p_partkey % 5 + p_size % 4) AS t")
+    text = fx.table(spark, sf_dir, "part").selectExpr("p_partkey", "concat(p_partkey % 5, '-', p_partkey % 5 + p_size % 4) AS t")
     return text.selectExpr("p_partkey", "explode(sequence(CAST(split(t, '-')[0] AS BIGINT), CAST(split(t, '-')[1] AS BIGINT))) AS level")
 
 
 @query("h5_name_dictionary", f"{WITH} SELECT street, dense_rank() OVER (ORDER BY street) AS idx FROM (SELECT DISTINCT street FROM edges)")
 def name_dictionary(spark, sf_dir):
-    # distinct names only; the reference order is global, so the ranks are
-    names = fx.edges(spark, sf_dir).select("street").distinct()
-    return names.select("street", F.dense_rank().over(Window.orderBy("street")).cast("long").alias("idx"))
+    return etl.dictionary(fx.edges(spark, sf_dir), "street")
 
 
 @query("d5_d6_forks", f"{WITH} SELECT a.src AS node_id, a.edge_id AS first, b.edge_id AS second FROM edges a JOIN edges b ON b.src = a.src AND b.edge_id > a.edge_id WHERE least(abs(a.heading - b.heading), 360e0 - abs(a.heading - b.heading)) <= 100e0")
@@ -129,17 +128,11 @@ def turn_lanes(spark, sf_dir):
 portable("k3_d9_markup", fx.edges, "edges", {"edge_id": "edge_id", "modifier": "(CASE edge_id % 8 WHEN 0 THEN 'straight' WHEN 1 THEN 'slight right' WHEN 2 THEN 'right' WHEN 3 THEN 'sharp right' WHEN 4 THEN 'uturn' WHEN 5 THEN 'sharp left' WHEN 6 THEN 'left' ELSE 'slight left' END)", "spoken": "'<b>' || street || '</b>'"})
 
 
-@query("k2_k9_trip_json", f"{WITH} SELECT rw1 AS trip, '{{\"edges\":[' || string_agg(CAST(edge_id AS VARCHAR), ',' ORDER BY src) || ']}}' AS body FROM edges WHERE kind = 0 AND edge_id % 2 = 0 GROUP BY rw1".replace("{{", "{").replace("}}", "}"))
-def trip_json(spark, sf_dir):
-    legs = fx.edges(spark, sf_dir).where("kind = 0 AND edge_id % 2 = 0").groupBy(F.col("rw1").alias("trip")).agg(F.sort_array(F.collect_list(F.struct("src", "edge_id"))).alias("p"))
-    return legs.select("trip", F.to_json(F.struct(F.transform("p", lambda x: x["edge_id"]).alias("edges"))).alias("body"))
-
-
 @query("m8_interpolated_points", f"{WITH}, {TRACES}, k AS (SELECT trace_id, seq, lon, seq % 3 = 1 AS kept FROM traces), g AS (SELECT trace_id, seq, max(CASE WHEN kept THEN seq END) OVER (PARTITION BY trace_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS a, min(CASE WHEN kept THEN seq END) OVER (PARTITION BY trace_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM k) SELECT g.trace_id, g.seq, round(x.lon + (y.lon - x.lon) * (g.seq - g.a) / CAST(nullif(g.b - g.a, 0) AS DOUBLE), 7) AS lon FROM g JOIN k x ON x.trace_id = g.trace_id AND x.seq = g.a JOIN k y ON y.trace_id = g.trace_id AND y.seq = g.b WHERE g.a < g.b")
 def interpolated(spark, sf_dir):
-    w = Window.partitionBy("trace_id").orderBy("seq")
     kept = F.when(F.col("seq") % 3 == 1, F.struct("seq", "lon"))
-    g = fx.traces(spark, sf_dir).select("trace_id", "seq", F.last(kept, True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("a"), F.first(kept, True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias("b"))
+    nearest = {name: F.last(kept, True).over(Window.partitionBy("trace_id").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) for name, order in (("a", F.asc("seq")), ("b", F.desc("seq")))}
+    g = fx.traces(spark, sf_dir).select("trace_id", "seq", *(c.alias(name) for name, c in nearest.items()))
     return g.where("a.seq < b.seq").selectExpr("trace_id", "seq", "round(a.lon + (b.lon - a.lon) * (seq - a.seq) / CAST(b.seq - a.seq AS DOUBLE), 7) AS lon")
 
 

@@ -16,10 +16,62 @@ from pathloom.registry import query
 
 # --- cost models --------------------------------------------------------------------------------------------
 
-_MODELS = ["auto", "bus", "taxi", "truck", "motorcycle", "motor_scooter", "bicycle", "pedestrian", "transit", "none"]
-for _model in _MODELS:
-    _cost, _secs = costing.edge_cost(_model)
-    portable(f"c_{_model}_edge_cost", fx.edges, "edges", {"edge_id": "edge_id", "cost": f"round({_cost}, 9)", "secs": f"round({_secs}, 9)"})
+#: Attributes that the fixture's edges get for the cost models.
+_ATTRIBUTES = {
+    "grade": "edge_id % 16", "sac_scale": "edge_id % 7", "sidewalk": "edge_id % 3 = 0", "lit": "edge_id % 5 <> 0", "roundabout": "edge_id % 11 = 0", "closed": "edge_id % 19 = 0",
+    "measured": "edge_id % 2 = 0", "truck_speed": "(CASE WHEN edge_id % 6 = 0 THEN 60 ELSE 0 END)", "truck_route": "edge_id % 4 = 0", "dest_only": "edge_id % 9 = 0", "lanes": "1 + edge_id % 3",
+    "cycle_lane": "edge_id % 4", "shoulder": "edge_id % 3 = 1", "use_sidepath": "edge_id % 17 = 0", "bike_network": "edge_id % 10 = 0", "dismount": "edge_id % 23 = 0",
+}
+_X = f"x AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in _ATTRIBUTES.items())}, 0.85e0 + 0.025e0 * density AS dense, [0e0, 0e0, 0e0, 0.1e0, 0.2e0, 0.5e0, 1e0, 1e0][surface + 1] AS rough FROM edges)"
+_SHUT = "(CASE WHEN closed THEN 9e0 ELSE 1e0 END)"
+_CAR = f"(CASE use WHEN 12 THEN 1e0 WHEN 11 THEN 2.8e0 ELSE dense END + rough) * (CASE WHEN use = 3 THEN 4e0 WHEN use = 10 THEN 2.6e0 WHEN use = 2 AND measured THEN 0.6e0 ELSE 1e0 END) * {_SHUT}"
+_BY_USE = "(CASE use WHEN 10 THEN 2.6e0 ELSE 1e0 END)"
+#: Cost factor and kph of each model with its default options, written out once more: (factor, kph).
+_CHECKS = {
+    "auto": (_CAR, "speed"),
+    "bus": (_CAR, "speed"),
+    "taxi": (f"{_CAR} * 0.85e0", "speed"),
+    "truck": (f"(CASE use WHEN 12 THEN 1e0 WHEN 11 THEN 2.8e0 ELSE dense + rough + (CASE WHEN road_class >= 6 THEN 1.5e0 ELSE 0e0 END) END) * (CASE WHEN truck_route THEN 0.85e0 ELSE 1e0 END) * (CASE use WHEN 3 THEN 4e0 WHEN 10 THEN 3e0 ELSE 1e0 END) * {_SHUT}", "(CASE WHEN truck_speed > 0 THEN least(speed, truck_speed) ELSE speed END)"),
+    "motorcycle": (f"(CASE WHEN use = 12 THEN 1e0 ELSE (dense + 8e0 * rough) * {_BY_USE} * {_SHUT} END)", "speed"),
+    "motor_scooter": (
+        f"(CASE WHEN use = 12 THEN 1e0 ELSE (0.15e0 + dense + [1e0, 0.5e0, 0.2e0, 0.1e0, 0.05e0, 0.05e0, 0e0, 0.5e0][road_class + 1] + 0.5e0 * [1e0, 0.8e0, 0.5e0, 0.2e0, 0.1e0, 0e0, 0.05e0, 0.1e0, 0.3e0, 0.8e0, 2e0, 3e0, 4.5e0, 6e0, 8e0, 10e0][grade + 1] + 0.05e0 * greatest(speed - 45, 0) + (CASE WHEN dest_only THEN 0.2e0 ELSE 0e0 END)) * {_BY_USE} * {_SHUT} END)",
+        "(CASE WHEN use = 12 THEN speed ELSE floor(greatest(1e0, least(speed, 45) * [1e0, 1e0, 0.9e0, 0.6e0, 0.1e0, 0e0, 0e0, 0e0][surface + 1] * [1.25e0, 1.2e0, 1.15e0, 1.1e0, 1.05e0, 1e0, 1e0, 1e0, 0.95e0, 0.75e0, 0.6e0, 0.5e0, 0.45e0, 0.4e0, 0.35e0, 0.25e0][grade + 1])) END)",
+    ),
+    "bicycle": (
+        "(CASE use WHEN 9 THEN 8e0 WHEN 12 THEN 1e0 ELSE 1e0 + 0.75e0 * [2e0, 1e0, 0.5e0, 0.2e0, 0.1e0, 0e0, 0.05e0, 0.1e0, 0.3e0, 0.8e0, 2e0, 3e0, 4.5e0, 6.5e0, 10e0, 12e0][grade + 1]"
+        " + ((CASE WHEN use IN (1, 8) THEN [0.45e0, 0.45e0, 0.325e0, 0.2e0][cycle_lane + 1] WHEN use IN (3, 10) THEN 1e0 ELSE [1e0, 0.9125e0, 0.5125e0, 0.3e0, 0.75e0, 0.9125e0, 0.5125e0, 0.3e0][cycle_lane + (CASE WHEN shoulder THEN 4 ELSE 0 END) + 1] END) + (CASE WHEN use_sidepath THEN 2.25e0 ELSE 0e0 END)) * (CASE WHEN bike_network THEN 0.95e0 ELSE 1e0 END)"
+        " * (CASE WHEN use IN (1, 8) THEN 1e0 WHEN use = 10 THEN 0.4e0 WHEN use = 3 THEN 0.75e0 ELSE (1e0 + 0.075e0 * (lanes - 1) + (CASE WHEN truck_route THEN 0.5e0 ELSE 0e0 END) + 1.5e0 * [1e0, 0.4e0, 0.2e0, 0.1e0, 0.05e0, 0.05e0, 0e0, 0.5e0][road_class + 1]) * (0.1875e0 + 0.8125e0 * (CASE WHEN speed <= 40 THEN speed / 40e0 WHEN speed <= 65 THEN speed / 25e0 - 0.6e0 ELSE speed / 50e0 + 0.7e0 END)) END)"
+        " + (CASE WHEN surface >= 4 THEN 0.25e0 * [1e0, 2.5e0, 4.5e0, 7e0][surface - 3] ELSE 0e0 END) END)",
+        "(CASE WHEN use = 9 THEN 1e0 WHEN use = 12 THEN speed WHEN dismount THEN 5e0 ELSE greatest(1e0, floor(0.5e0 + 18e0 * [1e0, 1e0, 1e0, 0.8e0, 0.6e0, 0.4e0, 0.25e0, 0e0][surface + 1] * [2.2e0, 2e0, 1.9e0, 1.7e0, 1.4e0, 1.2e0, 1e0, 0.95e0, 0.85e0, 0.75e0, 0.65e0, 0.55e0, 0.5e0, 0.45e0, 0.4e0, 0.3e0][grade + 1])) END)",
+    ),
+    "pedestrian": (
+        "(CASE WHEN use = 12 THEN 0.5e0 ELSE (1e0 + [0e0, 0.25e0, 0.75e0, 1.25e0, 2e0, 2.5e0, 3e0][sac_scale + 1] + 0.5e0 * [2e0, 1e0, 0.5e0, 0.2e0, 0.1e0, 0e0, 0e0, 0e0, 0.1e0, 0.3e0, 0.4e0, 0.5e0, 0.7e0, 1e0, 3e0, 5e0][grade + 1]) * (CASE WHEN use = 5 THEN 2e0 WHEN use = 10 THEN 0.96e0 WHEN use IN (1, 3, 4) OR sidewalk THEN 1e0 WHEN roundabout THEN 2e0 ELSE 1e0 END) END)",
+        "(CASE WHEN use = 12 THEN speed ELSE 5.1e0 / ([1e0, 1.11e0, 1.25e0, 1.54e0, 2.5e0, 4e0, 6.67e0][sac_scale + 1] * [1.33e0, 1.22e0, 1.08e0, 0.97e0, 0.88e0, 0.92e0, 1e0, 1.1e0, 1.2e0, 1.33e0, 1.43e0, 1.57e0, 1.83e0, 2.03e0, 2.23e0, 2.5e0][grade + 1]) END)",
+    ),
+}
+
+_OFF = "0.00000123e0"  #: keeps amounts off the halves of the last digit, which engines round either way
+
+
+def _cost_query(model: str, factor: str, kph: str) -> None:
+    cost, secs = costing.edge_cost(model, columns=_ATTRIBUTES)
+
+    @query(f"c_{model}_edge_cost", f"{WITH}, {_X} SELECT edge_id, round(length * 3.6e0 / {kph} * {factor} + {_OFF}, 5) AS cost, round(length * 3.6e0 / {kph} + {_OFF}, 5) AS secs FROM x")
+    def build(spark, sf_dir):
+        return fx.edges(spark, sf_dir).selectExpr("edge_id", f"round({cost} + {_OFF}, 5) AS cost", f"round({secs} + {_OFF}, 5) AS secs")
+
+
+for _model, _check in _CHECKS.items():
+    _cost_query(_model, *_check)
+portable("c_none_edge_cost", fx.edges, "edges", {"edge_id": "edge_id", "cost": costing.edge_cost("none")[0], "secs": costing.edge_cost("none")[1]})
+
+
+@query("c_transit_edge_cost", f"WITH {DEPARTURES} SELECT trip_id, line_no, round(dep_secs % 900 + elapsed * [2.6e0 * 2.6e0 / 0.9e0, 1e0, 1e0][line_id % 3 + 1], 6) AS cost, CAST(dep_secs % 900 + elapsed AS DOUBLE) AS secs FROM departures")
+def transit_edge_cost(spark, sf_dir):
+    cost, secs = costing.transit_cost("(dep_secs % 900)", "elapsed", "(CASE line_id % 3 WHEN 0 THEN 'bus' WHEN 1 THEN 'rail' ELSE 'ferry' END)")
+    return fx.departures(spark, sf_dir).selectExpr("trip_id", "line_no", f"round({cost}, 6) AS cost", f"CAST({secs} AS DOUBLE) AS secs")
+
+
 _odd = Options({"use_highways": 0.1, "use_tolls": 0.9, "use_distance": 0.5, "top_speed": 70.0, "toll_booth_cost": -5.0})
 portable("c13_c14_options_and_ranges", fx.edges, "edges", {"edge_id": "edge_id", "cost": f"round({costing.edge_cost('auto', _odd)[0]}, 9)", "shortest": f"round({costing.edge_cost('auto', Options(shortest=True))[0]}, 9)", "booth": f"{_odd.get('toll_booth_cost')!r}e0"})
 
@@ -56,20 +108,28 @@ def _reach(seeds: str, bound: str | None = None, arcs: str = "arcs", name: str =
     )
 
 
-_SEEDS = "SELECT s_suppkey AS source, s_suppkey * 53 % (SELECT count(*) FROM customer) AS node, 0e0 AS cost FROM supplier WHERE s_suppkey < {n}"
+_SEEDS = "SELECT s_suppkey AS source, s_suppkey * 53 % (SELECT count(*) FROM customer) AS node, 0e0 AS cost FROM supplier"
+
+
+def _seeds(spark, sf_dir):
+    """Every supplier as a source."""
+    count = fx.table(spark, sf_dir, "customer").count()
+    return fx.table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS source", f"s_suppkey * 53 % {count} AS node")
 
 
-def _seeds(spark, sf_dir, n):
+def _targets(spark, sf_dir):
+    """Every supplier as a target, at another node."""
     count = fx.table(spark, sf_dir, "customer").count()
-    return fx.table(spark, sf_dir, "supplier").where(f"s_suppkey < {n}").selectExpr("s_suppkey AS source", f"s_suppkey * 53 % {count} AS node")
+    return fx.table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS target", f"(s_suppkey * 101 + 7) % {count} AS node")
 
 
-def _targets(spark, sf_dir, n):
+def _trips(spark, sf_dir):
+    """From every supplier as a source to the same supplier as a target."""
     count = fx.table(spark, sf_dir, "customer").count()
-    return fx.table(spark, sf_dir, "supplier").where(f"s_suppkey < {n}").selectExpr("s_suppkey AS target", f"(s_suppkey * 101 + 7) % {count} AS node")
+    return fx.table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS trip_id", f"s_suppkey * 53 % {count} AS origin", f"(s_suppkey * 101 + 7) % {count} AS destination")
 
 
-_TARGETS = "goals AS (SELECT s_suppkey AS target, (s_suppkey * 101 + 7) % (SELECT count(*) FROM customer) AS node FROM supplier WHERE s_suppkey < {n})"
+_TARGETS = "goals AS (SELECT s_suppkey AS target, (s_suppkey * 101 + 7) % (SELECT count(*) FROM customer) AS node FROM supplier)"
 
 
 def _node_arcs(spark, sf_dir):
@@ -87,19 +147,20 @@ def one_to_all(spark, sf_dir):
     return paths.paths_from(_node_arcs(spark, sf_dir), spark.range(1).selectExpr("id AS source", "id AS node")).selectExpr("node", "round(cost, 9) AS cost")
 
 
-@query("p11_p12_p14_j30_matrix", f"{WITH}, {_ARCS}, {_TARGETS.format(n=8)}, {_reach(_SEEDS.format(n=5))} SELECT r.source, g.target, round(r.cost, 9) AS cost FROM r JOIN goals g ON g.node = r.node")
+@query("p11_p12_p14_j30_matrix", f"{WITH}, {_ARCS}, {_TARGETS}, {_reach(_SEEDS)} SELECT r.source, g.target, round(r.cost, 9) AS cost FROM r JOIN goals g ON g.node = r.node")
 def matrix(spark, sf_dir):
-    return paths.matrix(_node_arcs(spark, sf_dir), _seeds(spark, sf_dir, 5), _targets(spark, sf_dir, 8)).selectExpr("source", "target", "round(cost, 9) AS cost")
+    return paths.matrix(_node_arcs(spark, sf_dir), _seeds(spark, sf_dir), _targets(spark, sf_dir)).selectExpr("source", "target", "round(cost, 9) AS cost")
 
 
-@query("o4_k_closest_targets", f"{WITH}, {_ARCS}, {_TARGETS.format(n=20)}, {_reach(_SEEDS.format(n=4))} SELECT source, target, rank FROM (SELECT r.source, g.target, CAST(row_number() OVER (PARTITION BY r.source ORDER BY round(r.cost, 6), g.target) AS INT) AS rank FROM r JOIN goals g ON g.node = r.node) WHERE rank <= 3")
+@query("o4_k_closest_targets", f"{WITH}, {_ARCS}, {_TARGETS}, {_reach(_SEEDS)} SELECT source, target, rank FROM (SELECT r.source, g.target, CAST(row_number() OVER (PARTITION BY r.source ORDER BY round(r.cost, 6), g.target) AS INT) AS rank FROM r JOIN goals g ON g.node = r.node) WHERE rank <= 3")
 def k_closest(spark, sf_dir):
     rank = F.row_number().over(Window.partitionBy("source").orderBy(F.round("cost", 6), "target"))
-    return paths.matrix(_node_arcs(spark, sf_dir), _seeds(spark, sf_dir, 4), _targets(spark, sf_dir, 20)).where("cost IS NOT NULL").select("source", "target", rank.alias("rank")).where("rank <= 3")
+    return paths.matrix(_node_arcs(spark, sf_dir), _seeds(spark, sf_dir), _targets(spark, sf_dir)).where("cost IS NOT NULL").select("source", "target", rank.alias("rank")).where("rank <= 3")
 
 
 _OPEN = Options({"country_crossing_cost": 0.0})
-_EARCS = f"turns AS (SELECT p.edge_id AS src, e.edge_id AS dst, {costing.transition_cost(_OPEN)[0]} + {_acost.replace('length', 'e.length').replace('speed', 'e.speed').replace('road_class', 'e.road_class').replace('surface', 'e.surface').replace('density', 'e.density').replace('toll', 'e.toll').replace('use ', 'e.use ')} AS cost, e.edge_id AS arc FROM {_PAIRS} WHERE {fl.allowed(1)})"
+_entered = costing.edge_cost("auto", _OPEN, {name: f"e.{e}" for name, e in costing.ATTRIBUTES.items() if name == e})[0]
+_EARCS = f"turns AS (SELECT p.edge_id AS src, e.edge_id AS dst, {costing.transition_cost(_OPEN)[0]} + {_entered} AS cost, e.edge_id AS arc FROM {_PAIRS} WHERE {fl.allowed(1)})"
 
 
 @query("p3_edge_based_search", f"{WITH}, {_EARCS}, {_reach('SELECT 0::BIGINT AS source, 0::BIGINT AS node, 0e0 AS cost', '600e0', 'turns')} SELECT node AS edge_id, round(cost, 9) AS cost FROM r")
@@ -117,30 +178,34 @@ def via_restrictions(spark, sf_dir):
     return found.selectExpr(f"{paths.uncopied('node')} AS edge_id", "cost").groupBy("edge_id").agg(F.round(F.min("cost"), 3).alias("cost"))
 
 
-@query("p4_j25_a6_bidirectional_meet", f"{WITH}, {_ARCS}, {_TARGETS.format(n=3)}, {_reach(_SEEDS.format(n=3))} SELECT r.source, g.target, round(r.cost, 9) AS cost FROM r JOIN goals g ON g.node = r.node")
+@query("p4_j25_a6_bidirectional_meet", f"{WITH}, {_ARCS}, {_TARGETS}, {_reach(_SEEDS)} SELECT r.source AS trip_id, round(r.cost, 9) AS cost FROM r JOIN goals g ON g.node = r.node AND g.target = r.source WHERE r.cost > 0e0")
 def bidirectional(spark, sf_dir):
+    found = paths.between(_node_arcs(spark, sf_dir), _trips(spark, sf_dir))
+    return found.groupBy("trip_id").agg(F.round(F.max("cost"), 9).alias("cost"))
+
+
+@query("j25_a6_label_meet", f"{WITH}, {_ARCS}, {_TARGETS}, {_reach(_SEEDS)} SELECT r.source, g.target, round(r.cost, 9) AS cost FROM r JOIN goals g ON g.node = r.node AND g.target = r.source")
+def label_meet(spark, sf_dir):
+    """The cheapest meeting of label sets from both ends, each within a bound that both searches share."""
     arcs = _node_arcs(spark, sf_dir)
-    forward = paths.paths_from(arcs, _seeds(spark, sf_dir, 3))
-    backward = paths.paths_from(paths.reversed_arcs(arcs), _targets(spark, sf_dir, 3).withColumnRenamed("target", "source"))
-    return paths.meet(forward, backward).selectExpr("source", "target", "round(cost, 9) AS cost")
+    forward = paths.costs_from(arcs, _seeds(spark, sf_dir))
+    backward = paths.costs_from(paths.reversed_arcs(arcs), _targets(spark, sf_dir).withColumnRenamed("target", "source"))
+    met = forward.withColumnRenamed("cost", "a").join(backward.withColumnRenamed("cost", "b"), ["source", "node"])
+    return met.groupBy("source").agg(F.round(F.min(F.col("a") + F.col("b")), 9).alias("cost")).select("source", F.col("source").alias("target"), "cost")
 
 
-@query("p5_o5_alternates", f"{WITH}, {_ARCS}, rev AS (SELECT dst AS src, src AS dst, cost, arc FROM arcs), {_reach('SELECT 0::BIGINT AS source, 0::BIGINT AS node, 0e0 AS cost')}, {_reach('SELECT 0::BIGINT AS source, 700::BIGINT AS node, 0e0 AS cost', None, 'rev', 'b')}, v AS (SELECT r.node, r.cost + b.cost AS total, min(r.cost + b.cost) OVER () AS best FROM r JOIN b ON b.node = r.node) SELECT node, round(total, 9) AS total FROM v WHERE total > best * 1.0001e0 AND total <= best * 1.02e0")
+@query("p5_o5_alternates")
 def alternates(spark, sf_dir):
-    arcs = _node_arcs(spark, sf_dir)
-    a = paths.paths_from(arcs, spark.range(1).selectExpr("id AS source", "id AS node")).select("node", F.col("cost").alias("a"))
-    b = paths.paths_from(paths.reversed_arcs(arcs), spark.range(1).selectExpr("id AS source", "700L AS node")).select("node", F.col("cost").alias("b"))
-    via = a.join(b, "node").selectExpr("node", "a + b AS total")
-    best = via.agg(F.min("total")).first()[0] or 0.0  # one number
-    return via.where((F.col("total") > best * 1.0001) & (F.col("total") <= best * 1.02)).select("node", F.round("total", 9).alias("total"))
+    found = paths.alternates(_node_arcs(spark, sf_dir), _trips(spark, sf_dir), 2)
+    return found.select("trip_id", "rank", F.round("cost", 6).alias("cost"), "length", F.size("arcs").alias("edges"))
 
 
-_MODE_ARCS = f"steps AS (SELECT src * 2 AS src, dst * 2 AS dst, {costing.edge_cost('pedestrian')[0]} AS cost, edge_id AS arc FROM edges WHERE src < 400 AND dst < 400 UNION ALL SELECT src * 2 + 1, dst * 2 + 1, {costing.edge_cost('bicycle')[0]}, edge_id FROM edges WHERE src < 400 AND dst < 400 UNION ALL SELECT node_id * 2, node_id * 2 + 1, 120e0, -1 FROM nodes WHERE node_id % 17 = 0 AND node_id < 400 UNION ALL SELECT node_id * 2 + 1, node_id * 2, 120e0, -1 FROM nodes WHERE node_id % 17 = 0 AND node_id < 400)"
+_MODE_ARCS = f"steps AS (SELECT src * 2 AS src, dst * 2 AS dst, {costing.edge_cost('pedestrian')[0]} AS cost, edge_id AS arc FROM edges UNION ALL SELECT src * 2 + 1, dst * 2 + 1, {costing.edge_cost('bicycle')[0]}, edge_id FROM edges UNION ALL SELECT node_id * 2, node_id * 2 + 1, 120e0, -1 FROM nodes WHERE node_id % 17 = 0 UNION ALL SELECT node_id * 2 + 1, node_id * 2, 120e0, -1 FROM nodes WHERE node_id % 17 = 0)"
 
 
 @query("p9_p13_multimodal_product", f"{WITH}, {_MODE_ARCS}, {_reach('SELECT 0::BIGINT AS source, 2::BIGINT AS node, 0e0 AS cost', None, 'steps')} SELECT CAST(floor(node / 2e0) AS BIGINT) AS node, CAST(node % 2 AS BIGINT) AS mode, round(cost, 9) AS cost FROM r")
 def multimodal(spark, sf_dir):
-    e, n = fx.edges(spark, sf_dir).where("src < 400 AND dst < 400"), fx.nodes(spark, sf_dir).where("node_id % 17 = 0 AND node_id < 400")
+    e, n = fx.edges(spark, sf_dir), fx.nodes(spark, sf_dir).where("node_id % 17 = 0")
     walk = e.selectExpr("src * 2 AS src", "dst * 2 AS dst", f"{costing.edge_cost('pedestrian')[0]} AS cost", "edge_id AS arc")
     ride = e.selectExpr("src * 2 + 1 AS src", "dst * 2 + 1 AS dst", f"{costing.edge_cost('bicycle')[0]} AS cost", "edge_id AS arc")
     change = n.selectExpr("explode(array(struct(node_id * 2 AS src, node_id * 2 + 1 AS dst), struct(node_id * 2 + 1 AS src, node_id * 2 AS dst))) AS s").selectExpr("s.src", "s.dst", "120e0 AS cost", "-1L AS arc")
@@ -148,37 +213,38 @@ def multimodal(spark, sf_dir):
     return found.selectExpr("CAST(floor(node / 2e0) AS BIGINT) AS node", "node % 2 AS mode", "round(cost, 9) AS cost")
 
 
-_TWO = f"{WITH}, {_ARCS}, free AS (SELECT a.* FROM arcs a JOIN edges e ON e.edge_id = a.arc WHERE NOT e.toll), {_TARGETS.format(n=30)}, {_reach('SELECT 0::BIGINT AS source, 1::BIGINT AS node, 0e0 AS cost', '1500e0', 'free', 'f')}, {_reach('SELECT 0::BIGINT AS source, 1::BIGINT AS node, 0e0 AS cost')}"
+_TWO = f"{WITH}, {_ARCS}, free AS (SELECT a.* FROM arcs a JOIN edges e ON e.edge_id = a.arc WHERE NOT e.toll), {_TARGETS}, {_reach('SELECT 0::BIGINT AS source, 1::BIGINT AS node, 0e0 AS cost', '1500e0', 'free', 'f')}, {_reach('SELECT 0::BIGINT AS source, 1::BIGINT AS node, 0e0 AS cost')}"
 
 
 @query("p7_p15_two_pass", f"{_TWO} SELECT g.target, round(coalesce(f.cost, r.cost), 9) AS cost, f.cost IS NULL AS second FROM goals g JOIN r ON r.node = g.node LEFT JOIN f ON f.node = g.node")
 def two_pass(spark, sf_dir):
     e = fx.edges(spark, sf_dir)
-    goals, seed = _targets(spark, sf_dir, 30), spark.range(1).selectExpr("id AS source", "1L AS node")
+    goals, seed = _targets(spark, sf_dir), spark.range(1).selectExpr("id AS source", "1L AS node")
     first = goals.join(paths.paths_from(paths.node_arcs(e.where("NOT toll")), seed, 1500.0).select("node", "cost"), "node").selectExpr("target", "round(cost, 9) AS cost", "false AS second")
     left = goals.join(first.select("target"), "target", "left_anti")
     again = left.join(paths.paths_from(paths.node_arcs(e), seed).select("node", "cost"), "node").selectExpr("target", "round(cost, 9) AS cost", "true AS second")
     return first.unionByName(again)
 
 
-_LEGS = "legs AS (SELECT s_suppkey AS source, s_suppkey * 53 % (SELECT count(*) FROM customer) AS a, (s_suppkey + 1) * 53 % (SELECT count(*) FROM customer) AS b FROM supplier WHERE s_suppkey < 4)"
+_LEGS = "legs AS (SELECT s_suppkey AS source, CAST(floor(s_suppkey / 4e0) AS BIGINT) AS route, s_suppkey * 53 % (SELECT count(*) FROM customer) AS a, (s_suppkey + 1) * 53 % (SELECT count(*) FROM customer) AS b FROM supplier)"
 
 
-@query("p8_multi_leg", f"{WITH}, {_ARCS}, {_LEGS}, {_reach('SELECT source, a AS node, 0e0 AS cost FROM legs')} SELECT l.source AS leg, round(r.cost, 9) AS cost, round(sum(r.cost) OVER (ORDER BY l.source), 9) AS arrival FROM legs l JOIN r ON r.source = l.source AND r.node = l.b")
+@query("p8_multi_leg", f"{WITH}, {_ARCS}, {_LEGS}, {_reach('SELECT source, a AS node, 0e0 AS cost FROM legs')} SELECT l.route, l.source AS leg, round(r.cost, 9) AS cost, round(sum(r.cost) OVER (PARTITION BY l.route ORDER BY l.source), 9) AS arrival FROM legs l JOIN r ON r.source = l.source AND r.node = l.b")
 def multi_leg(spark, sf_dir):
+    """Routes of four legs each, the next one setting out where the last one ended."""
     n = fx.table(spark, sf_dir, "customer").count()
-    legs = fx.table(spark, sf_dir, "supplier").where("s_suppkey < 4").selectExpr("s_suppkey AS source", f"s_suppkey * 53 % {n} AS node", f"(s_suppkey + 1) * 53 % {n} AS goal")
-    found = paths.paths_from(_node_arcs(spark, sf_dir), legs).join(legs.select("source", F.col("goal").alias("node")), ["source", "node"])
-    # one route: its legs are in one window on purpose
-    return found.withColumn("route", F.lit(0)).select(F.col("source").alias("leg"), F.round("cost", 9).alias("cost"), F.round(F.sum("cost").over(Window.partitionBy("route").orderBy("source")), 9).alias("arrival"))
+    trips = fx.table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS trip_id", f"s_suppkey * 53 % {n} AS origin", f"(s_suppkey + 1) * 53 % {n} AS destination")
+    found = paths.between(_node_arcs(spark, sf_dir), trips).groupBy(F.col("trip_id").alias("leg")).agg(F.max("cost").alias("cost"))
+    found = found.withColumn("route", F.floor(F.col("leg") / 4))
+    return found.select("route", "leg", F.round("cost", 9).alias("cost"), F.round(F.sum("cost").over(Window.partitionBy("route").orderBy("leg")), 9).alias("arrival"))
 
 
 _CELLS = "cells AS (SELECT r.source, CAST(round(n.lat / 0.005e0) AS BIGINT) AS r, CAST(round(n.lon / 0.005e0) AS BIGINT) AS c, min(r.cost / 60e0) AS minutes FROM r JOIN nodes n ON n.node_id = r.node GROUP BY ALL)"
 
 
-@query("p17_a4_k6_isochrone_grid", f"{WITH}, {_ARCS}, {_reach(_SEEDS.format(n=3), '900e0')}, {_CELLS} SELECT source, r, c, CAST(floor(minutes) AS BIGINT) AS minutes FROM cells")
+@query("p17_a4_k6_isochrone_grid", f"{WITH}, {_ARCS}, {_reach(_SEEDS, '900e0')}, {_CELLS} SELECT source, r, c, CAST(floor(minutes) AS BIGINT) AS minutes FROM cells")
 def isochrone(spark, sf_dir):
-    labels = paths.paths_from(_node_arcs(spark, sf_dir), _seeds(spark, sf_dir, 3), 900.0)
+    labels = paths.costs_from(_node_arcs(spark, sf_dir), _seeds(spark, sf_dir), 900.0)
     return contours.grid(labels, fx.nodes(spark, sf_dir)).selectExpr("source", "r", "c", "CAST(floor(minutes) AS BIGINT) AS minutes")
 
 
@@ -195,14 +261,18 @@ def expansion(spark, sf_dir):
     return labels.select("node").join(arcs.select(F.col("src").alias("node"), "arc", F.round("cost", 9).alias("step")), "node")
 
 
-@query("p20_centroid", f"{WITH}, {_ARCS}, {_reach(_SEEDS.format(n=4))} SELECT node, round(max(cost), 9) AS far FROM r GROUP BY node HAVING count(*) = 4 ORDER BY max(cost), sum(cost), node LIMIT 1")
+_ALL = "(SELECT count(*) FROM supplier)"
+
+
+@query("p20_centroid", f"{WITH}, {_ARCS}, {_reach(_SEEDS)} SELECT node, round(max(cost), 6) AS far FROM r GROUP BY node HAVING count(*) = {_ALL} ORDER BY round(max(cost), 6), round(sum(cost), 4), node LIMIT 1")
 def centroid(spark, sf_dir):
-    return paths.centroid(paths.paths_from(_node_arcs(spark, sf_dir), _seeds(spark, sf_dir, 4)), 4).select("node", F.round("far", 9).alias("far"))
+    seeds = _seeds(spark, sf_dir)
+    return paths.centroid(paths.costs_from(_node_arcs(spark, sf_dir), seeds), seeds.count()).select("node", F.round("far", 6).alias("far"))
 
 
-@query("p21_reachability", f"{WITH}, hop(source, node, n) AS (SELECT s_suppkey, s_suppkey * 53 % (SELECT count(*) FROM customer), 0 FROM supplier WHERE s_suppkey < 20 UNION SELECT hop.source, e.dst, hop.n + 1 FROM hop JOIN edges e ON e.src = hop.node WHERE hop.n < 4) SELECT source, count(DISTINCT node) AS nodes FROM hop GROUP BY source")
+@query("p21_reachability", f"{WITH}, hop(source, node, n) AS (SELECT s_suppkey, s_suppkey * 53 % (SELECT count(*) FROM customer), 0 FROM supplier UNION SELECT hop.source, e.dst, hop.n + 1 FROM hop JOIN edges e ON e.src = hop.node WHERE hop.n < 4) SELECT source, count(DISTINCT node) AS nodes FROM hop GROUP BY source")
 def reachability(spark, sf_dir):
-    return paths.hop_reach(_node_arcs(spark, sf_dir), _seeds(spark, sf_dir, 20), 4)
+    return paths.hop_reach(_node_arcs(spark, sf_dir), _seeds(spark, sf_dir), 4)
 
 
 _LINKS = "links AS (SELECT src AS a, dst AS b FROM edges WHERE NOT toll AND (src * 7 + dst * 4) % 5 < 3 AND edge_id % 2 = 0), both_ AS (SELECT a, b FROM links UNION SELECT b, a FROM links)"
@@ -225,8 +295,8 @@ def chains(spark, sf_dir):
 @query("p16_a7_tour_order")
 def tour_order(spark, sf_dir):
     n = fx.table(spark, sf_dir, "customer").count()
-    stops = fx.table(spark, sf_dir, "supplier").where("s_suppkey < 30").selectExpr("CAST(floor(s_suppkey / 6e0) AS BIGINT) AS request", "s_suppkey % 6 AS k", f"s_suppkey * 53 % {n} AS node")
-    labels = paths.paths_from(_node_arcs(spark, sf_dir), stops.selectExpr("request * 6 + k AS source", "node"))
+    stops = fx.table(spark, sf_dir, "supplier").selectExpr("CAST(floor(s_suppkey / 6e0) AS BIGINT) AS request", "s_suppkey % 6 AS k", f"s_suppkey * 53 % {n} AS node")
+    labels = paths.costs_from(_node_arcs(spark, sf_dir), stops.selectExpr("request * 6 + k AS source", "node"))
     goals = stops.selectExpr("request AS goal_request", "k AS b", "node")
     costs = labels.selectExpr("CAST(floor(source / 6e0) AS BIGINT) AS request", "source % 6 AS a", "node", "cost").join(goals, "node").where("request = goal_request AND a <> b").select("request", "a", "b", "cost")
     return tours.optimize(costs).selectExpr("request", "round(cost, 9) AS cost", "order")
@@ -238,11 +308,11 @@ _em, _tr = "CAST((seq * 7 + state * 5 + trace_id * 3) % 11 AS DOUBLE)", "abs(sta
 
 
 @query(
-    "m3_m4_m6_viterbi",
-    f"{WITH}, {TRACES}, v(trace_id, seq, state, cost) AS (SELECT trace_id, seq, s.state, {_em} FROM traces, (SELECT unnest([0, 1, 2]) AS state) s WHERE seq = 1 AND trace_id < 40 UNION ALL SELECT trace_id, seq, state, min(cost) FROM (SELECT v.trace_id, t.seq, s.state, v.cost + {_tr.replace('seq', 't.seq').replace('before', 'v.state').replace('state -', 's.state -').replace('+ state', '+ s.state')} + {_em.replace('seq', 't.seq').replace('state', 's.state').replace('trace_id', 't.trace_id')} AS cost FROM v JOIN traces t ON t.trace_id = v.trace_id AND t.seq = v.seq + 1, (SELECT unnest([0, 1, 2]) AS state) s WHERE t.seq <= 12) GROUP BY trace_id, seq, state) SELECT v.trace_id, round(min(v.cost), 9) AS cost FROM v JOIN (SELECT trace_id, least(max(seq), 12) AS last FROM traces GROUP BY trace_id) m ON m.trace_id = v.trace_id AND m.last = v.seq GROUP BY v.trace_id",
+    "m6_viterbi_costs",
+    f"{WITH}, {TRACES}, v(trace_id, seq, state, cost) AS (SELECT trace_id, seq, s.state, {_em} FROM traces, (SELECT unnest([0, 1, 2]) AS state) s WHERE seq = 1 UNION ALL SELECT trace_id, seq, state, min(cost) FROM (SELECT v.trace_id, t.seq, s.state, v.cost + {_tr.replace('seq', 't.seq').replace('before', 'v.state').replace('state -', 's.state -').replace('+ state', '+ s.state')} + {_em.replace('seq', 't.seq').replace('state', 's.state').replace('trace_id', 't.trace_id')} AS cost FROM v JOIN traces t ON t.trace_id = v.trace_id AND t.seq = v.seq + 1, (SELECT unnest([0, 1, 2]) AS state) s) GROUP BY trace_id, seq, state) SELECT v.trace_id, round(min(v.cost), 9) AS cost FROM v JOIN (SELECT trace_id, max(seq) AS last FROM traces GROUP BY trace_id) m ON m.trace_id = v.trace_id AND m.last = v.seq GROUP BY v.trace_id",
 )
 def viterbi(spark, sf_dir):
-    t = fx.traces(spark, sf_dir).where("trace_id < 40 AND seq <= 12").select("trace_id", "seq")
+    t = fx.traces(spark, sf_dir).select("trace_id", "seq")
     states = t.select("*", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("state"))
     steps = states.select("*", F.explode(F.when(F.col("seq") > 1, F.array(F.lit(0), F.lit(1), F.lit(2))).otherwise(F.array(F.lit(None).cast("int")))).alias("before"))
     steps = steps.selectExpr("trace_id", "seq AS time", "CAST(state AS BIGINT) AS state", f"{_em} AS emission", "CAST(before AS BIGINT) AS before", f"coalesce({_tr}, 0e0) AS transition")
@@ -253,10 +323,10 @@ def viterbi(spark, sf_dir):
 portable("m3_emission_costs", lambda s, d: fx.table(s, d, "events"), "events", {"event_id": "event_id", "emission": f"round({matching.emission('value')}, 6)", "transition": f"round({matching.transition('value * 1.2e0', 'value')}, 6)"})
 
 
-@query("m2_trace_candidates", f"{WITH}, {TRACES}, c AS (SELECT t.event_id, e.edge_id, {geo.project_share('t.lon', 't.lat', 'e.lon1', 'e.lat1', 'e.lon2', 'e.lat2')} AS share, t.lon, t.lat, e.lon1, e.lat1, e.lon2, e.lat2 FROM traces t JOIN edges e ON e.edge_id % 2 = 0 AND abs(t.lon - e.lon1) < 0.02e0 AND abs(t.lat - e.lat1) < 0.02e0 WHERE t.seq <= 5) SELECT event_id, edge_id, round(metres, 2) AS metres FROM (SELECT event_id, edge_id, {geo.haversine('lon', 'lat', '(lon1 + share * (lon2 - lon1))', '(lat1 + share * (lat2 - lat1))')} AS metres FROM c) WHERE metres <= 100e0")
+@query("m2_trace_candidates", f"{WITH}, {TRACES}, c AS (SELECT t.event_id, e.edge_id, {geo.project_share('t.lon', 't.lat', 'e.lon1', 'e.lat1', 'e.lon2', 'e.lat2')} AS share, t.lon, t.lat, e.lon1, e.lat1, e.lon2, e.lat2 FROM traces t JOIN edges e ON abs(t.lon - e.lon1) < 0.02e0 AND abs(t.lat - e.lat1) < 0.02e0) SELECT event_id, edge_id, round(metres, 2) AS metres FROM (SELECT event_id, edge_id, {geo.haversine('lon', 'lat', '(lon1 + share * (lon2 - lon1))', '(lat1 + share * (lat2 - lat1))')} AS metres FROM c) WHERE metres <= 100e0")
 def candidates(spark, sf_dir):
-    t = fx.traces(spark, sf_dir).where("seq <= 5").select("event_id", "lon", "lat")
-    return spatial.edges_within(t, fx.edges(spark, sf_dir).where("edge_id % 2 = 0"), 100.0, "event_id").selectExpr("event_id", "edge_id", "round(metres, 2) AS metres")
+    t = fx.traces(spark, sf_dir).select("event_id", "lon", "lat")
+    return spatial.edges_within(t, fx.edges(spark, sf_dir), 100.0, "event_id").selectExpr("event_id", "edge_id", "round(metres, 2) AS metres")
 
 
 @query("m1_w5_measurement_thinning")
@@ -286,15 +356,15 @@ def stop_pairs(spark, sf_dir):
     return transit.stop_pairs(times).select("trip_id", "from_stop", "to_stop")
 
 
-@query("p2_p10_board_after_walk", f"WITH {DEPARTURES}, {ASKED.format(dow=0)}, w AS (SELECT req_id, line_id, t_secs + 300 AS t_secs, dow FROM asked) SELECT req_id, line_id, t_secs, dep_secs, trip_id FROM (SELECT a.*, d.dep_secs, d.trip_id, row_number() OVER (PARTITION BY a.req_id ORDER BY d.dep_secs, d.trip_id, d.line_no) AS k FROM w a JOIN departures d ON d.line_id = a.line_id AND d.dep_secs >= a.t_secs AND (d.dow_mask // CAST(pow(2, a.dow) AS BIGINT)) % 2 = 1) WHERE k = 1")
+@query("j18_board_after_walk", f"WITH {DEPARTURES}, {ASKED.format(dow=0)}, w AS (SELECT req_id, line_id, t_secs + 300 AS t_secs, dow FROM asked) SELECT req_id, line_id, t_secs, dep_secs, trip_id FROM (SELECT a.*, d.dep_secs, d.trip_id, row_number() OVER (PARTITION BY a.req_id ORDER BY d.dep_secs, d.trip_id, d.line_no) AS k FROM w a JOIN departures d ON d.line_id = a.line_id AND d.dep_secs >= a.t_secs AND (d.dow_mask // CAST(pow(2, a.dow) AS BIGINT)) % 2 = 1) WHERE k = 1")
 def board_after_walk(spark, sf_dir):
     return transit.next_departure(fx.asked(spark, sf_dir).withColumn("t_secs", F.col("t_secs") + 300), fx.departures(spark, sf_dir))
 
 
-@query("q1_transit_available", f"{WITH}, {POINTS}, stops AS (SELECT DISTINCT CAST(floor((lat + 90e0) / 0.25e0) AS BIGINT) * 1440 + CAST(floor((lon + 180e0) / 0.25e0) AS BIGINT) AS tile FROM points WHERE pt_id % 7 = 0) SELECT n.node_id, bool_or(s.tile IS NOT NULL) AS available FROM nodes n LEFT JOIN stops s ON s.tile = CAST(floor((n.lat + 90e0) / 0.25e0) AS BIGINT) * 1440 + CAST(floor((n.lon + 180e0) / 0.25e0) AS BIGINT) GROUP BY n.node_id")
+@query("q1_transit_available", f"{WITH}, {POINTS}, stops AS (SELECT DISTINCT CAST(floor((lat + 90e0) / 0.25e0) AS BIGINT) * 1440 + CAST(floor((lon + 180e0) / 0.25e0) AS BIGINT) AS tile FROM points) SELECT n.node_id, bool_or(s.tile IS NOT NULL) AS available FROM nodes n LEFT JOIN stops s ON s.tile = CAST(floor((n.lat + 90e0) / 0.25e0) AS BIGINT) * 1440 + CAST(floor((n.lon + 180e0) / 0.25e0) AS BIGINT) GROUP BY n.node_id")
 def transit_available(spark, sf_dir):
     tile = "CAST(floor((lat + 90e0) / 0.25e0) AS BIGINT) * 1440 + CAST(floor((lon + 180e0) / 0.25e0) AS BIGINT)"
-    stops = fx.points(spark, sf_dir).where("pt_id % 7 = 0").selectExpr(f"{tile} AS tile").distinct().withColumn("available", F.lit(True))
+    stops = fx.points(spark, sf_dir).selectExpr(f"{tile} AS tile").distinct().withColumn("available", F.lit(True))
     return fx.nodes(spark, sf_dir).selectExpr("node_id", f"{tile} AS tile").join(stops, "tile", "left").select("node_id", F.coalesce("available", F.lit(False)).alias("available"))
 
 
@@ -337,18 +407,18 @@ def vector_tile_rows(spark, sf_dir):
     return fx.edges(spark, sf_dir).where("road_class <= 4").selectExpr(f"{x} AS x", f"{y} AS y", "edge_id").groupBy("x", "y").agg(F.count("*").alias("features"), F.min("edge_id").alias("first"))
 
 
-@query("k5_matrix_json", f"{WITH}, {_ARCS}, {_TARGETS.format(n=4)}, {_reach(_SEEDS.format(n=3))}, m AS (SELECT r.source, g.target, CAST(round(r.cost) AS BIGINT) AS t FROM r JOIN goals g ON g.node = r.node) SELECT source, '[' || string_agg('{{\"to_index\":' || target || ',\"time\":' || t || '}}', ',' ORDER BY target) || ']' AS body FROM m GROUP BY source".replace("{{", "{").replace("}}", "}"))
+@query("k5_matrix_json", f"{WITH}, {_ARCS}, {_TARGETS}, {_reach(_SEEDS)}, m AS (SELECT r.source, g.target, CAST(round(r.cost) AS BIGINT) AS t FROM r JOIN goals g ON g.node = r.node) SELECT source, '[' || string_agg('{{\"to_index\":' || target || ',\"time\":' || t || '}}', ',' ORDER BY target) || ']' AS body FROM m GROUP BY source".replace("{{", "{").replace("}}", "}"))
 def matrix_json(spark, sf_dir):
     from pathloom.sinks.json import matrix_rows
 
-    return matrix_rows(paths.matrix(_node_arcs(spark, sf_dir), _seeds(spark, sf_dir, 3), _targets(spark, sf_dir, 4)))
+    return matrix_rows(paths.matrix(_node_arcs(spark, sf_dir), _seeds(spark, sf_dir), _targets(spark, sf_dir)))
 
 
-@query("k4_gpx", f"{WITH} SELECT rw AS line, '<trkseg>' || string_agg('<trkpt lat=\"' || node_id || '\" lon=\"' || col || '\"/>', '' ORDER BY col) || '</trkseg>' AS gpx FROM nodes GROUP BY rw")
+@query("k4_gpx", f"{WITH} SELECT rw AS line, '<trkseg>' || string_agg(printf('<trkpt lat=\"%.6f\" lon=\"%.6f\"/>', lat, lon), '' ORDER BY col) || '</trkseg>' AS gpx FROM nodes GROUP BY rw")
 def gpx(spark, sf_dir):
     from pathloom.sinks.json import gpx_segments
 
-    return gpx_segments(fx.nodes(spark, sf_dir).selectExpr("rw AS line", "col AS seq", "node_id AS lat", "col AS lon"))
+    return gpx_segments(fx.nodes(spark, sf_dir).selectExpr("rw AS line", "col AS seq", "lat", "lon"))
 
 
 @query("k7_k11_locate_json", f"{WITH} SELECT src AS node_id, '{{\"edges\":' || count(*) || ',\"first\":' || min(edge_id) || '}}' AS body FROM edges GROUP BY src".replace("{{", "{").replace("}}", "}"))

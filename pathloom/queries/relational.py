@@ -69,8 +69,8 @@ portable("g09_point_in_polygon", fx.nodes, "nodes", {"node_id": "node_id", "insi
 @query("f15_j10_exclude_polygons", f"{WITH} SELECT edge_id FROM edges WHERE NOT ({spatial.in_polygon('lon1', 'lat1', _RING)} OR {spatial.in_polygon('lon2', 'lat2', _RING)})")
 def exclude_polygons(spark, sf_dir):
     e = fx.edges(spark, sf_dir)
-    # bins of the ring's box first, the exact test on what they hold
-    box = f"lon1 BETWEEN 4.02e0 AND 4.23e0 OR lon2 BETWEEN 4.02e0 AND 4.23e0"
+    # the ring's box first, the exact test on what it holds
+    box = "lon1 BETWEEN 4.02e0 AND 4.23e0 OR lon2 BETWEEN 4.02e0 AND 4.23e0"
     hit = e.where(box).where(f"{spatial.in_polygon('lon1', 'lat1', _RING)} OR {spatial.in_polygon('lon2', 'lat2', _RING)}").select("edge_id")
     return e.join(hit, "edge_id", "left_anti").select("edge_id")
 
@@ -107,26 +107,25 @@ def opposing(spark, sf_dir):
     return a.join(b, (F.col("b.src") == F.col("a.dst")) & (F.col("b.dst") == F.col("a.src"))).selectExpr("a.edge_id", "b.edge_id AS opp_edge_id", "a.length = b.length AS same_length")
 
 
-_HITS = f"hits AS (SELECT p.pt_id, e.edge_id, p.lon, p.lat, e.lon1, e.lat1, e.lon2, e.lat2, {geo.project_share('p.lon', 'p.lat', 'e.lon1', 'e.lat1', 'e.lon2', 'e.lat2')} AS share FROM points p, edges e WHERE e.edge_id % 2 = 0), near AS (SELECT pt_id, edge_id, share, {geo.haversine('lon', 'lat', '(lon1 + share * (lon2 - lon1))', '(lat1 + share * (lat2 - lat1))')} AS metres FROM hits)"
+_HITS = f"hits AS (SELECT p.pt_id, e.edge_id, p.lon, p.lat, e.lon1, e.lat1, e.lon2, e.lat2, {geo.project_share('p.lon', 'p.lat', 'e.lon1', 'e.lat1', 'e.lon2', 'e.lat2')} AS share FROM points p, edges e), near AS (SELECT pt_id, edge_id, share, {geo.haversine('lon', 'lat', '(lon1 + share * (lon2 - lon1))', '(lat1 + share * (lat2 - lat1))')} AS metres FROM hits)"
 
 
-@query("j7_w10_o3_nearest_edges", f"{WITH}, {POINTS}, {_HITS} SELECT pt_id, edge_id, round(metres, 3) AS metres, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY pt_id ORDER BY metres, edge_id) AS INT) AS rank FROM near WHERE metres <= 35000e0) WHERE rank <= 3")
+@query("j7_w10_o3_nearest_edges", f"{WITH}, {POINTS}, {_HITS} SELECT pt_id, edge_id, round(metres, 3) AS metres, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY pt_id ORDER BY round(metres, 3), edge_id) AS INT) AS rank FROM near WHERE metres <= 35000e0) WHERE rank <= 3")
 def nearest_edges(spark, sf_dir):
-    e = fx.edges(spark, sf_dir).where("edge_id % 2 = 0")
-    found = spatial.nearest_edges(fx.points(spark, sf_dir), e, 3)
+    found = spatial.nearest_edges(fx.points(spark, sf_dir), fx.edges(spark, sf_dir), 3)
     return found.selectExpr("pt_id", "edge_id", "round(metres, 3) AS metres", "rank")
 
 
 @query("j8_o7_h2_range_query", f"{WITH}, {POINTS}, {_HITS} SELECT pt_id, edge_id, round(share, 6) AS share, round(metres, 3) AS metres FROM near WHERE metres <= 600e0")
 def range_query(spark, sf_dir):
-    e = fx.edges(spark, sf_dir).where("edge_id % 2 = 0")
-    return spatial.edges_within(fx.points(spark, sf_dir), e, 600.0).selectExpr("pt_id", "edge_id", "round(share, 6) AS share", "round(metres, 3) AS metres")
+    return spatial.edges_within(fx.points(spark, sf_dir), fx.edges(spark, sf_dir), 600.0).selectExpr("pt_id", "edge_id", "round(share, 6) AS share", "round(metres, 3) AS metres")
 
 
-@query("p22_candidate_correlation", f"{WITH}, {POINTS}, {_HITS}, best AS (SELECT *, row_number() OVER (PARTITION BY pt_id ORDER BY metres, edge_id) AS k FROM near WHERE metres <= 35000e0), top AS (SELECT b.pt_id, b.edge_id, b.share, b.metres, e.length FROM best b JOIN edges e ON e.edge_id = b.edge_id WHERE k = 1) SELECT pt_id, edge_id, round(share, 6) AS percent_along, share * length <= 5e0 OR (1e0 - share) * length <= 5e0 AS at_node FROM top UNION ALL SELECT pt_id, edge_id + 1, round(1e0 - share, 6), share * length <= 5e0 OR (1e0 - share) * length <= 5e0 FROM top")
+@query("p22_candidate_correlation", f"{WITH}, {POINTS}, {_HITS}, best AS (SELECT *, row_number() OVER (PARTITION BY pt_id ORDER BY round(metres, 3), edge_id) AS k FROM near WHERE metres <= 35000e0), top AS (SELECT b.pt_id, b.edge_id, b.share, b.metres, e.length FROM best b JOIN edges e ON e.edge_id = b.edge_id WHERE k = 1) SELECT pt_id, edge_id, round(share, 6) AS percent_along, share * length <= 5e0 OR (1e0 - share) * length <= 5e0 AS at_node FROM top UNION ALL SELECT pt_id, edge_id + 1, round(1e0 - share, 6), share * length <= 5e0 OR (1e0 - share) * length <= 5e0 FROM top")
 def candidate_correlation(spark, sf_dir):
     e = fx.edges(spark, sf_dir)
-    top = spatial.nearest_edges(fx.points(spark, sf_dir), e.where("edge_id % 2 = 0"), 1).join(e.select("edge_id", "length"), "edge_id")
+    # of a road's two edges, equally far, the one with the smaller id comes first; the other one is its opposite
+    top = spatial.nearest_edges(fx.points(spark, sf_dir), e, 1).join(e.select("edge_id", "length"), "edge_id")
     at = "share * length <= 5e0 OR (1e0 - share) * length <= 5e0"
     return top.selectExpr("pt_id", f"explode(array(struct(edge_id, round(share, 6) AS percent_along, {at} AS at_node), struct(edge_id + 1 AS edge_id, round(1e0 - share, 6) AS percent_along, {at} AS at_node))) AS c").select("pt_id", "c.*")
 
@@ -181,7 +180,7 @@ def service_days(spark, sf_dir):
 
 @query("j21_j22_stop_to_road", f"{WITH}, {POINTS}, {_HITS} SELECT pt_id, min(CASE WHEN (e.access & 1) <> 0 THEN n.metres END)::DECIMAL(18,3)::DOUBLE AS drive, min(CASE WHEN (e.access & 8) <> 0 THEN n.metres END)::DECIMAL(18,3)::DOUBLE AS walk FROM near n JOIN edges e ON e.edge_id = n.edge_id WHERE n.metres <= 4000e0 GROUP BY pt_id")
 def stop_to_road(spark, sf_dir):
-    e = fx.edges(spark, sf_dir).where("edge_id % 2 = 0")
+    e = fx.edges(spark, sf_dir)
     near = spatial.edges_within(fx.points(spark, sf_dir), e, 4000.0).join(e.select("edge_id", "access"), "edge_id")
     least = [F.round(F.min(F.when(F.expr(fl.accessible(m)), F.col("metres"))), 3).alias(n) for m, n in ((fl.AUTO, "drive"), (fl.PEDESTRIAN, "walk"))]
     return near.groupBy("pt_id").agg(*least)
@@ -189,13 +188,13 @@ def stop_to_road(spark, sf_dir):
 
 @query("j23_e16_landmarks", f"{WITH}, {POINTS}, {_HITS} SELECT edge_id, count(*) AS landmarks, min(pt_id) AS first FROM near WHERE metres <= 75e0 GROUP BY edge_id")
 def landmarks(spark, sf_dir):
-    e = fx.edges(spark, sf_dir).where("edge_id % 2 = 0")
-    return spatial.edges_within(fx.points(spark, sf_dir), e, 75.0).groupBy("edge_id").agg(F.count("*").alias("landmarks"), F.min("pt_id").alias("first"))
+    return spatial.edges_within(fx.points(spark, sf_dir), fx.edges(spark, sf_dir), 75.0).groupBy("edge_id").agg(F.count("*").alias("landmarks"), F.min("pt_id").alias("first"))
 
 
-@query("j24_s10_incidents", f"{WITH}, inc AS (SELECT event_id, event_id % 200 AS edge_id, (event_id % 50) / 100e0 AS a, (event_id % 50) / 100e0 + 0.3e0 AS b FROM events WHERE event_type = 'error') SELECT e.edge_id, i.event_id, round(least(i.b, 0.9e0) - greatest(i.a, 0.2e0), 6) AS overlap FROM edges e JOIN inc i ON i.edge_id = e.edge_id AND i.a < 0.9e0 AND i.b > 0.2e0")
+@query("j24_s10_incidents", f"{WITH}, inc AS (SELECT event_id, event_id % (SELECT max(edge_id) + 1 FROM edges) AS edge_id, (event_id % 50) / 100e0 AS a, (event_id % 50) / 100e0 + 0.3e0 AS b FROM events WHERE event_type = 'error') SELECT e.edge_id, i.event_id, round(least(i.b, 0.9e0) - greatest(i.a, 0.2e0), 6) AS overlap FROM edges e JOIN inc i ON i.edge_id = e.edge_id AND i.a < 0.9e0 AND i.b > 0.2e0")
 def incidents(spark, sf_dir):
-    inc = fx.table(spark, sf_dir, "events").where("event_type = 'error'").selectExpr("event_id", "event_id % 200 AS edge_id", "(event_id % 50) / 100e0 AS a", "(event_id % 50) / 100e0 + 0.3e0 AS b")
+    most = fx.edges(spark, sf_dir).agg(F.max("edge_id")).first()[0] + 1
+    inc = fx.table(spark, sf_dir, "events").where("event_type = 'error'").selectExpr("event_id", f"event_id % {most} AS edge_id", "(event_id % 50) / 100e0 AS a", "(event_id % 50) / 100e0 + 0.3e0 AS b")
     return fx.edges(spark, sf_dir).select("edge_id").join(inc, "edge_id").where("a < 0.9e0 AND b > 0.2e0").selectExpr("edge_id", "event_id", "round(least(b, 0.9e0) - greatest(a, 0.2e0), 6) AS overlap")
 
 
@@ -229,11 +228,11 @@ _CELL = "CAST(floor((lat1 - 52e0) / 0.02e0) AS BIGINT)"
 _CELLC = "CAST(floor((lon1 - 4e0) / 0.02e0) AS BIGINT)"
 
 
-@query("a1_road_density", f"{WITH}, cell AS (SELECT {_CELL} AS r, {_CELLC} AS c, sum(length) AS metres FROM edges WHERE edge_id % 2 = 0 GROUP BY ALL) SELECT a.r, a.c, CAST(least(15, round(0.7e0 * sum(b.metres) * 0.0005e0 / (4e0 * count(*)))) AS BIGINT) AS density FROM cell a JOIN cell b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 GROUP BY a.r, a.c")
+@query("a1_road_density", f"{WITH}, cell AS (SELECT {_CELL} AS r, {_CELLC} AS c, sum(length) AS metres FROM edges GROUP BY ALL) SELECT a.r, a.c, CAST(least(15, round(0.7e0 * sum(b.metres) * 0.0005e0 / (4e0 * count(*)))) AS BIGINT) AS density FROM cell a JOIN cell b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 GROUP BY a.r, a.c")
 def road_density(spark, sf_dir):
     from pathloom.operators.etl import density
 
-    cells = fx.edges(spark, sf_dir).where("edge_id % 2 = 0").selectExpr(f"{_CELL} AS r", f"{_CELLC} AS c", "length")
+    cells = fx.edges(spark, sf_dir).selectExpr(f"{_CELL} AS r", f"{_CELLC} AS c", "length")
     return density(cells, cell_area=4.0)
 
 
@@ -282,9 +281,9 @@ def conditional_counts(spark, sf_dir):
     return fx.edges(spark, sf_dir).groupBy("road_class").agg(F.count_if("toll").alias("tolls"), F.count_if(F.col("surface") == 7).alias("impassable"), F.count_if(F.col("length") < 700).alias("short"))
 
 
-@query("a19_order_free_digest")
+@query("a19_order_free_digest", f"{WITH} SELECT road_class, bit_xor((edge_id * 1000003 + src * 7919 + dst) % 2147483647) AS digest FROM edges GROUP BY road_class")
 def digest(spark, sf_dir):
-    return fx.edges(spark, sf_dir).groupBy("road_class").agg(F.bit_xor(F.xxhash64("edge_id", "src", "dst")).alias("digest"))
+    return fx.edges(spark, sf_dir).groupBy("road_class").agg(F.bit_xor(F.expr("(edge_id * 1000003 + src * 7919 + dst) % 2147483647")).alias("digest"))
 
 
 @query("a10_curvature", f"{WITH}, s AS (SELECT rw, lon, lat, lead(lon) OVER w AS lon2, lead(lat) OVER w AS lat2, lead(lon, 2) OVER w AS lon3, lead(lat, 2) OVER w AS lat3 FROM nodes WINDOW w AS (PARTITION BY rw ORDER BY col)) SELECT rw, CAST(round(15e0 * (1e0 - avg(least(1000e0, {geo.circumradius(geo.haversine('lon', 'lat', 'lon2', 'lat2'), geo.haversine('lon2', 'lat2', 'lon3', 'lat3'), geo.haversine('lon', 'lat', 'lon3', 'lat3'))})) / 1000e0)) AS BIGINT) AS curvature FROM s WHERE lon3 IS NOT NULL GROUP BY rw")
@@ -353,8 +352,8 @@ def top_k(spark, sf_dir):
     return fx.edges(spark, sf_dir).select("road_class", "edge_id", rank.alias("rank")).where("rank <= 5")
 
 
-@query("a16_a21_longest_names", f"{WITH}, s AS (SELECT rw1, street, sum(length) AS metres FROM edges WHERE edge_id % 2 = 0 GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY rw1 ORDER BY metres DESC, street) AS k FROM s) SELECT rw1, string_agg(street, ', ' ORDER BY street) AS names FROM k WHERE k <= 3 GROUP BY rw1")
+@query("a16_a21_longest_names", f"{WITH}, s AS (SELECT rw1, street, sum(length) AS metres FROM edges GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY rw1 ORDER BY metres DESC, street) AS k FROM s) SELECT rw1, string_agg(street, ', ' ORDER BY street) AS names FROM k WHERE k <= 3 GROUP BY rw1")
 def longest_names(spark, sf_dir):
-    s = fx.edges(spark, sf_dir).where("edge_id % 2 = 0").groupBy("rw1", "street").agg(F.sum("length").alias("metres"))
+    s = fx.edges(spark, sf_dir).groupBy("rw1", "street").agg(F.sum("length").alias("metres"))
     top = s.withColumn("k", F.row_number().over(Window.partitionBy("rw1").orderBy(F.desc("metres"), "street"))).where("k <= 3")
     return top.groupBy("rw1").agg(F.array_join(F.sort_array(F.collect_list("street")), ", ").alias("names"))

@@ -59,10 +59,10 @@ portable("b3_tile_parents", fx.nodes, "nodes", {"node_id": "node_id", "local": _
 
 @query(
     "g25_b4_tiles_of_box",
-    f"{WITH}, boxes AS (SELECT node_id, {ids.col_of('lon - 0.3e0', _size)} AS c1, {ids.col_of('lon + 0.3e0', _size)} AS c2, {ids.row_of('lat - 0.3e0', _size)} AS r1, {ids.row_of('lat + 0.3e0', _size)} AS r2 FROM nodes WHERE node_id % 10 = 0), cs AS (SELECT *, unnest(generate_series(c1, c2)) AS c FROM boxes), rs AS (SELECT *, unnest(generate_series(r1, r2)) AS r FROM cs) SELECT node_id, r * {ids.columns(_size)} + c AS tile FROM rs",
+    f"{WITH}, boxes AS (SELECT node_id, {ids.col_of('lon - 0.3e0', _size)} AS c1, {ids.col_of('lon + 0.3e0', _size)} AS c2, {ids.row_of('lat - 0.3e0', _size)} AS r1, {ids.row_of('lat + 0.3e0', _size)} AS r2 FROM nodes), cs AS (SELECT *, unnest(generate_series(c1, c2)) AS c FROM boxes), rs AS (SELECT *, unnest(generate_series(r1, r2)) AS r FROM cs) SELECT node_id, r * {ids.columns(_size)} + c AS tile FROM rs",
 )
 def tiles_of_box(spark, sf_dir):
-    at = fx.nodes(spark, sf_dir).where("node_id % 10 = 0")
+    at = fx.nodes(spark, sf_dir)
     cols = at.selectExpr("node_id", "lat", f"explode(sequence({ids.col_of('lon - 0.3e0', _size)}, {ids.col_of('lon + 0.3e0', _size)})) AS c")
     rows = cols.selectExpr("node_id", "c", f"explode(sequence({ids.row_of('lat - 0.3e0', _size)}, {ids.row_of('lat + 0.3e0', _size)})) AS r")
     return rows.selectExpr("node_id", f"r * {ids.columns(_size)} + c AS tile")
@@ -79,18 +79,21 @@ def polyline_length(spark, sf_dir):
     return shape.selectExpr("line", "CAST(size(shape) AS BIGINT) AS points", f"round({total}, 2) AS metres")
 
 
+_LINES = "(SELECT max(rw) + 1 FROM nodes)"
+
+
 @query(
     "g07_g08_closest_point_on_line",
-    f"{WITH}, {POINTS}, shot AS (SELECT p.pt_id, e.edge_id, p.lon, p.lat, e.lon1, e.lat1, e.lon2, e.lat2, {geo.project_share('p.lon', 'p.lat', 'e.lon1', 'e.lat1', 'e.lon2', 'e.lat2')} AS t FROM points p JOIN edges e ON e.edge_id % 2 = 0 AND e.rw1 = 3 AND e.kind = 0 WHERE p.pt_id % 5 = 0), far AS (SELECT pt_id, edge_id, t, {geo.haversine('lon', 'lat', '(lon1 + t * (lon2 - lon1))', '(lat1 + t * (lat2 - lat1))')} AS metres FROM shot) SELECT pt_id, edge_id, round(t, 6) AS share, round(metres, 3) AS metres FROM (SELECT *, row_number() OVER (PARTITION BY pt_id ORDER BY metres, edge_id) AS k FROM far) WHERE k = 1",
+    f"{WITH}, {POINTS}, shot AS (SELECT p.pt_id, e.edge_id, p.lon, p.lat, e.lon1, e.lat1, e.lon2, e.lat2, {geo.project_share('p.lon', 'p.lat', 'e.lon1', 'e.lat1', 'e.lon2', 'e.lat2')} AS t FROM points p JOIN edges e ON e.edge_id % 2 = 0 AND e.rw1 = p.pt_id % {_LINES} AND e.kind = 0), far AS (SELECT pt_id, edge_id, t, {geo.haversine('lon', 'lat', '(lon1 + t * (lon2 - lon1))', '(lat1 + t * (lat2 - lat1))')} AS metres FROM shot) SELECT pt_id, edge_id, round(t, 6) AS share, round(metres, 3) AS metres FROM (SELECT *, row_number() OVER (PARTITION BY pt_id ORDER BY round(metres, 3), edge_id) AS k FROM far) WHERE k = 1",
 )
 def closest_point(spark, sf_dir):
-    # one street (a fixed polyline of at most a lattice row) against all points
-    line = fx.edges(spark, sf_dir).where("edge_id % 2 = 0 AND rw1 = 3 AND kind = 0").select("edge_id", "lon1", "lat1", "lon2", "lat2")
-    line = line.agg(F.collect_list(F.struct("*")).alias("line"))
-    shot = fx.points(spark, sf_dir).where("pt_id % 5 = 0").join(F.broadcast(line)).select("pt_id", "lon", "lat", F.explode("line").alias("e")).select("pt_id", "lon", "lat", "e.*")
-    shot = shot.selectExpr("*", f"{geo.project_share('lon', 'lat', 'lon1', 'lat1', 'lon2', 'lat2')} AS t").selectExpr("pt_id", "edge_id", "t", f"{geo.haversine('lon', 'lat', '(lon1 + t * (lon2 - lon1))', '(lat1 + t * (lat2 - lat1))')} AS metres")
-    best = shot.groupBy("pt_id").agg(F.min(F.struct("metres", "edge_id", "t")).alias("b"))
-    return best.selectExpr("pt_id", "b.edge_id", "round(b.t, 6) AS share", "round(b.metres, 3) AS metres")
+    from pathloom.operators.spatial import closest_on_lines
+
+    # every point against the street of one lattice row, whose line runs along its eastward edges
+    lines = fx.edges(spark, sf_dir).where("edge_id % 2 = 0 AND kind = 0").withColumnRenamed("rw1", "line")
+    rows = fx.nodes(spark, sf_dir).agg(F.max("rw")).first()[0] + 1
+    asked = fx.points(spark, sf_dir).withColumn("line", F.col("pt_id") % rows)
+    return closest_on_lines(asked, lines).selectExpr("pt_id", "edge_id", "round(share, 6) AS share", "round(metres, 3) AS metres")
 
 
 @query(
@@ -109,12 +112,12 @@ _bin = f"(CAST(floor((lat + 90e0) / 0.05e0) AS BIGINT) * 7200 + CAST(floor((lon
 
 @query(
     "g26_bin_cover",
-    f"{WITH}, cells AS (SELECT edge_id, CAST(floor((least(lon1, lon2) + 180e0) / 0.05e0) AS BIGINT) AS c1, CAST(floor((greatest(lon1, lon2) + 180e0) / 0.05e0) AS BIGINT) AS c2, CAST(floor((least(lat1, lat2) + 90e0) / 0.05e0) AS BIGINT) AS r1, CAST(floor((greatest(lat1, lat2) + 90e0) / 0.05e0) AS BIGINT) AS r2 FROM edges WHERE edge_id % 2 = 0), c AS (SELECT *, unnest(generate_series(c1, c2)) AS cc FROM cells), r AS (SELECT *, unnest(generate_series(r1, r2)) AS rr FROM c) SELECT rr * 7200 + cc AS bin_id, edge_id FROM r",
+    f"{WITH}, cells AS (SELECT edge_id, CAST(floor((least(lon1, lon2) + 180e0) / 0.05e0) AS BIGINT) AS c1, CAST(floor((greatest(lon1, lon2) + 180e0) / 0.05e0) AS BIGINT) AS c2, CAST(floor((least(lat1, lat2) + 90e0) / 0.05e0) AS BIGINT) AS r1, CAST(floor((greatest(lat1, lat2) + 90e0) / 0.05e0) AS BIGINT) AS r2 FROM edges), c AS (SELECT *, unnest(generate_series(c1, c2)) AS cc FROM cells), r AS (SELECT *, unnest(generate_series(r1, r2)) AS rr FROM c) SELECT rr * 7200 + cc AS bin_id, edge_id FROM r",
 )
 def bin_cover(spark, sf_dir):
     from pathloom.operators.spatial import edge_bins
 
-    return edge_bins(fx.edges(spark, sf_dir).where("edge_id % 2 = 0"))
+    return edge_bins(fx.edges(spark, sf_dir))
 
 
 # --- time ---------------------------------------------------------------------------------------------------
@@ -170,9 +173,9 @@ portable("r9_units", lambda s, d: fx.table(s, d, "part"), "part", {"p_partkey":
 portable("r10_h8_class_names", fx.edges, "edges", {"edge_id": "edge_id", "class": "(CASE road_class WHEN 0 THEN 'motorway' WHEN 1 THEN 'trunk' WHEN 2 THEN 'primary' WHEN 3 THEN 'secondary' WHEN 4 THEN 'tertiary' WHEN 5 THEN 'unclassified' WHEN 6 THEN 'residential' ELSE 'service_other' END)"})
 
 
-@query("n1_way_node_explode", f"{WITH} SELECT way_id, count(*) AS n, min(edge_id) AS first FROM edges WHERE edge_id % 2 = 0 GROUP BY way_id")
+@query("n1_way_node_explode", f"{WITH} SELECT way_id, count(*) AS n, min(edge_id) AS first FROM edges GROUP BY way_id")
 def way_explode(spark, sf_dir):
-    ways = fx.edges(spark, sf_dir).where("edge_id % 2 = 0").groupBy("way_id").agg(F.sort_array(F.collect_list("edge_id")).alias("edges"))
+    ways = fx.edges(spark, sf_dir).groupBy("way_id").agg(F.sort_array(F.collect_list("edge_id")).alias("edges"))
     return ways.select("way_id", F.posexplode("edges").alias("pos", "edge_id")).groupBy("way_id").agg(F.count("*").alias("n"), F.min("edge_id").alias("first"))
 
 

@@ -14,7 +14,7 @@ def _source(sf_dir: str) -> str:
     return f"{sf_dir}/events.parquet*"  # a stream reads a folder or a pattern, not one file
 
 
-@query("y1_tumbling_speed_buckets", "SELECT CAST(floor(epoch(ts) / 300e0) * 300 AS BIGINT) AS start, user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL HAVING CAST(floor(epoch(ts) / 300e0) * 300 AS BIGINT) + 300 <= (SELECT CAST(floor(epoch(max(ts)) * 1000) / 1000 - 600 AS DOUBLE) FROM events)")
+@query("y1_tumbling_speed_buckets", "WITH b AS (SELECT CAST(floor(epoch(ts) / 300e0) * 300 AS BIGINT) AS start, user_id, value FROM events), m AS (SELECT floor(epoch(max(ts)) * 1000) / 1000 - 600 AS mark FROM events) SELECT start, user_id, count(*) AS n, round(sum(value), 4) AS total FROM b WHERE start + 300 <= (SELECT mark FROM m) GROUP BY start, user_id")
 def tumbling(spark, sf_dir):
     return live.run_to_end(spark, _source(sf_dir), live.bucket_means)
 

@@ -12,8 +12,6 @@ from pathloom import queries
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: Open faults, listed in the README.
-KNOWN_TO_DIFFER = {"y1_tumbling_speed_buckets": "some runs of the stream lack a few windows"}
 BUILDS, CHECKS = queries.load(), queries.checks()
 
 
@@ -48,6 +46,4 @@ def test_query(name, spark, duck):
     assert sorted(names) == columns
     order = [names.index(c) for c in columns]
     want = sorted((tuple(_plain(row[k]) for k in order) for row in found.fetchall()), key=repr)
-    if name in KNOWN_TO_DIFFER and got != want:
-        pytest.xfail(KNOWN_TO_DIFFER[name])
     assert got == want
